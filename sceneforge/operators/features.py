@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from sceneforge.functions import column, is_text
+from sceneforge.functions import column, is_text, quoted
 from sceneforge.operators.columns import numeric_names
 from sceneforge.operators.ranking import frequency_index
 
@@ -19,6 +19,9 @@ INDEXER_CATEGORIES = 100_000
 
 WIDE_SUFFIX = "_wide_idx"
 
+# Suffix of the lower-bounded copy of a number.
+RAISED = ":raised"
+
 
 @dataclass(frozen=True)
 class FeaturePlan:
@@ -82,30 +85,39 @@ def fit_label_index(df: DataFrame, target: str) -> StringIndexerModel:
 def fit_features(df: DataFrame, plan: FeaturePlan, scale: bool = True) -> PipelineModel:
     """Index categories (unseen ones get an extra index), assemble, scale to [0, 1].
 
-    Scaled values below 0, which a table to be scored can have, are cut to 0:
-    naive Bayes refuses negative features.  ``scale=False`` leaves the values
-    as they are, which trees do not mind.
+    A table to be scored can have numbers below the smallest one seen here;
+    they are raised to it, since naive Bayes refuses negative features.
+    ``scale=False`` leaves the values as they are, which trees do not mind.
     """
-    stages = []
+    stages: list[Transformer] = []
     if plan.categories:
-        stages.append(
-            StringIndexer(
-                inputCols=list(plan.categories),
-                outputCols=[f"{c}_idx" for c in plan.categories],
-                handleInvalid="keep",
-            )
+        indexer = StringIndexer(
+            inputCols=list(plan.categories),
+            outputCols=[f"{c}_idx" for c in plan.categories],
+            handleInvalid="keep",
         )
-    assembled = "raw_features" if scale else "features"
-    stages.append(VectorAssembler(inputCols=plan.inputs, outputCol=assembled))
-    if scale:
-        stages.append(MinMaxScaler(inputCol="raw_features", outputCol="scaled_features"))
-        stages.append(
-            SQLTransformer(
-                statement="SELECT *, array_to_vector(transform(vector_to_array(scaled_features), "
-                "x -> greatest(x, 0D))) AS features FROM __THIS__"
-            )
+        stages.append(indexer.fit(df))
+    if not scale:
+        return PipelineModel([*stages, VectorAssembler(inputCols=plan.inputs, outputCol="features")])
+    assembler = VectorAssembler(inputCols=plan.inputs, outputCol="raw_features")
+    raw = assembler.transform(transform_with(df, *stages))
+    scaler = MinMaxScaler(inputCol="raw_features", outputCol="features").fit(raw)
+    if plan.numbers:
+        lowest = dict(zip(plan.inputs, scaler.originalMin.toArray()))
+        stages.append(_raise_to(plan.numbers, lowest))
+        assembler = VectorAssembler(
+            inputCols=[c + RAISED if c in plan.numbers else c for c in plan.inputs], outputCol="raw_features"
         )
-    return Pipeline(stages=stages).fit(df)
+    return PipelineModel([*stages, assembler, scaler])
+
+
+def _raise_to(names: Sequence[str], lowest: Mapping[str, float]) -> SQLTransformer:
+    """Stage that copies number columns with a lower bound, as one projection."""
+    bounded = ", ".join(
+        f"greatest(CAST({quoted(c)} AS DOUBLE), CAST('{float(lowest[c])!r}' AS DOUBLE)) AS {quoted(c + RAISED)}"
+        for c in names
+    )
+    return SQLTransformer(statement=f"SELECT *, {bounded} FROM __THIS__")
 
 
 # --- wide categories -------------------------------------------------------------------

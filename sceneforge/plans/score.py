@@ -109,7 +109,7 @@ class Scorer:
         for name in next(iter(self.entries.values())).wide_columns or []:
             index = spark.read.parquet(wide_path(self.folder, self.scene.scene_id, name))
             table = feat.apply_wide_index(table, name, index)
-        return feat.transform_with(table, *stages).drop("raw_features", "scaled_features")
+        return feat.transform_with(table, *stages).drop("raw_features")
 
     def score(self, df: DataFrame, models: Sequence[Loaded]) -> DataFrame:
         """The table with one prediction and confidence column per model, in one pass.
