@@ -15,6 +15,10 @@ TARGET_BYTES = 1 << 30
 NOISE = 0.01
 CODE_VALUES = 10
 
+# Copies made next to each other, and output rows per task, when there are many copies.
+COPIES_PER_RANGE = 64
+ROWS_PER_TASK = 2_000_000
+
 _ID_NAME = re.compile(r"(^|_)id$", re.IGNORECASE)
 _LABEL_NAME = re.compile(r"label", re.IGNORECASE)
 
@@ -64,9 +68,26 @@ def jitter_columns(df: DataFrame, ids: Sequence[str]) -> list[str]:
     return [c for c in numbers if c not in codes]
 
 
-def replicate(df: DataFrame, copies: int, name: str = "replica") -> DataFrame:
-    """Every row ``copies`` times with its replica number from 0; no join, no shuffle."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+def replicate(df: DataFrame, copies: int, name: str = "replica", rows: int | None = None) -> DataFrame:
+    """Every row ``copies`` times with its replica number from 0, without a join.
+
+    A few copies are made where the rows lie.  Many copies of a small seed
+    would leave all the work to the few tasks that read it, so ranges of
+    replica numbers are spread over the cluster first; only one row per range
+    is shuffled, a small part of the output.
+    """
+    if copies <= COPIES_PER_RANGE:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    ranges = -(-copies // COPIES_PER_RANGE)
+    total = (df.count() if rows is None else rows) * copies
+    first = F.col("_range") * COPIES_PER_RANGE
+    last = F.least(first + (COPIES_PER_RANGE - 1), F.lit(copies - 1))
+    spread = df.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    return (
+        spread.repartition(max(1, -(-total // ROWS_PER_TASK)))
+        .withColumn(name, F.explode(F.sequence(first, last)))
+        .drop("_range")
+    )
 
 
 def jitter(value: Column, noise: Column, size: float = NOISE) -> Column:
@@ -91,7 +112,7 @@ def amplify(
     id_names = id_columns(df, ids)
     measured = jitter_columns(df, id_names)
     rows = df.count()
-    many = replicate(df, copies)
+    many = replicate(df, copies, rows=rows)
 
     def changed(field: T.StructField, place: int) -> Column:
         value = column(field.name)

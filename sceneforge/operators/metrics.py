@@ -17,14 +17,11 @@ from sceneforge.functions import class_name, or_zero
 DENSE_CLASSES = 1_000
 
 
-def confusion_counts(scored: DataFrame, by: Sequence[str] = (), unlabeled: bool = False) -> DataFrame:
-    """``[by,] label, prediction, cnt``: one pass, counted before the shuffle.
-
-    Rows without a label are left out unless asked for; they come under a null label.
-    """
+def confusion_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``[by,] label, prediction, cnt`` of the labeled rows: one pass, counted before the shuffle."""
     label, prediction = F.col("label").cast("int"), F.col("prediction").cast("int")
     return (
-        (scored if unlabeled else scored.filter(F.col("label").isNotNull()))
+        scored.filter(F.col("label").isNotNull())
         .groupBy(*by, label.alias("label"), prediction.alias("prediction"))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )

@@ -152,13 +152,27 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # --- choosing a model ------------------------------------------------------------------
 
 
-def tag_candidates(scored: DataFrame, predictions: Mapping[str, Column], keep: Sequence[str] = ("label",)) -> DataFrame:
-    """One row per input row and candidate, ``algo, prediction``, from one scan of the table."""
-    tagged = [
-        F.struct(F.lit(algo).alias("algo"), p.cast("double").alias("prediction"))
-        for algo, p in predictions.items()
-    ]
-    return scored.select(*keep, F.inline(F.array(*tagged)))
+def candidate_counts(
+    scored: DataFrame, predictions: Mapping[str, Column], by: Sequence[str] = (), unlabeled: bool = False
+) -> DataFrame:
+    """``[by,] algo, label, prediction, cnt`` of several candidates from one pass.
+
+    Rows are counted under all their predictions together before they are told
+    apart by candidate, so the table is neither scanned nor copied once per
+    candidate.  Rows without a label are left out unless asked for.
+    """
+    label = F.col("label").cast("int").alias("label")
+    decided = [p.cast("int").alias(f"{algo}:decided") for algo, p in predictions.items()]
+    rows = scored if unlabeled else scored.filter(F.col("label").isNotNull())
+    together = rows.groupBy(*by, label, *decided).agg(F.count(F.lit(1)).alias("cnt"))
+    apart = F.array(
+        *[F.struct(F.lit(a).alias("algo"), F.col(f"`{a}:decided`").alias("prediction")) for a in predictions]
+    )
+    return (
+        together.select(*by, "label", "cnt", F.inline(apart))
+        .groupBy(*by, "algo", "label", "prediction")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
 
 
 def candidate_rank(algo: Column, order: Sequence[str] = CANDIDATES) -> Column:

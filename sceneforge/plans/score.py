@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel, Transformer
@@ -102,8 +102,11 @@ class Scorer:
             raise RuntimeError(f"all models failed: {reasons}")
         return usable
 
-    def featurize(self, df: DataFrame, stages: Sequence[Transformer]) -> DataFrame:
+    def featurize(self, df: DataFrame, stages: Sequence[Transformer], first: int | None = None) -> DataFrame:
+        """Prepared table with its feature vectors; of the first rows by key only when asked."""
         table, _ = prepare(df, self.scene, self.key)
+        if first is not None:
+            table = table.orderBy(ROW_KEY).limit(first)
         table = add_label(table, self.classes)
         spark = df.sparkSession
         for name in next(iter(self.entries.values())).wide_columns or []:
@@ -111,16 +114,16 @@ class Scorer:
             table = feat.apply_wide_index(table, name, index)
         return feat.transform_with(table, *stages).drop("raw_features")
 
-    def score(self, df: DataFrame, models: Sequence[Loaded]) -> DataFrame:
+    def score(self, df: DataFrame, models: Sequence[Loaded], first: int | None = None) -> DataFrame:
         """The table with one prediction and confidence column per model, in one pass.
 
         The models of a version share their feature stages, so those run once.
         """
-        return feat.transform_with(self.featurize(df, models[0].stages), *[m.model for m in models])
+        return feat.transform_with(self.featurize(df, models[0].stages, first), *[m.model for m in models])
 
-    def final_rows(self, df: DataFrame, model: Loaded) -> DataFrame:
+    def final_rows(self, df: DataFrame, model: Loaded, first: int | None = None) -> DataFrame:
         """Scored rows of one model: the input's columns, prediction, its name, confidence and label."""
-        scored = self.score(df, [model])
+        scored = self.score(df, [model], first)
         prediction = model.prediction(self.binary)
         inner = {"features", "label", RAW_TARGET, ROW_KEY}
         kept = [
@@ -150,6 +153,7 @@ class Scored:
     f1: float | None
     names: dict[int, str]
     importances: list[tuple[str, float]]
+    first_rows: Callable[[int], DataFrame]
 
     @property
     def labeled(self) -> DataFrame:
@@ -169,7 +173,8 @@ class Scored:
         return metrics.class_report(self.labeled)
 
     def preview(self, rows: int = scoring.PREVIEW_ROWS) -> DataFrame:
-        return scoring.preview(self.rows, ["row_key"], self.names, rows)
+        """The first rows by key; they are picked before scoring, so only they are scored."""
+        return scoring.preview(self.first_rows(rows), ["row_key"], self.names, rows)
 
     def result(self) -> dict:
         """The report as plain values; every part is bounded by classes or by the preview size."""
@@ -208,8 +213,8 @@ def score_table(df: DataFrame, scorer: Scorer, model: str = "auto") -> Scored:
     wide = scorer.score(df, models)
     if not labeled:
         wide = wide.withColumn("label", F.lit(None).cast("double"))
-    tagged = scoring.tag_candidates(wide, {m.algo: m.prediction(scorer.binary) for m in models})
-    counts = metrics.confusion_counts(tagged, by=["algo"], unlabeled=True).persist()
+    decided = {m.algo: m.prediction(scorer.binary) for m in models}
+    counts = scoring.candidate_counts(wide, decided, unlabeled=True).persist()
     best = scoring.choose_best(
         metrics.accuracy_f1(counts.filter(F.col("label").isNotNull()), by=["algo"])
     ).first()
@@ -222,6 +227,7 @@ def score_table(df: DataFrame, scorer: Scorer, model: str = "auto") -> Scored:
         f1=None if best is None or best.f1 is None else float(best.f1),
         names=scorer.names,
         importances=[(f["name"], f["value"]) for f in chosen.entry.features or []],
+        first_rows=lambda n: scorer.final_rows(df, chosen, n),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sceneforge.functions import column
 from sceneforge.operators import balance, features as feat, learners, metrics, registry, scoring
 from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, prepare
 from sceneforge.scenes import Scene, load_scenes
@@ -63,23 +64,31 @@ def train_scene(
     version = registry.next_version(known_events(spark, models_root), scene.scene_id)
     folder = version_folder(models_root, version)
 
-    table, names = prepare(df, scene, key, training=True)
-    classes = feat.fit_label_index(table, RAW_TARGET)
-    if len(classes.labels) < 2:
-        raise ValueError(f"scene {scene.scene_id} has {len(classes.labels)} classes, two are needed")
-    plan = feat.plan_features(table, names, max_categories)
-    table = _index_wide(table, plan, folder, scene.scene_id)
-    stages = feat.fit_features(table, plan, scale)
-
-    ready = feat.transform_with(table, classes, stages).select(
-        "features", "label", ROW_KEY, balance.split_name([ROW_KEY], SHARES).alias("part")
-    )
-    ready.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared, names = prepare(df, scene, key, training=True)
+    prepared = prepared.select(ROW_KEY, RAW_TARGET, *[column(n) for n in names])
+    prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    ready = None
     try:
+        classes = feat.fit_label_index(prepared, RAW_TARGET)
+        if len(classes.labels) < 2:
+            raise ValueError(f"scene {scene.scene_id} has {len(classes.labels)} classes, two are needed")
+        binary = len(classes.labels) == 2
+        plan = feat.plan_features(prepared, names, max_categories)
+        table = _index_wide(prepared, plan, folder, scene.scene_id)
+        if plan.wide_categories:
+            table.persist(StorageLevel.MEMORY_AND_DISK)
+        stages = feat.fit_features(table, plan, scale)
+
+        ready = feat.transform_with(table, classes, stages).select(
+            "features", "label", ROW_KEY, balance.split_name([ROW_KEY], SHARES).alias("part")
+        )
+        ready.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = ready.count()
+        prepared.unpersist()
+        table.unpersist()
         train = balance.oversample(
             ready.filter(F.col("part") == "train"), [ROW_KEY], cap=scene.oversample_cap
         ).select("features", "label")
-        rows = ready.count()
         found = []
         for algo in algos or learners.algorithms_for(len(classes.labels)):
             model = learners.classifier(algo, len(classes.labels), rounds).fit(train)
@@ -87,7 +96,7 @@ def train_scene(
             PipelineModel([*stages.stages, model]).write().overwrite().save(path)
             found.append(
                 {
-                    **_evaluate(model, ready, binary=len(classes.labels) == 2),
+                    **_evaluate(model, ready, binary),
                     "algo": algo,
                     "model_path": path,
                     "features": [
@@ -96,7 +105,9 @@ def train_scene(
                 }
             )
     finally:
-        ready.unpersist()
+        prepared.unpersist()
+        if ready is not None:
+            ready.unpersist()
 
     stamp = time.time_ns() // 1000
     common = {
@@ -136,18 +147,24 @@ def _index_wide(table: DataFrame, plan: feat.FeaturePlan, folder: str, scene_id:
 def _evaluate(model: Model, ready: DataFrame, binary: bool) -> dict:
     """Calibration and threshold from the tuning part, metrics with and without them from the test part."""
     scored = scoring.unpack_scores(model.transform(ready.filter(F.col("part") != "train")))
-    tune, test = scored.filter(F.col("part") == "tune"), scored.filter(F.col("part") == "test")
-    threshold, line = None, None
-    if binary and "raw1" in scored.columns:
-        line = scoring.fit_calibration(tune)
-    if binary and "p1" in scored.columns:
-        best = scoring.best_threshold(scoring.threshold_sweep(tune)).first()
-        threshold = best.threshold if best is not None and best.threshold is not None else scoring.DEFAULT_THRESHOLD
-    ways = {"plain": F.col("prediction")}
-    if threshold is not None:
-        ways["tuned"] = F.when(F.col("p1") >= threshold, 1.0).otherwise(0.0)
-    counts = metrics.confusion_counts(scoring.tag_candidates(test, ways), by=["algo"])
-    got = {r.algo: r for r in metrics.accuracy_f1(counts, by=["algo"]).collect()}
+    narrow = [c for c in ("part", "label", "prediction", "raw1", "p1") if c in scored.columns]
+    held_out = scored.select(*narrow).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tune, test = held_out.filter(F.col("part") == "tune"), held_out.filter(F.col("part") == "test")
+        threshold, line = None, None
+        if binary and "raw1" in narrow:
+            line = scoring.fit_calibration(tune)
+        if binary and "p1" in narrow:
+            best = scoring.best_threshold(scoring.threshold_sweep(tune)).first()
+            found = best is not None and best.threshold is not None
+            threshold = best.threshold if found else scoring.DEFAULT_THRESHOLD
+        ways = {"plain": F.col("prediction")}
+        if threshold is not None:
+            ways["tuned"] = F.when(F.col("p1") >= threshold, 1.0).otherwise(0.0)
+        counts = scoring.candidate_counts(test, ways)
+        got = {r.algo: r for r in metrics.accuracy_f1(counts, by=["algo"]).collect()}
+    finally:
+        held_out.unpersist()
 
     def metric(way: str, name: str) -> float | None:
         return float(got[way][name]) if way in got else None

@@ -225,8 +225,7 @@ def _candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = {
         algo: F.when(sigmoid(raw_score(algo)) >= 0.5, 1.0).otherwise(0.0) for algo in SCORERS
     }
-    tagged = scoring.tag_candidates(lines, decided, keep=["label", "l_linestatus"])
-    return metrics.confusion_counts(tagged, by=["l_linestatus", "algo"])
+    return scoring.candidate_counts(lines, decided, by=["l_linestatus"])
 
 
 _SQL_TAGGED = "tagged AS (" + " UNION ALL ".join(
