@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sceneforge.functions import column
+from sceneforge.session import cut_lineage
 
 # Words that mark a target column, most telling first.
 TARGET_WORDS = (
@@ -30,17 +31,13 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     table costs one row per task.
     """
     names = list(df.columns if columns is None else columns)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.coalesce(F.trim(column(c).cast("string")), F.lit("")).alias("value"),
-            )
-            for i, c in enumerate(names)
-        ]
-    )
+    cells = [
+        part
+        for i, c in enumerate(names)
+        for part in (F.lit(i), F.coalesce(F.trim(column(c).cast("string")), F.lit("")))
+    ]
     counted = (
-        df.select(F.inline(cells))
+        df.select(F.stack(F.lit(len(names)), *cells).alias("ordinal", "value"))
         .groupBy("ordinal", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -79,6 +76,17 @@ def target_values(frequencies: DataFrame, target: str) -> DataFrame:
     )
 
 
+def describe_values(frequencies: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
+    """Distinct count and most frequent values per column.
+
+    The counts are read twice, so they are written out first; the table they
+    come from is read once.
+    """
+    kept = cut_lineage(frequencies)
+    shown = sample_values(kept, k).select("ordinal", "sample_values")
+    return distinct_counts(kept).join(shown, "ordinal")
+
+
 def word_rank(name: Column) -> Column:
     """Position of the first target word the lower-cased name contains; null without one."""
     low = F.lower(name)
@@ -95,7 +103,8 @@ def guess_target(distinct: DataFrame) -> DataFrame:
     marked = distinct.withColumn("is_candidate", F.col("distinct_values") <= 2).withColumn(
         "word_rank", F.when(F.col("is_candidate"), word_rank(F.col("column_name")))
     )
-    fields = F.struct("column_name", "ordinal", "distinct_values", "is_candidate", "word_rank")
+    others = [c for c in distinct.columns if c not in ("column_name", "ordinal", "distinct_values")]
+    fields = F.struct("column_name", "ordinal", "distinct_values", "is_candidate", "word_rank", *others)
     telling = F.when(F.col("word_rank").isNotNull(), F.struct("word_rank", "ordinal"))
     whole = marked.agg(
         F.coalesce(F.min_by("ordinal", telling), F.max("ordinal")).alias("guess"),
@@ -108,4 +117,5 @@ def guess_target(distinct: DataFrame) -> DataFrame:
         "is_candidate",
         "word_rank",
         (F.col("ordinal") == F.col("guess")).alias("is_guess"),
+        *others,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 
 from sceneforge.operators.scoring import CANDIDATES
@@ -48,10 +48,13 @@ def classifier(algo: str, classes: int = 2, rounds: int | None = None) -> Estima
 def with_output_names(model: Model, algo: str) -> Model:
     """A copy of a fitted classifier whose output columns carry the algorithm's name.
 
-    Several classifiers can then score the same table in one pass.
+    Several classifiers can then score the same table in one pass.  One-vs-rest
+    keeps its raw column, which its inner models share.
     """
     named = model.copy()
     named.setPredictionCol(f"{algo}:prediction")
+    if isinstance(named, OneVsRestModel):
+        return named
     if named.hasParam("rawPredictionCol"):
         named.set(named.getParam("rawPredictionCol"), f"{algo}:raw")
     if named.hasParam("probabilityCol"):

@@ -69,11 +69,14 @@ def profile_columns(
     return reduce(DataFrame.unionByName, [_profile_part(df, part, digits) for part in parts])
 
 
-def missing_warnings(profile: DataFrame, threshold: float = MISSING_THRESHOLD) -> DataFrame:
-    """A message per column whose share of missing values is above the threshold."""
+def add_warnings(profile: DataFrame, threshold: float = MISSING_THRESHOLD) -> DataFrame:
+    """Add a message where a column's share of missing values is above the threshold."""
     text = 'Column "%s" has %.1f%% missing values (threshold: %.0f%%)'
-    return profile.filter(F.col("null_pct") > threshold).select(
-        "name",
-        "ordinal",
-        F.format_string(text, F.col("name"), F.col("null_pct"), F.lit(float(threshold))).alias("warning"),
-    )
+    message = F.format_string(text, F.col("name"), F.col("null_pct"), F.lit(float(threshold)))
+    return profile.withColumn("warning", F.when(F.col("null_pct") > threshold, message))
+
+
+def missing_warnings(profile: DataFrame, threshold: float = MISSING_THRESHOLD) -> DataFrame:
+    """The columns with a warning."""
+    warned = add_warnings(profile, threshold).filter(F.col("warning").isNotNull())
+    return warned.select("name", "ordinal", "warning")

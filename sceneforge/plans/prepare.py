@@ -16,6 +16,9 @@ from sceneforge.scenes import Scene
 RAW_TARGET = "_raw_target"
 ROW_KEY = "_row_key"
 
+# Names the models' own columns take.
+RESERVED = ("label", "features", "raw_features")
+
 
 def raw_value(df: DataFrame, name: str) -> Column:
     """Target value as text, whole numbers without a fraction, so 1 and 1.0 are one class."""
@@ -58,6 +61,9 @@ def prepare(
     own = [ROW_KEY, RAW_TARGET]
     timed = time_parts(marked, feature_names(marked, scene, [*key, *own]))
     features = feature_names(timed, scene, [*key, *own])
+    taken = sorted(set(features).intersection(RESERVED))
+    if taken:
+        raise ValueError(f"features must not be named {', '.join(taken)}")
     return fill_nulls(timed, skip=[target, *key, *own]), features
 
 

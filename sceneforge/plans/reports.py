@@ -5,29 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from sceneforge.operators import columns, frequencies, profile
 from sceneforge.scenes import Scene
+from sceneforge.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class QualityReport:
-    """Profile of a table, its warnings, and how its columns differ from the scene's."""
+    """Profile of a table with its warnings, and how its columns differ from the scene's."""
 
     columns: DataFrame
-    warnings: DataFrame
     drift: DataFrame
 
+    @property
+    def warnings(self) -> DataFrame:
+        return self.columns.filter(F.col("warning").isNotNull()).select("name", "ordinal", "warning")
+
 
 def profile_table(df: DataFrame, scene: Scene | None = None, table: str = "input") -> QualityReport:
     """One aggregation per forty columns; an empty table gives rows with zero totals."""
     tidy = columns.tidy_columns(df)
-    measured = profile.profile_columns(tidy)
+    measured = profile.add_warnings(profile.profile_columns(tidy))
     required = scene.required if scene else ()
     return QualityReport(
         columns=measured,
-        warnings=profile.missing_warnings(measured),
         drift=columns.schema_drift(columns.table_columns(tidy, table), required),
     )
 
@@ -38,17 +41,15 @@ def suggest_target(df: DataFrame, names: Sequence[str] | None = None, samples: i
     The whole table is read once for the value counts; pass ``first_rows`` of a
     table to look at a bounded sample only.
     """
-    counted = frequencies.value_frequencies(df, names)
-    guessed = frequencies.guess_target(frequencies.distinct_counts(counted))
-    shown = frequencies.sample_values(counted, samples).select("ordinal", "sample_values")
-    return guessed.join(shown, "ordinal").select(
+    described = frequencies.describe_values(frequencies.value_frequencies(df, names), samples)
+    return frequencies.guess_target(described).select(
         "column_name", "ordinal", "distinct_values", "is_candidate", "is_guess", "sample_values"
     )
 
 
 def scene_draft(df: DataFrame, scene_id: str) -> Scene:
     """A scene for a table nobody configured yet: guessed target and default class names."""
-    counted = frequencies.value_frequencies(df)
+    counted = cut_lineage(frequencies.value_frequencies(df))
     guess = frequencies.guess_target(frequencies.distinct_counts(counted)).filter("is_guess").first()
     few = frequencies.target_values(counted, guess.column_name).limit(1000).collect()
     return Scene(

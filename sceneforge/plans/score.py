@@ -11,7 +11,7 @@ from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from sceneforge.functions import class_name
+from sceneforge.functions import class_name, column
 from sceneforge.operators import features as feat, learners, metrics, registry, runlog, scoring
 from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, add_label, class_names, prepare
 from sceneforge.plans.train import known_events, version_folder, wide_path
@@ -19,6 +19,8 @@ from sceneforge.scenes import Scene
 from sceneforge.sources.results import append_results
 from sceneforge.sources.tables import read_table
 
+INPUT = "_input"
+
 
 @dataclass(frozen=True)
 class Loaded:
@@ -66,9 +68,14 @@ class Scorer:
         self.failures: dict[str, str] = {}
         self._loaded: dict[str, Loaded] = {}
 
+    @property
+    def some_entry(self) -> Row:
+        """Any model's entry; classes and features are the same for all models of a version."""
+        return next(iter(self.entries.values()))
+
     @property
     def classes(self) -> list[str]:
-        return next(iter(self.entries.values())).class_values
+        return self.some_entry.class_values
 
     @property
     def binary(self) -> bool:
@@ -103,16 +110,21 @@ class Scorer:
         return usable
 
     def featurize(self, df: DataFrame, stages: Sequence[Transformer], first: int | None = None) -> DataFrame:
-        """Prepared table with its feature vectors; of the first rows by key only when asked."""
-        table, _ = prepare(df, self.scene, self.key)
+        """Row key, label and feature vector of each row, next to the prepared row as a struct.
+
+        Only the first rows by key when asked, picked before any model runs.
+        """
+        table, names = prepare(df, self.scene, self.key)
         if first is not None:
             table = table.orderBy(ROW_KEY).limit(first)
-        table = add_label(table, self.classes)
-        spark = df.sparkSession
-        for name in next(iter(self.entries.values())).wide_columns or []:
-            index = spark.read.parquet(wide_path(self.folder, self.scene.scene_id, name))
-            table = feat.apply_wide_index(table, name, index)
-        return feat.transform_with(table, *stages).drop("raw_features")
+        own = [c for c in (ROW_KEY, RAW_TARGET) if c in table.columns]
+        carried = F.struct(*[column(c) for c in table.columns if c not in own]).alias(INPUT)
+        slim = add_label(table.select(*own, carried, *[column(n) for n in names]), self.classes)
+        for name in self.some_entry.wide_columns or []:
+            index = df.sparkSession.read.parquet(wide_path(self.folder, self.scene.scene_id, name))
+            slim = feat.apply_wide_index(slim, name, index)
+        label = ["label"] if "label" in slim.columns else []
+        return feat.transform_with(slim, *stages).select(ROW_KEY, INPUT, *label, "features")
 
     def score(self, df: DataFrame, models: Sequence[Loaded], first: int | None = None) -> DataFrame:
         """The table with one prediction and confidence column per model, in one pass.
@@ -125,20 +137,18 @@ class Scorer:
         """Scored rows of one model: the input's columns, prediction, its name, confidence and label."""
         scored = self.score(df, [model], first)
         prediction = model.prediction(self.binary)
-        inner = {"features", "label", RAW_TARGET, ROW_KEY}
-        kept = [
-            c for c in scored.columns
-            if c not in inner and not c.endswith(("_idx", feat.WIDE_SUFFIX)) and ":" not in c
-        ]
-        label = [F.col("label")] if "label" in scored.columns else []
+        made = {
+            "row_key": F.col(ROW_KEY),
+            "prediction": prediction,
+            "prediction_orig": F.col(f"{model.algo}:prediction"),
+            "predicted": class_name(prediction, self.names),
+            "confidence": model.confidence(self.binary),
+        }
+        if "label" in scored.columns:
+            made["label"] = F.col("label")
+        carried = [f for f in scored.schema[INPUT].dataType.fieldNames() if f not in made]
         return scored.select(
-            F.col(ROW_KEY).alias("row_key"),
-            *[F.col(f"`{c}`") for c in kept],
-            prediction.alias("prediction"),
-            F.col(f"{model.algo}:prediction").alias("prediction_orig"),
-            class_name(prediction, self.names).alias("predicted"),
-            model.confidence(self.binary).alias("confidence"),
-            *label,
+            *[F.col(INPUT).getField(f).alias(f) for f in carried], *[c.alias(name) for name, c in made.items()]
         )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneforge import scene_catalog
 from sceneforge.functions import column, flag
@@ -60,9 +60,9 @@ def drop_listed(names: Iterable[str]) -> Hook:
     return lambda df: df.drop(*doomed)
 
 
-def add_flag(name: str, condition: Column, needs: str) -> Hook:
-    """Add a 0/1 column when the column it is derived from is there."""
-    return lambda df: df.withColumn(name, flag(condition)) if needs in df.columns else df
+def add_flag(name: str, condition: str, needs: str) -> Hook:
+    """Add a 0/1 column from a SQL condition when the column it is derived from is there."""
+    return lambda df: df.withColumn(name, flag(F.expr(condition))) if needs in df.columns else df
 
 
 def chain(*steps: Hook) -> Hook:
@@ -79,11 +79,11 @@ def built_in_hooks() -> dict[str, Hook]:
     return {
         "trans_accident": keep_values("Severity", [2, 3]),
         "shop_shipping": chain(
-            add_flag("High_Discount", F.col("Discount_offered") > 10, needs="Discount_offered"),
-            add_flag("Is_Heavy", F.col("Weight_in_gms") > 4000, needs="Weight_in_gms"),
+            add_flag("High_Discount", "Discount_offered > 10", needs="Discount_offered"),
+            add_flag("Is_Heavy", "Weight_in_gms > 4000", needs="Weight_in_gms"),
         ),
         "ind_quality": chain(
-            add_flag("Quality", column("Pass/Fail") == 1, needs="Pass/Fail"),
+            add_flag("Quality", "`Pass/Fail` = 1", needs="Pass/Fail"),
             drop_listed(["Pass/Fail", *_words(_config()["ind_quality"]["ignored"])]),
         ),
     }
@@ -97,14 +97,15 @@ def _words(text: str | None) -> tuple[str, ...]:
 
 
 def _config(text: str = scene_catalog.BUILT_IN) -> dict[str, dict]:
-    return yaml.safe_load(text).get("scenes") or {}
+    """Scene entries, every scalar as text: a label named ``No`` is no boolean."""
+    return yaml.load(text, Loader=yaml.BaseLoader).get("scenes") or {}
 
 
 def scene_from(scene_id: str, entry: dict, hook: Hook | None = None) -> Scene:
     """Build a scene from its configuration entry; label keys may be numbers or text."""
     numbered = entry.get("numbered")
     series = (
-        tuple(f"{numbered['prefix']}{i}" for i in range(numbered["first"], numbered["last"] + 1))
+        tuple(f"{numbered['prefix']}{i}" for i in range(int(numbered["first"]), int(numbered["last"]) + 1))
         if numbered
         else ()
     )

@@ -8,6 +8,7 @@ from sceneforge.scenes import Scene
 
 # A table file or folder is named <scene>[_clean].<csv|parquet>.
 _TABLE_NAME = r"([^/]+)\.(csv|parquet)(?:/[^/]*)?$"
+_TABLE_PATH = r"^(.*?\.(?:csv|parquet))(?:/[^/]*)?$"
 _CLEAN_SUFFIX = r"_clean$"
 
 
@@ -53,7 +54,7 @@ def discover_tables(spark: SparkSession, folder: str, scenes: dict[str, Scene])
     )
     known = F.col("scene_id").isin(list(scenes))
     return (
-        listing.withColumn("table_path", F.regexp_extract("path", r"^(.*\.(?:csv|parquet))(?:/[^/]*)?$", 1))
+        listing.withColumn("table_path", F.regexp_extract("path", _TABLE_PATH, 1))
         .withColumn("scene_id", scene_of_path(F.col("path")))
         .filter(known)
         .groupBy("scene_id", "table_path")

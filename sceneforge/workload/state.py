@@ -179,27 +179,64 @@ state AS (SELECT task_id, max(seq) AS seq, """ + ", ".join(
 ) + " FROM log GROUP BY task_id)"
 
 
+def _run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of runs: sign-ups open them, clicks and views note progress, the rest close them."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("task_id"),
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("kind"),
+        "ts",
+        "value",
+        "props",
+        F.concat(F.lit("model "), (F.col("event_id") % 4).cast("string")).alias("model"),
+        F.concat(F.lit("Evaluating "), (F.col("event_id") % 4).cast("string")).alias("stage"),
+        F.when(F.col("value") < 10, "  ")
+        .otherwise(F.concat(F.lit("scene_"), (F.col("user_id") % 4).cast("string")))
+        .alias("scene"),
+        F.concat(F.lit("in/"), F.col("event_id").cast("string"), F.lit(".csv")).alias("path"),
+    )
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as log rows: sign-ups open runs, clicks and views note progress, the rest close them."""
-    events = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "event_type", "ts", "value", "props"
+    """The whole log in one pass over the events."""
+    kind = F.col("kind")
+    opens, done, fails = kind == "signup", kind == "purchase", kind == "error"
+    closes = done | fails
+    return _run_events(spark, sf_dir).select(
+        "task_id",
+        "seq",
+        F.when(opens, runlog.scene_or_unknown(F.col("scene"))).alias("scene_type"),
+        F.when(opens, F.col("ts")).alias("predict_time"),
+        F.when(closes, F.col("ts")).alias("finish_time"),
+        F.when(opens, F.col("path")).alias("file_path"),
+        F.when(opens, F.lit("auto")).alias("model_type"),
+        F.when(done, F.col("value")).when(opens | fails, 0.0).alias("accuracy"),
+        F.when(opens, runlog.OPEN["status"]).when(done, "completed").when(fails, "failed").alias("status"),
+        F.when(done, F.col("props")).when(fails, F.substring("props", 1, 4)).alias("result_json"),
+        F.when(opens, runlog.OPEN["current_model"])
+        .when(closes, runlog.CLOSED["current_model"])
+        .when(kind == "click", F.col("model"))
+        .alias("current_model"),
+        F.when(opens, runlog.OPEN["model_progress_status"])
+        .when(closes, runlog.CLOSED["model_progress_status"])
+        .when(kind == "view", F.col("stage"))
+        .alias("model_progress_status"),
     )
-    kind, of_four = F.col("event_type"), (F.col("seq") % 4).cast("string")
+
+
+@query(f"WITH {_SQL_LOG} SELECT * FROM log")
+def runlog_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, K7, K8: opening, progress and closing rows of all runs, each kind by its own operator."""
+    events, kind = _run_events(spark, sf_dir), F.col("kind")
+    done = kind == "purchase"
     opened = events.filter(kind == "signup").select(
         "task_id",
         "seq",
-        F.when(F.col("value") < 10, "  ")
-        .otherwise(F.concat(F.lit("scene_"), (F.col("task_id") % 4).cast("string")))
-        .alias("scene_type"),
+        F.col("scene").alias("scene_type"),
         F.col("ts").alias("predict_time"),
-        F.concat(F.lit("in/"), F.col("seq").cast("string"), F.lit(".csv")).alias("file_path"),
+        F.col("path").alias("file_path"),
         F.lit("auto").alias("model_type"),
     )
-    clicked = events.filter(kind == "click").withColumn("current_model", F.concat(F.lit("model "), of_four))
-    viewed = events.filter(kind == "view").withColumn(
-        "model_progress_status", F.concat(F.lit("Evaluating "), of_four)
-    )
-    done = kind == "purchase"
     closed = events.filter(kind.isin("purchase", "error")).select(
         "task_id",
         "seq",
@@ -208,20 +245,12 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(done, F.col("props")).otherwise(F.substring("props", 1, 4)).alias("result_json"),
         F.col("ts").alias("finish_time"),
     )
-    steps = [
-        runlog.open_rows(opened), runlog.progress_rows(clicked),
-        runlog.progress_rows(viewed), runlog.close_rows(closed),
-    ]
-    log = steps[0]
-    for step in steps[1:]:
+    clicked = events.filter(kind == "click").withColumnRenamed("model", "current_model")
+    viewed = events.filter(kind == "view").withColumnRenamed("stage", "model_progress_status")
+    log = runlog.open_rows(opened)
+    for step in (runlog.progress_rows(clicked), runlog.progress_rows(viewed), runlog.close_rows(closed)):
         log = log.unionByName(step, allowMissingColumns=True)
-    return log
-
-
-@query(f"WITH {_SQL_LOG} SELECT * FROM log")
-def runlog_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6, K7, K8: opening, progress and closing rows of all runs."""
-    return _log(spark, sf_dir).select("task_id", "seq", *runlog.STATE_FIELDS)
+    return log.select("task_id", "seq", *runlog.STATE_FIELDS)
 
 
 @query(f"WITH {_SQL_LOG} SELECT * FROM state")

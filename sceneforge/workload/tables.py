@@ -161,9 +161,9 @@ FROM lineitem
 def derive_binary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target and flags derived by conditions; unknown counts as 0."""
     hook = chain(
-        add_flag("high_discount", F.col("l_discount") > 0.05, needs="l_discount"),
-        add_flag("is_heavy", F.nullif(F.col("l_quantity"), F.lit(50.0)) > 40, needs="l_quantity"),
-        add_flag("not_returned", F.col("l_returnflag") == "N", needs="l_returnflag"),
+        add_flag("high_discount", "l_discount > 0.05", needs="l_discount"),
+        add_flag("is_heavy", "nullif(l_quantity, 50) > 40", needs="l_quantity"),
+        add_flag("not_returned", "l_returnflag = 'N'", needs="l_returnflag"),
     )
     lines = table(spark, sf_dir, "lineitem").transform(hook)
     return lines.select(*LINE_KEY, "high_discount", "is_heavy", "not_returned")
@@ -329,13 +329,8 @@ FROM r GROUP BY ALL
 """)
 def distinct_and_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values per column and its five most frequent ones."""
-    counted = _event_frequencies(table(spark, sf_dir, "events"))
-    shown = frequencies.sample_values(counted).select(
-        "ordinal", F.array_join("sample_values", "~").alias("sample_values")
-    )
-    return frequencies.distinct_counts(counted).join(shown, "ordinal").select(
-        "column_name", "ordinal", "distinct_values", "sample_values"
-    )
+    described = frequencies.describe_values(_event_frequencies(table(spark, sf_dir, "events")))
+    return described.withColumn("sample_values", F.array_join("sample_values", "~"))
 
 
 @query("""
