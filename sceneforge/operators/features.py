@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from sceneforge.functions import column, is_text, quoted
@@ -19,21 +19,26 @@ INDEXER_CATEGORIES = 100_000
 
 WIDE_SUFFIX = "_wide_idx"
 
-# Suffix of the lower-bounded copy of a number.
-RAISED = ":raised"
+# Suffix of the scaled copy of a column.
+SCALED = ":scaled"
+
+
+# Classes a target may have; more than this is no classification.
+MOST_CLASSES = 100_000
 
 
 @dataclass(frozen=True)
 class FeaturePlan:
-    """Which columns become features, and how."""
+    """Which columns become features, how, and between which values the numbers lie."""
 
     categories: tuple[str, ...]
     wide_categories: tuple[str, ...]
     numbers: tuple[str, ...]
+    ranges: Mapping[str, tuple[float, float]]
 
     @property
     def inputs(self) -> list[str]:
-        """Vector slots in order; each takes exactly one."""
+        """Columns assembled, in order; each fills one slot of the vector."""
         return [
             *[f"{c}_idx" for c in self.categories],
             *[f"{c}{WIDE_SUFFIX}" for c in self.wide_categories],
@@ -47,77 +52,92 @@ class FeaturePlan:
 
 
 def plan_features(
-    df: DataFrame, features: Sequence[str], max_categories: int = INDEXER_CATEGORIES
+    df: DataFrame, features: Sequence[str], target: str | None = None, max_categories: int = INDEXER_CATEGORIES
 ) -> FeaturePlan:
     """Sort features into numbers, categories, and categories too many for an indexer.
 
-    One aggregation estimates the categories of all text columns; the estimate
-    only chooses the way of indexing, both ways give the same index.
+    One aggregation finds the ranges of the numbers and estimates the number of
+    categories and classes.  The estimate only chooses the way of indexing; both
+    ways give the same index.
     """
     text = [f.name for f in df.schema.fields if f.name in features and is_text(f)]
     numbers = numeric_names(df, features)
     odd = sorted(set(features) - set(text) - set(numbers))
     if odd:
         raise ValueError(f"no way to use these columns as features: {', '.join(odd)}")
-    if not text:
-        return FeaturePlan((), (), tuple(numbers))
-    sizes = df.agg(*[F.approx_count_distinct(column(c)).alias(c) for c in text]).first().asDict()
+    if not features:
+        raise ValueError("no feature columns")
+    counted = [*text, *([target] if target else [])]
+    found = df.agg(
+        *[F.approx_count_distinct(column(c)).alias(f"n:{c}") for c in counted],
+        *[F.min(column(c).cast("double")).alias(f"lo:{c}") for c in numbers],
+        *[F.max(column(c).cast("double")).alias(f"hi:{c}") for c in numbers],
+    ).first()
+    if target and found[f"n:{target}"] > MOST_CLASSES:
+        raise ValueError(f"the target has about {found[f'n:{target}']} values, too many for classes")
     return FeaturePlan(
-        tuple(c for c in text if sizes[c] <= max_categories),
-        tuple(c for c in text if sizes[c] > max_categories),
-        tuple(numbers),
+        categories=tuple(c for c in text if found[f"n:{c}"] <= max_categories),
+        wide_categories=tuple(c for c in text if found[f"n:{c}"] > max_categories),
+        numbers=tuple(numbers),
+        ranges={c: (found[f"lo:{c}"] or 0.0, found[f"hi:{c}"] or 0.0) for c in numbers},
     )
 
 
-# --- the label -------------------------------------------------------------------------
-
-
-def fit_label_index(df: DataFrame, target: str) -> StringIndexerModel:
-    """Classes by falling count, ties by name; the one place that defines class indices."""
-    with_label = df.filter(column(target).isNotNull())
-    return StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip").fit(with_label)
-
-
-# --- the features ----------------------------------------------------------------------
+def fit_indexes(df: DataFrame, plan: FeaturePlan, target: str) -> tuple[list[str], StringIndexerModel | None]:
+    """Classes of the target and the index of the categories, from one pass.
 
+    Classes and categories are numbered by falling count, ties by name; this is
+    the one place that says which class has which index.  A category not seen
+    here gets an extra index.
+    """
+    names = [target, *plan.categories]
+    fitted = StringIndexer(
+        inputCols=names, outputCols=[f"{c}_idx" for c in names], handleInvalid="keep"
+    ).fit(df)
+    classes, *categories = fitted.labelsArray
+    if not categories:
+        return list(classes), None
+    indexer = StringIndexerModel.from_arrays_of_labels(
+        [list(c) for c in categories],
+        list(plan.categories),
+        [f"{c}_idx" for c in plan.categories],
+        handleInvalid="keep",
+    )
+    return list(classes), indexer
 
 
-def fit_features(df: DataFrame, plan: FeaturePlan, scale: bool = True) -> PipelineModel:
-    """Index categories (unseen ones get an extra index), assemble, scale to [0, 1].
+def feature_stages(
+    plan: FeaturePlan,
+    indexer: StringIndexerModel | None,
+    wide_sizes: Mapping[str, int] | None = None,
+    scale: bool = True,
+) -> PipelineModel:
+    """Index, scale to [0, 1], assemble, all from what was found before, so without another pass.
 
-    A table to be scored can have numbers below the smallest one seen here;
-    they are raised to it, since naive Bayes refuses negative features.
-    ``scale=False`` leaves the values as they are, which trees do not mind.
+    Scaling is a projection of plain arithmetic.  A table to be scored can have
+    numbers below the smallest one found here; they are raised to it, since
+    naive Bayes refuses negative features.  ``scale=False`` leaves the values as
+    they are, which trees do not mind.
     """
-    stages: list[Transformer] = []
-    if plan.categories:
-        indexer = StringIndexer(
-            inputCols=list(plan.categories),
-            outputCols=[f"{c}_idx" for c in plan.categories],
-            handleInvalid="keep",
-        )
-        stages.append(indexer.fit(df))
+    stages: list[Transformer] = [] if indexer is None else [indexer]
     if not scale:
         return PipelineModel([*stages, VectorAssembler(inputCols=plan.inputs, outputCol="features")])
-    assembler = VectorAssembler(inputCols=plan.inputs, outputCol="raw_features")
-    raw = assembler.transform(transform_with(df, *stages))
-    scaler = MinMaxScaler(inputCol="raw_features", outputCol="features").fit(raw)
-    if plan.numbers:
-        lowest = dict(zip(plan.inputs, scaler.originalMin.toArray()))
-        stages.append(_raise_to(plan.numbers, lowest))
-        assembler = VectorAssembler(
-            inputCols=[c + RAISED if c in plan.numbers else c for c in plan.inputs], outputCol="raw_features"
-        )
-    return PipelineModel([*stages, assembler, scaler])
-
-
-def _raise_to(names: Sequence[str], lowest: Mapping[str, float]) -> SQLTransformer:
-    """Stage that copies number columns with a lower bound, as one projection."""
-    bounded = ", ".join(
-        f"greatest(CAST({quoted(c)} AS DOUBLE), CAST('{float(lowest[c])!r}' AS DOUBLE)) AS {quoted(c + RAISED)}"
-        for c in names
-    )
-    return SQLTransformer(statement=f"SELECT *, {bounded} FROM __THIS__")
+    ranges = dict(plan.ranges)
+    if indexer is not None:
+        sizes = {c: len(labels) for c, labels in zip(plan.categories, indexer.labelsArray)}
+        ranges.update({f"{c}_idx": (0.0, float(max(n - 1, 0))) for c, n in sizes.items()})
+    for c, n in (wide_sizes or {}).items():
+        ranges[f"{c}{WIDE_SUFFIX}"] = (0.0, float(max(n - 1, 0)))
+    scaled = ", ".join(f"{_scaled(c, *ranges[c])} AS {quoted(c + SCALED)}" for c in plan.inputs)
+    assembler = VectorAssembler(inputCols=[c + SCALED for c in plan.inputs], outputCol="features")
+    return PipelineModel([*stages, SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), assembler])
+
+
+def _scaled(name: str, low: float, high: float) -> str:
+    if low == high:
+        return "0.5D"
+    number = f"CAST('{low!r}' AS DOUBLE)"
+    return f"(greatest(CAST({quoted(name)} AS DOUBLE), {number}) - {number}) / CAST('{high - low!r}' AS DOUBLE)"
 
 
 # --- wide categories -------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sceneforge.functions import column
-from sceneforge.session import cut_lineage
+from sceneforge.session import write_out
 
 # Words that mark a target column, most telling first.
 TARGET_WORDS = (
@@ -82,7 +82,7 @@ def describe_values(frequencies: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame
     The counts are read twice, so they are written out first; the table they
     come from is read once.
     """
-    kept = cut_lineage(frequencies)
+    kept = write_out(frequencies, "frequencies")
     shown = sample_values(kept, k).select("ordinal", "sample_values")
     return distinct_counts(kept).join(shown, "ordinal")
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sceneforge.session import cut_lineage
+from sceneforge.session import write_out
 
 # Rows one task may number.
 ROWS_PER_TASK = 500_000
@@ -20,17 +20,20 @@ def number_rows(
 ) -> DataFrame:
     """Add the 1-based position of each row under a total order.
 
-    The rows are written out sorted into ranges; each range is numbered on its
-    own and shifted by the row count of the ranges before it.  The table of
-    range sizes has one row per range, so it is the only broadcast side.
+    The rows are written out in ranges; each range is numbered on its own and
+    shifted by the row count of the ranges before it.  The table of range sizes
+    has one row per range, so it is the only broadcast side.
     """
     tasks = max(1, -(-df.count() // rows_per_task))
     part, within, size, shift = "_range", "_within", "_size", "_shift"
-    ranged = cut_lineage(df.repartitionByRange(tasks, *order)) if tasks > 1 else df
-    parted = ranged.withColumn(part, F.spark_partition_id() if tasks > 1 else F.lit(0))
-    numbered = parted.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     if tasks == 1:
-        return numbered.withColumn(name, F.col(within).cast("long")).drop(part, within)
+        alone = df.withColumn(part, F.lit(0))
+        position = F.row_number().over(Window.partitionBy(part).orderBy(*order)).cast("long")
+        return alone.withColumn(name, position).drop(part)
+    parted = write_out(
+        df.repartitionByRange(tasks, *order).withColumn(part, F.spark_partition_id()), "ranges"
+    )
+    numbered = parted.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     sizes = parted.groupBy(part).agg(F.count(F.lit(1)).alias(size))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(shift))
@@ -47,10 +50,11 @@ def frequency_index(df: DataFrame, name: str, rows_per_task: int = ROWS_PER_TASK
     The same numbers a string indexer gives, but the categories stay
     distributed.  The counts are written out once, since they are read twice.
     """
-    counts = cut_lineage(
+    counts = write_out(
         df.filter(F.col(name).isNotNull())
         .groupBy(F.col(name).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.count(F.lit(1)).alias("cnt")),
+        "counts",
     )
     ranked = number_rows(counts, [F.desc("cnt"), F.asc("value")], "idx", rows_per_task)
     return ranked.select("value", "cnt", (F.col("idx") - 1).alias("idx"))

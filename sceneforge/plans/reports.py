@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sceneforge.operators import columns, frequencies, profile
 from sceneforge.scenes import Scene
-from sceneforge.session import cut_lineage
+from sceneforge.session import write_out
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def suggest_target(df: DataFrame, names: Sequence[str] | None = None, samples: i
 
 def scene_draft(df: DataFrame, scene_id: str) -> Scene:
     """A scene for a table nobody configured yet: guessed target and default class names."""
-    counted = cut_lineage(frequencies.value_frequencies(df))
+    counted = write_out(frequencies.value_frequencies(df), "frequencies")
     guess = frequencies.guess_target(frequencies.distinct_counts(counted)).filter("is_guess").first()
     few = frequencies.target_values(counted, guess.column_name).limit(1000).collect()
     return Scene(

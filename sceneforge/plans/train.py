@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sceneforge.functions import column
 from sceneforge.operators import balance, features as feat, learners, metrics, registry, scoring
-from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, prepare
+from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, add_label, prepare
 from sceneforge.scenes import Scene, load_scenes
 from sceneforge.session import ensure_checkpoints
 from sceneforge.sources.tables import discover_tables, read_table
@@ -69,34 +69,30 @@ def train_scene(
     prepared.persist(StorageLevel.MEMORY_AND_DISK)
     ready = None
     try:
-        classes = feat.fit_label_index(prepared, RAW_TARGET)
-        if len(classes.labels) < 2:
-            raise ValueError(f"scene {scene.scene_id} has {len(classes.labels)} classes, two are needed")
-        binary = len(classes.labels) == 2
-        plan = feat.plan_features(prepared, names, max_categories)
-        table = _index_wide(prepared, plan, folder, scene.scene_id)
-        if plan.wide_categories:
-            table.persist(StorageLevel.MEMORY_AND_DISK)
-        stages = feat.fit_features(table, plan, scale)
-
-        ready = feat.transform_with(table, classes, stages).select(
+        plan = feat.plan_features(prepared, names, RAW_TARGET, max_categories)
+        classes, indexer = feat.fit_indexes(prepared, plan, RAW_TARGET)
+        if len(classes) < 2:
+            raise ValueError(f"scene {scene.scene_id} has {len(classes)} classes, two are needed")
+        table, wide_sizes = _index_wide(prepared, plan, folder, scene.scene_id)
+        stages = feat.feature_stages(plan, indexer, wide_sizes, scale)
+
+        ready = feat.transform_with(add_label(table, classes), stages).select(
             "features", "label", ROW_KEY, balance.split_name([ROW_KEY], SHARES).alias("part")
         )
         ready.persist(StorageLevel.MEMORY_AND_DISK)
         rows = ready.count()
         prepared.unpersist()
-        table.unpersist()
         train = balance.oversample(
             ready.filter(F.col("part") == "train"), [ROW_KEY], cap=scene.oversample_cap
         ).select("features", "label")
         found = []
-        for algo in algos or learners.algorithms_for(len(classes.labels)):
-            model = learners.classifier(algo, len(classes.labels), rounds).fit(train)
+        for algo in algos or learners.algorithms_for(len(classes)):
+            model = learners.classifier(algo, len(classes), rounds).fit(train)
             path = f"{folder}/{scene.scene_id}_{algo}.model"
             PipelineModel([*stages.stages, model]).write().overwrite().save(path)
             found.append(
                 {
-                    **_evaluate(model, ready, binary),
+                    **_evaluate(model, ready, binary=len(classes) == 2),
                     "algo": algo,
                     "model_path": path,
                     "features": [
@@ -116,8 +112,8 @@ def train_scene(
         "dataset": dataset or scene.scene_id,
         "rows": rows,
         "train_size": rows,
-        "num_classes": len(classes.labels),
-        "class_values": list(classes.labels),
+        "num_classes": len(classes),
+        "class_values": classes,
         "slots": plan.slot_names,
         "wide_columns": list(plan.wide_categories),
     }
@@ -134,14 +130,18 @@ def _entry_schema(entries: list[dict]) -> T.StructType:
     return T.StructType([T.DataType.fromDDL(registry.EVENT_SCHEMA)[name] for name in entries[0]])
 
 
-def _index_wide(table: DataFrame, plan: feat.FeaturePlan, folder: str, scene_id: str) -> DataFrame:
+def _index_wide(
+    table: DataFrame, plan: feat.FeaturePlan, folder: str, scene_id: str
+) -> tuple[DataFrame, dict[str, int]]:
     """Write the index table of each category too wide for an indexer, and join it."""
-    spark = table.sparkSession
+    spark, sizes = table.sparkSession, {}
     for name in plan.wide_categories:
         where = wide_path(folder, scene_id, name)
         feat.fit_wide_index(table, name).write.mode("overwrite").parquet(where)
-        table = feat.apply_wide_index(table, name, spark.read.parquet(where))
-    return table
+        index = spark.read.parquet(where)
+        sizes[name] = index.count()
+        table = feat.apply_wide_index(table, name, index)
+    return table, sizes
 
 
 def _evaluate(model: Model, ready: DataFrame, binary: bool) -> dict:

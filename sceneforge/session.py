@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, checkpoints and written hand-over tables."""
+"""Session helpers: the shared folder, checkpoints and tables handed over through files."""
 
 from __future__ import annotations
 
@@ -37,7 +37,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+def write_out(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from the files.
+
+    What follows can read it several times without computing it again, and a
+    lost executor costs no more than reading its files elsewhere.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import MinMaxScaler, StringIndexer
 from pyspark.sql import functions as F
 
 from sceneforge.operators import features as feat, ranking
@@ -17,11 +17,27 @@ def _vectors(df):
     return [list(r.v) for r in df.select(vector_to_array("features").alias("v")).collect()]
 
 
+def _fitted(df, features, scale=True):
+    plan = feat.plan_features(df, features)
+    indexer = feat.fit_indexes(df.withColumn("t", F.lit("x")), plan, "t")[1]
+    return feat.feature_stages(plan, indexer, scale=scale)
+
+
 def test_index_equals_the_string_indexer(spark):
     df = spark.createDataFrame([(v,) for v in "bbaaccd"], "s string")
     labels = StringIndexer(inputCol="s", outputCol="i").fit(df).labels
     assert [r.value for r in ranking.frequency_index(df, "s").orderBy("idx").collect()] == list(labels)
-    assert list(feat.fit_label_index(df, "s").labels) == ["a", "b", "c", "d"]
+    plan = feat.plan_features(df.withColumn("x", F.lit(1)), ["x"])
+    assert feat.fit_indexes(df, plan, "s") == (["a", "b", "c", "d"], None)
+
+
+def test_too_many_classes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(feat, "MOST_CLASSES", 50)
+    df = spark.range(200).select(F.col("id").cast("string").alias("t"), "id")
+    with pytest.raises(ValueError, match="too many for classes"):
+        feat.plan_features(df, ["id"], "t")
+    with pytest.raises(ValueError, match="no feature columns"):
+        feat.plan_features(df, [], "t")
 
 
 def test_plan_sorts_features(spark):
@@ -36,8 +52,7 @@ def test_plan_sorts_features(spark):
 
 def test_scaled_vector_equals_the_sql_form(spark):
     df = _sample(spark)
-    plan = feat.plan_features(df, df.columns)
-    got = _vectors(feat.fit_features(df, plan).transform(df))
+    got = _vectors(_fitted(df, df.columns).transform(df))
     indexed = df.join(
         ranking.frequency_index(df, "s").select(F.col("value").alias("s"), F.col("idx").alias("s_idx")), "s"
     ).withColumn("b", F.col("b").cast("int"))
@@ -45,11 +60,14 @@ def test_scaled_vector_equals_the_sql_form(spark):
     want = [[r.s_idx_scaled, r.x_scaled, r.b_scaled, r.c_scaled] for r in scaled.collect()]
     assert sorted(got) == sorted(want)
     assert all(v[3] == 0.5 for v in got)
+    raw = _fitted(df, df.columns, scale=False).transform(df)
+    spark_scaled = MinMaxScaler(inputCol="features", outputCol="scaled").fit(raw).transform(raw)
+    assert sorted(got) == sorted(_vectors(spark_scaled.drop("features").withColumnRenamed("scaled", "features")))
 
 
 def test_unseen_category_gets_the_extra_index_and_low_values_are_raised(spark):
     df = _sample(spark)
-    model = feat.fit_features(df, feat.plan_features(df, df.columns))
+    model = _fitted(df, df.columns)
     new = spark.createDataFrame([("zzz", -100.0, True, 5)], df.schema)
     vector = _vectors(model.transform(new))[0]
     assert vector[0] == 1.5 and vector[1] == 0.0  # index 3 over a range of 2; raised to the smallest
@@ -57,7 +75,7 @@ def test_unseen_category_gets_the_extra_index_and_low_values_are_raised(spark):
 
 def test_unscaled_features(spark):
     df = _sample(spark)
-    model = feat.fit_features(df, feat.plan_features(df, ["x", "c"]), scale=False)
+    model = _fitted(df, ["x", "c"], scale=False)
     assert sorted(_vectors(model.transform(df))) == [[1, 5], [2, 5], [3, 5], [5, 5]]
 
 
@@ -73,7 +91,7 @@ def test_wide_index_equals_the_indexer(spark):
 
 def test_names_with_brackets_and_slashes(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0)], ["Air_temperature_[K]", "Departure/Arrival (x)"])
-    model = feat.fit_features(df, feat.plan_features(df, df.columns))
+    model = _fitted(df, df.columns)
     assert sorted(_vectors(model.transform(df))) == [[0, 0], [1, 1]]
 
 

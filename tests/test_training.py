@@ -57,7 +57,7 @@ def test_registry_rows(spark, trained):
 def test_saved_model_is_one_whole_chain(spark, trained):
     root, _ = trained
     path = registry.latest_models(known_events(spark, root)).filter("algo = 'random_forest'").first().model_path
-    assert len(PipelineModel.load(path).stages) == 5
+    assert len(PipelineModel.load(path).stages) == 4
 
 
 def test_scores(spark, trained):
