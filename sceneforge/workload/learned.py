@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneforge.operators import scoring
-from sceneforge.plans.score import Scorer, score_table
-from sceneforge.plans.train import train_scene
-from sceneforge.scenes import Scene
+from sceneforge.operators import registry, runlog, scoring
+from sceneforge.plans.score import Scorer, run_logged, score_table
+from sceneforge.plans.train import known_events, train_folder, train_scene
+from sceneforge.scenes import Scene, keep_values
 from sceneforge.session import scratch_path
 from sceneforge.workload import query
 from sceneforge.workload.inputs import labeled_documents, scored_lines, table
 
 DOC_QUALITY = Scene("doc_quality", "quality", labels={"0": "Poor", "1": "Good"})
 ORDER_STATUS = Scene("order_status", "o_orderstatus", labels={"F": "Filled", "O": "Open", "P": "Pending"})
+ORDER_OPEN = Scene(
+    "order_open", "o_orderstatus", labels={"F": "Filled", "O": "Open"}, hook=keep_values("o_orderstatus", ["F", "O"])
+)
 
 # Boosting rounds of the slow learner here; a full training has a hundred.
 FEW_ROUNDS = 10
@@ -75,6 +78,43 @@ def train_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _train_and_score(spark, orders, ORDER_STATUS, ["o_orderkey", "o_custkey"], ["random_forest", "naive_bayes"], "auto")
 
 
+@query()
+def train_every_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scene with a table in a folder trained; one registry row per model."""
+    folder, root = scratch_path(spark, "datasets"), scratch_path(spark, "models")
+    orders = table(spark, sf_dir, "orders").drop("o_orderdate").withColumnRenamed("o_orderkey", "id")
+    orders.write.option("header", True).csv(f"{folder}/order_open_clean.csv")
+    labeled_documents(spark, sf_dir).write.parquet(f"{folder}/doc_quality.parquet")
+    table(spark, sf_dir, "nation").write.parquet(f"{folder}/no_scene.parquet")
+    scenes = {"order_open": ORDER_OPEN, "doc_quality": DOC_QUALITY}
+    train_folder(spark, folder, root, scenes, algos=["naive_bayes"])
+    listed = registry.latest_models(known_events(spark, root))
+    return listed.select(
+        "scene_id", "version", "algo", "rows", "num_classes", F.round("accuracy", 6).alias("accuracy"),
+        F.round("f1_score", 6).alias("f1_score"), F.round("tuned_f1", 6).alias("tuned_f1"), "threshold",
+    )
+
+
+@query()
+def scored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table scored as a logged run; the run's final state and result."""
+    root, path = scratch_path(spark, "models"), scratch_path(spark, "input") + ".parquet"
+    log, results = scratch_path(spark, "log"), scratch_path(spark, "results")
+    documents = labeled_documents(spark, sf_dir)
+    documents.write.parquet(path)
+    train_scene(documents, DOC_QUALITY, root, key=["doc_id"], algos=["naive_bayes"])
+    run_logged(spark, path, DOC_QUALITY, root, log, results, task_id=1, key=["doc_id"])
+    state = runlog.task_status(runlog.read_log(spark, log), 1)
+    return state.select(
+        "task_id", "scene_type", "model_type", "status", "current_model", "model_progress_status",
+        F.round("accuracy", 6).alias("accuracy"),
+        F.col("result.final_model").alias("final_model"),
+        F.size("result.chart_data").alias("previewed"),
+        F.aggregate("result.confusion_matrix", F.lit(0).cast("long"), lambda n, c: n + c["cnt"]).alias("measured"),
+        F.aggregate("result.distribution", F.lit(0).cast("long"), lambda n, d: n + d["value"]).alias("scored"),
+    )
+
+
 @query()
 def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration line fitted on scored rows, then the calibrated table by class."""

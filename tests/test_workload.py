@@ -27,7 +27,7 @@ def test_query_equals_sql(name, spark, con, sf_dir):
 
 def test_only_learned_results_have_no_sql():
     assert LEARNED == [
-        "platt_fit", "train_multiclass", "train_score_auto", "train_score_boosted",
+        "platt_fit", "scored_run", "train_every_scene", "train_multiclass", "train_score_auto", "train_score_boosted",
         "train_score_gbt", "train_score_nb", "train_score_rf",
     ]
     assert set(SQL) <= set(QUERIES)
