@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sceneforge.functions import column, is_numeric, is_text, is_time, look_up
+from sceneforge.functions import column, is_numeric, is_text, is_time, look_up, quoted
 from sceneforge.scene_catalog import KEPT_IDS, NEVER_FEATURES
 from sceneforge.scenes import Scene
 
@@ -50,7 +50,7 @@ def keep_known(df: DataFrame, scene: Scene, extra: Sequence[str] = ()) -> DataFr
     if not scene.required:
         return df
     known = {*scene.required, target_of(scene), *scene.helpers, *extra}
-    return df.select(*[column(c) for c in df.columns if c in known or c.lower() in KEPT_IDS])
+    return df.selectExpr(*[quoted(c) for c in df.columns if c in known or c.lower() in KEPT_IDS])
 
 
 def feature_names(df: DataFrame, scene: Scene, key: Sequence[str] = ()) -> list[str]:
@@ -70,29 +70,23 @@ def numeric_names(df: DataFrame, among: Sequence[str]) -> list[str]:
 
 def fill_nulls(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Numbers become 0 (NaN too), text becomes 'Unknown', booleans become false."""
-    defaults: dict[str, object] = {}
-    for f in df.schema.fields:
-        if f.name in skip:
-            continue
-        if is_numeric(f):
-            defaults[f.name] = 0
-        elif is_text(f):
-            defaults[f.name] = "Unknown"
-        elif isinstance(f.dataType, T.BooleanType):
-            defaults[f.name] = False
-    return df.select(
-        *[
-            _default_to(f, defaults[f.name]).alias(f.name) if f.name in defaults else column(f.name)
-            for f in df.schema.fields
-        ]
+    return df.selectExpr(
+        *[quoted(f.name) if f.name in skip else f"{_filled(f)} AS {quoted(f.name)}" for f in df.schema.fields]
     )
 
 
-def _default_to(field: T.StructField, default: object) -> Column:
-    value = column(field.name)
+def _filled(field: T.StructField) -> str:
+    """SQL text of the column with its type's default in place of missing values."""
+    name, kind = quoted(field.name), field.dataType.simpleString()
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        value = F.nanvl(value, F.lit(None).cast(field.dataType))
-    return F.coalesce(value, F.lit(default).cast(field.dataType))
+        return f"coalesce(nanvl({name}, NULL), CAST(0 AS {kind}))"
+    if is_numeric(field):
+        return f"coalesce({name}, CAST(0 AS {kind}))"
+    if is_text(field):
+        return f"coalesce({name}, 'Unknown')"
+    if isinstance(field.dataType, T.BooleanType):
+        return f"coalesce({name}, false)"
+    return name
 
 
 def time_parts(df: DataFrame, names: Sequence[str]) -> DataFrame:

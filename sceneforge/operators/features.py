@@ -68,10 +68,10 @@ def plan_features(
     if not features:
         raise ValueError("no feature columns")
     counted = [*text, *([target] if target else [])]
-    found = df.agg(
-        *[F.approx_count_distinct(column(c)).alias(f"n:{c}") for c in counted],
-        *[F.min(column(c).cast("double")).alias(f"lo:{c}") for c in numbers],
-        *[F.max(column(c).cast("double")).alias(f"hi:{c}") for c in numbers],
+    found = df.selectExpr(
+        *[f"approx_count_distinct({quoted(c)}) AS {quoted('n:' + c)}" for c in counted],
+        *[f"min(CAST({quoted(c)} AS DOUBLE)) AS {quoted('lo:' + c)}" for c in numbers],
+        *[f"max(CAST({quoted(c)} AS DOUBLE)) AS {quoted('hi:' + c)}" for c in numbers],
     ).first()
     if target and found[f"n:{target}"] > MOST_CLASSES:
         raise ValueError(f"the target has about {found[f'n:{target}']} values, too many for classes")

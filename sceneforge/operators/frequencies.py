@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sceneforge.functions import column
+from sceneforge.functions import quoted, text
 from sceneforge.session import write_out
 
 # Words that mark a target column, most telling first.
@@ -31,18 +31,14 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     table costs one row per task.
     """
     names = list(df.columns if columns is None else columns)
-    cells = [
-        part
-        for i, c in enumerate(names)
-        for part in (F.lit(i), F.coalesce(F.trim(column(c).cast("string")), F.lit("")))
-    ]
+    cells = ", ".join(f"{i}, coalesce(trim(CAST({quoted(c)} AS STRING)), '')" for i, c in enumerate(names))
     counted = (
-        df.select(F.stack(F.lit(len(names)), *cells).alias("ordinal", "value"))
+        df.selectExpr(f"stack({len(names)}, {cells}) AS (ordinal, value)")
         .groupBy("ordinal", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    named = F.array(*[F.lit(c) for c in names])[F.col("ordinal")]
-    return counted.select(named.alias("column_name"), "ordinal", "value", "cnt")
+    listed = ", ".join(map(text, names))
+    return counted.selectExpr(f"array({listed})[ordinal] AS column_name", "ordinal", "value", "cnt")
 
 
 def distinct_counts(frequencies: DataFrame) -> DataFrame:

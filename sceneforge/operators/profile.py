@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from sceneforge.functions import column, is_numeric
+from sceneforge.functions import is_numeric, quoted, text
 
 # Columns measured by one aggregation.  A wide table is measured in several,
 # each reading its own columns only, so generated code stays small.
@@ -16,47 +16,45 @@ COLUMNS_PER_PASS = 40
 MISSING_THRESHOLD = 50.0
 
 
-def _measures(field: T.StructField) -> list[Column]:
-    value = column(field.name)
+# The expressions are SQL text, which Spark takes in one call for all columns; a
+# table of several hundred columns would otherwise spend its time on calls.
+
+
+def _measures(field: T.StructField) -> list[str]:
+    name, value = field.name, quoted(field.name)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         # NaN would win every max and poison every mean; it counts as missing.
-        value = F.nanvl(value, F.lit(None).cast(field.dataType))
-    count = F.count(value).alias(f"n:{field.name}")
+        value = f"nanvl({value}, NULL)"
+    counted = f"count({value}) AS {quoted('n:' + name)}"
     if not is_numeric(field):
-        return [count]
-    number = value.cast("double")
-    return [
-        count,
-        F.min(number).alias(f"min:{field.name}"),
-        F.max(number).alias(f"max:{field.name}"),
-        F.avg(number).alias(f"mean:{field.name}"),
-        F.stddev_samp(number).alias(f"std:{field.name}"),
-    ]
+        return [counted]
+    number = f"CAST({value} AS DOUBLE)"
+    stats = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
+    return [counted, *[f"{fn}({number}) AS {quoted(f'{kind}:{name}')}" for kind, fn in stats.items()]]
+
+
+def _entry(ordinal: int, field: T.StructField, digits: int) -> str:
+    name = field.name
+    nulls = f"total_rows - {quoted('n:' + name)}"
+
+    def stat(kind: str) -> str:
+        found = f"round({quoted(f'{kind}:{name}')}, {digits})" if is_numeric(field) else "CAST(NULL AS DOUBLE)"
+        return f"'{kind}', {found}"
+
+    return (
+        f"named_struct('name', {text(name)}, 'ordinal', {ordinal}, 'type', {text(field.dataType.simpleString())}, "
+        f"'total_rows', total_rows, 'null_count', {nulls}, "
+        f"'null_pct', round(try_divide(({nulls}) * 100D, total_rows), 1), "
+        + ", ".join(map(stat, ("min", "max", "mean", "std")))
+        + ")"
+    )
 
 
 def _profile_part(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], digits: int) -> DataFrame:
     measures = [m for _, f in fields for m in _measures(f)]
-    one_row = df.agg(F.count(F.lit(1)).alias("total_rows"), *measures)
-    total = F.col("total_rows")
-
-    def entry(ordinal: int, f: T.StructField) -> Column:
-        def stat(kind: str) -> Column:
-            found = F.round(column(f"{kind}:{f.name}"), digits) if is_numeric(f) else F.lit(None)
-            return found.cast("double").alias(kind)
-
-        nulls = total - column(f"n:{f.name}")
-        share = F.when(total > 0, F.round(F.try_divide(nulls * 100.0, total), 1))
-        return F.struct(
-            F.lit(f.name).alias("name"),
-            F.lit(ordinal).alias("ordinal"),
-            F.lit(f.dataType.simpleString()).alias("type"),
-            total.alias("total_rows"),
-            nulls.alias("null_count"),
-            share.alias("null_pct"),
-            *[stat(kind) for kind in ("min", "max", "mean", "std")],
-        )
-
-    return one_row.select(F.inline(F.array(*[entry(i, f) for i, f in fields])))
+    one_row = df.selectExpr("count(1) AS total_rows", *measures)
+    entries = ", ".join(_entry(i, f, digits) for i, f in fields)
+    return one_row.selectExpr(f"inline(array({entries}))")
 
 
 def profile_columns(

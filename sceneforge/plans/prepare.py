@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sceneforge.functions import column
+from sceneforge.functions import column, quoted
 from sceneforge.operators.columns import (
     check_required, feature_names, fill_nulls, keep_known, target_of, tidy_columns, time_parts,
 )
@@ -35,7 +35,8 @@ def raw_value(df: DataFrame, name: str) -> Column:
 
 def row_key(df: DataFrame, key: Sequence[str]) -> Column:
     """Digest of the key columns, of all columns when the table has no key."""
-    return F.md5(F.concat_ws("|", *[column(c).cast("string") for c in key or df.columns]).cast("binary"))
+    parts = ", ".join(f"CAST({quoted(c)} AS STRING)" for c in key or df.columns)
+    return F.expr(f"md5(CAST(concat_ws('|', {parts}) AS BINARY))")
 
 
 def prepare(

@@ -11,7 +11,7 @@ from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from sceneforge.functions import class_name, column
+from sceneforge.functions import class_name, quoted
 from sceneforge.operators import features as feat, learners, metrics, registry, runlog, scoring
 from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, add_label, class_names, prepare
 from sceneforge.plans.train import known_events, version_folder, wide_path
@@ -118,8 +118,9 @@ class Scorer:
         if first is not None:
             table = table.orderBy(ROW_KEY).limit(first)
         own = [c for c in (ROW_KEY, RAW_TARGET) if c in table.columns]
-        carried = F.struct(*[column(c) for c in table.columns if c not in own]).alias(INPUT)
-        slim = add_label(table.select(*own, carried, *[column(n) for n in names]), self.classes)
+        carried = ", ".join(quoted(c) for c in table.columns if c not in own)
+        slim = table.selectExpr(*own, f"struct({carried}) AS {INPUT}", *map(quoted, names))
+        slim = add_label(slim, self.classes)
         for name in self.some_entry.wide_columns or []:
             index = df.sparkSession.read.parquet(wide_path(self.folder, self.scene.scene_id, name))
             slim = feat.apply_wide_index(slim, name, index)
@@ -147,9 +148,8 @@ class Scorer:
         if "label" in scored.columns:
             made["label"] = F.col("label")
         carried = [f for f in scored.schema[INPUT].dataType.fieldNames() if f not in made]
-        return scored.select(
-            *[F.col(INPUT).getField(f).alias(f) for f in carried], *[c.alias(name) for name, c in made.items()]
-        )
+        told = scored.select(INPUT, *[c.alias(name) for name, c in made.items()])
+        return told.selectExpr(*[f"{INPUT}.{quoted(f)} AS {quoted(f)}" for f in carried], *made)
 
 
 @dataclass(frozen=True)

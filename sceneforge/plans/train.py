@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sceneforge.functions import column
+from sceneforge.functions import quoted
 from sceneforge.operators import balance, features as feat, learners, metrics, registry, scoring
 from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, add_label, prepare
 from sceneforge.scenes import Scene, load_scenes
@@ -65,7 +65,7 @@ def train_scene(
     folder = version_folder(models_root, version)
 
     prepared, names = prepare(df, scene, key, training=True)
-    prepared = prepared.select(ROW_KEY, RAW_TARGET, *[column(n) for n in names])
+    prepared = prepared.selectExpr(ROW_KEY, RAW_TARGET, *map(quoted, names))
     prepared.persist(StorageLevel.MEMORY_AND_DISK)
     ready = None
     try:
