@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from sceneforge.functions import column, is_text, quoted
+from sceneforge.functions import column, is_text, quoted, text
 from sceneforge.operators.columns import numeric_names
 from sceneforge.operators.ranking import frequency_index
 
@@ -23,6 +24,9 @@ WIDE_SUFFIX = "_wide_idx"
 SCALED = ":scaled"
 
 
+# Columns whose ranges one aggregation finds.
+RANGES_PER_PASS = 40
+
 # Classes a target may have; more than this is no classification.
 MOST_CLASSES = 100_000
 
@@ -56,33 +60,52 @@ def plan_features(
 ) -> FeaturePlan:
     """Sort features into numbers, categories, and categories too many for an indexer.
 
-    One aggregation finds the ranges of the numbers and estimates the number of
-    categories and classes.  The estimate only chooses the way of indexing; both
-    ways give the same index.
+    The number of categories and classes is estimated by one aggregation.  The
+    estimate only chooses the way of indexing; both ways give the same index.
     """
-    text = [f.name for f in df.schema.fields if f.name in features and is_text(f)]
+    texts = [f.name for f in df.schema.fields if f.name in features and is_text(f)]
     numbers = numeric_names(df, features)
-    odd = sorted(set(features) - set(text) - set(numbers))
+    odd = sorted(set(features) - set(texts) - set(numbers))
     if odd:
         raise ValueError(f"no way to use these columns as features: {', '.join(odd)}")
     if not features:
         raise ValueError("no feature columns")
-    counted = [*text, *([target] if target else [])]
-    found = df.selectExpr(
-        *[f"approx_count_distinct({quoted(c)}) AS {quoted('n:' + c)}" for c in counted],
-        *[f"min(CAST({quoted(c)} AS DOUBLE)) AS {quoted('lo:' + c)}" for c in numbers],
-        *[f"max(CAST({quoted(c)} AS DOUBLE)) AS {quoted('hi:' + c)}" for c in numbers],
-    ).first()
+    counted = [*texts, *([target] if target else [])]
+    found = (
+        df.selectExpr(*[f"approx_count_distinct({quoted(c)}) AS {quoted('n:' + c)}" for c in counted]).first()
+        if counted
+        else {}
+    )
     if target and found[f"n:{target}"] > MOST_CLASSES:
         raise ValueError(f"the target has about {found[f'n:{target}']} values, too many for classes")
     return FeaturePlan(
-        categories=tuple(c for c in text if found[f"n:{c}"] <= max_categories),
-        wide_categories=tuple(c for c in text if found[f"n:{c}"] > max_categories),
+        categories=tuple(c for c in texts if found[f"n:{c}"] <= max_categories),
+        wide_categories=tuple(c for c in texts if found[f"n:{c}"] > max_categories),
         numbers=tuple(numbers),
-        ranges={c: (found[f"lo:{c}"] or 0.0, found[f"hi:{c}"] or 0.0) for c in numbers},
+        ranges=number_ranges(df, numbers),
     )
 
 
+def number_ranges(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Smallest and largest value per column; one job, one row per column.
+
+    Parts of forty columns keep each aggregation a single compiled loop.
+    """
+    parts = []
+    for i in range(0, len(names), RANGES_PER_PASS):
+        some = names[i : i + RANGES_PER_PASS]
+        ends = [
+            f"{fn}(CAST({quoted(c)} AS DOUBLE)) AS {quoted(f'{fn}:{c}')}" for c in some for fn in ("min", "max")
+        ]
+        rows = ", ".join(
+            f"named_struct('name', {text(c)}, 'low', {quoted('min:' + c)}, 'high', {quoted('max:' + c)})" for c in some
+        )
+        parts.append(df.selectExpr(*ends).selectExpr(f"inline(array({rows}))"))
+    if not parts:
+        return {}
+    return {r.name: (r.low or 0.0, r.high or 0.0) for r in reduce(DataFrame.unionAll, parts).collect()}
+
+
 def fit_indexes(df: DataFrame, plan: FeaturePlan, target: str) -> tuple[list[str], StringIndexerModel | None]:
     """Classes of the target and the index of the categories, from one pass.
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sceneforge.functions import is_numeric, quoted, text
 
-# Columns measured by one aggregation.  A wide table is measured in several,
-# each reading its own columns only, so generated code stays small.
-COLUMNS_PER_PASS = 40
+# Columns measured by one aggregation.  Spark compiles an aggregation into one
+# loop up to a hundred buffers, eight per numeric column here; beyond that it runs
+# several times slower.  A wider table is measured in parts of one job, each
+# reading its own columns only.
+COLUMNS_PER_PASS = 12
 
 MISSING_THRESHOLD = 50.0
 

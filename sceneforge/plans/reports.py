@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneforge.operators import columns, frequencies, profile
 from sceneforge.scenes import Scene
 from sceneforge.session import write_out
+from sceneforge.sources.tables import read_table
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,7 @@ class QualityReport:
 
 
 def profile_table(df: DataFrame, scene: Scene | None = None, table: str = "input") -> QualityReport:
-    """One aggregation per forty columns; an empty table gives rows with zero totals."""
+    """Profile and drift of a table; an empty one gives rows with zero totals."""
     tidy = columns.tidy_columns(df)
     measured = profile.add_warnings(profile.profile_columns(tidy))
     required = scene.required if scene else ()
@@ -35,6 +36,18 @@ def profile_table(df: DataFrame, scene: Scene | None = None, table: str = "input
     )
 
 
+def profile_stored(spark: SparkSession, path: str, scene: Scene | None = None) -> QualityReport:
+    """The same for a stored table, named by its path.
+
+    A wide table is read in parts, and a CSV file has no parts to read alone, so
+    a wide CSV is written in columns first.
+    """
+    df = read_table(spark, path)
+    if len(df.columns) > profile.COLUMNS_PER_PASS and not path.rstrip("/").endswith(".parquet"):
+        df = write_out(columns.tidy_columns(df), "profiled")
+    return profile_table(df, scene, path)
+
+
 def suggest_target(df: DataFrame, names: Sequence[str] | None = None, samples: int = 5) -> DataFrame:
     """Per column: distinct values, sample values, whether it can be a target, and the one guessed.
 

@@ -160,3 +160,14 @@ def test_imbalance(spark):
     row = balance.imbalance(balance.class_histogram(_classes(spark, a=9, b=3, c=3))).first()
     assert (row.classes, row.max_cnt, row.min_cnt, row.ratio, row.oversample) == (3, 9, 3, 3.0, True)
     assert balance.class_count(_classes(spark, a=2, b=1)).first().classes == 2
+
+
+def test_stored_profile_of_a_wide_csv(spark):
+    from sceneforge.plans.reports import profile_stored
+    from sceneforge.session import scratch_path
+
+    path = scratch_path(spark, "wide") + ".csv"
+    wide = spark.range(20).select(*[(F.col("id") * i).alias(f"c {i}") for i in range(30)])
+    wide.write.option("header", True).csv(path)
+    rows = {r.name: r for r in profile_stored(spark, path).columns.collect()}
+    assert len(rows) == 30 and rows["c_29"].max == 29 * 19 and rows["c_0"].ordinal == 0
