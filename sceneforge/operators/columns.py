@@ -10,6 +10,12 @@ from sceneforge.functions import column, is_numeric, is_text, is_time, look_up,
 from sceneforge.scene_catalog import KEPT_IDS, NEVER_FEATURES
 from sceneforge.scenes import Scene
 
+# The messages of the schema comparison.
+NO_SCHEMA = "No schema defined for this scene"
+MISSING_COLUMNS = "Missing %d required feature columns"
+EXTRA_COLUMNS = "Found %d extra columns (will be ignored)"
+ALL_MATCH = "All columns match perfectly"
+
 _TO_UNDERSCORE = str.maketrans({".": "_", " ": "_"})
 
 
@@ -164,10 +170,10 @@ def schema_drift(actual: DataFrame, required: Sequence[str]) -> DataFrame:
         n_extra.alias("extra_count"),
         F.slice("missing", 1, 10).alias("missing_cols"),
         F.slice("extra", 1, 10).alias("extra_cols"),
-        F.when(F.lit(not required), F.lit("No schema defined for this scene"))
-        .when(n_missing > 0, F.format_string("Missing %d required feature columns", n_missing))
-        .when(n_extra > 0, F.format_string("Found %d extra columns (will be ignored)", n_extra))
-        .otherwise("All columns match perfectly")
+        F.when(F.lit(not required), F.lit(NO_SCHEMA))
+        .when(n_missing > 0, F.format_string(MISSING_COLUMNS, n_missing))
+        .when(n_extra > 0, F.format_string(EXTRA_COLUMNS, n_extra))
+        .otherwise(ALL_MATCH)
         .alias("message"),
     )
 

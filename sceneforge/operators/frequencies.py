@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sceneforge.functions import quoted, text
 from sceneforge.session import write_out
@@ -19,24 +20,46 @@ SAMPLE_VALUES = 5
 
 
 def first_rows(df: DataFrame, order: Sequence[str | Column], rows: int = 5000) -> DataFrame:
-    """A bounded sample: the first rows by a key, so the same ones every time."""
-    return df.orderBy(*order).limit(rows)
+    """A bounded sample: the first rows by a key, so the same ones every time.
+
+    It is picked once and written out, since what follows reads it several times.
+    """
+    return write_out(df.orderBy(*order).limit(rows), "sample")
+
+
+def _kind(field: T.StructField) -> str:
+    """Type under which a column's values are counted before they become text."""
+    if isinstance(field.dataType, T.IntegralType):
+        return "bigint"
+    if isinstance(field.dataType, (T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return field.dataType.simpleString()
+    return "string"
+
+
+def _counted(df: DataFrame, kind: str, places: Sequence[tuple[int, str]]) -> DataFrame:
+    shown = "coalesce(trim(CAST({0} AS STRING)), '')" if kind == "string" else "CAST({0} AS " + kind + ")"
+    cells = ", ".join(f"{i}, {shown.format(quoted(c))}" for i, c in places)
+    counts = (
+        df.selectExpr(f"stack({len(places)}, {cells}) AS (ordinal, value)")
+        .groupBy("ordinal", "value")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    return counts.selectExpr("ordinal", "coalesce(CAST(value AS STRING), '') AS value", "cnt")
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column_name, ordinal, value, cnt`` over the whole table.
 
-    Values are compared as trimmed text and a missing one counts as ''.  Rows
+    Values are told apart as trimmed text and a missing one counts as ''.  Rows
     are counted per task before the shuffle, so a value held by a third of the
-    table costs one row per task.
+    table costs one row per task.  Numbers and times are counted as such, in
+    one part of the job per type, and only distinct ones become text.
     """
     names = list(df.columns if columns is None else columns)
-    cells = ", ".join(f"{i}, coalesce(trim(CAST({quoted(c)} AS STRING)), '')" for i, c in enumerate(names))
-    counted = (
-        df.selectExpr(f"stack({len(names)}, {cells}) AS (ordinal, value)")
-        .groupBy("ordinal", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    parts: dict[str, list[tuple[int, str]]] = {}
+    for i, c in enumerate(names):
+        parts.setdefault(_kind(df.schema[c]), []).append((i, c))
+    counted = reduce(DataFrame.unionByName, [_counted(df, kind, places) for kind, places in parts.items()])
     listed = ", ".join(map(text, names))
     return counted.selectExpr(f"array({listed})[ordinal] AS column_name", "ordinal", "value", "cnt")
 

@@ -15,7 +15,9 @@ from sceneforge.functions import is_numeric, quoted, text
 # reading its own columns only.
 COLUMNS_PER_PASS = 12
 
+# Percentage of missing values above which a column is warned of, and the warning.
 MISSING_THRESHOLD = 50.0
+WARNING = 'Column "%s" has %.1f%% missing values (threshold: %.0f%%)'
 
 
 # The expressions are SQL text, which Spark takes in one call for all columns; a
@@ -71,8 +73,7 @@ def profile_columns(
 
 def add_warnings(profile: DataFrame, threshold: float = MISSING_THRESHOLD) -> DataFrame:
     """Add a message where a column's share of missing values is above the threshold."""
-    text = 'Column "%s" has %.1f%% missing values (threshold: %.0f%%)'
-    message = F.format_string(text, F.col("name"), F.col("null_pct"), F.lit(float(threshold)))
+    message = F.format_string(WARNING, F.col("name"), F.col("null_pct"), F.lit(float(threshold)))
     return profile.withColumn("warning", F.when(F.col("null_pct") > threshold, message))
 
 

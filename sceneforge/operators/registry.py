@@ -27,6 +27,10 @@ EVENT_SCHEMA = (
 
 FIRST_VERSION = 1
 
+# What activating a version answers.
+NOT_FOUND = "Version %d not found"
+SWITCHED = "Switched to v%d"
+
 
 def subdir(version: Column) -> Column:
     """Folder of a version's models; the first version lies at the root."""
@@ -48,7 +52,7 @@ def unknown_requests(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Activation requests that name no registered version, with the message to show."""
     known = events.filter(F.col("event") == "register").select("scene_id", "version").distinct()
     refused = requests.join(known, ["scene_id", "version"], "left_anti")
-    return refused.withColumn("message", F.format_string("Version %d not found", F.col("version")))
+    return refused.withColumn("message", F.format_string(NOT_FOUND, F.col("version")))
 
 
 def latest_models(events: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def append_events(events: DataFrame, path: str) -> None:
     """Append events; columns the event does not have are stored as null."""
     spark = events.sparkSession
     whole = spark.createDataFrame([], EVENT_SCHEMA).unionByName(events, allowMissingColumns=True)
-    whole.coalesce(1).write.mode("append").partitionBy("scene_id").parquet(path)
+    whole.write.mode("append").partitionBy("scene_id").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

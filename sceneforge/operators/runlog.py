@@ -29,6 +29,8 @@ HISTORY_FIELDS = (
 OPEN = {"status": "processing", "current_model": "None", "model_progress_status": "Task queued..."}
 CLOSED = {"current_model": "None", "model_progress_status": "Complete"}
 NO_SCENE = "unknown"
+READING = "Reading data / preprocessing..."
+REPORTING = "Generating report..."
 
 
 def scene_or_unknown(scene: Column) -> Column:

@@ -271,9 +271,9 @@ def run_logged(
     opened = step(scene_type=scene.scene_id, file_path=path, model_type=model)
     log(runlog.open_rows(opened.withColumn("predict_time", F.current_timestamp())))
     try:
-        log(runlog.progress_rows(step(model_progress_status="Reading data / preprocessing...")))
+        log(runlog.progress_rows(step(model_progress_status=runlog.READING)))
         scored = score_table(read_table(spark, path), Scorer(spark, scene, models_root, key), model)
-        log(runlog.progress_rows(step(current_model=scored.model, model_progress_status="Generating report...")))
+        log(runlog.progress_rows(step(current_model=scored.model, model_progress_status=runlog.REPORTING)))
         if out is not None:
             scored.rows.write.mode("append").parquet(out)
         result, status, accuracy = scored.result(), "completed", scored.accuracy or 0.0

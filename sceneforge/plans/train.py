@@ -187,10 +187,10 @@ def activate(spark: SparkSession, models_root: str, scene_id: str, version: int)
         [(scene_id, version, time.time_ns() // 1000)], "scene_id string, version int, seq long"
     )
     if not registry.unknown_requests(request, events).isEmpty():
-        raise ValueError(f"Version {version} not found")
+        raise ValueError(registry.NOT_FOUND % version)
     accepted = registry.activate_events(request, events).withColumn("event_time", F.current_timestamp())
     registry.append_events(accepted, registry_path(models_root))
-    return f"Switched to v{version}"
+    return registry.SWITCHED % version
 
 
 def train_folder(

@@ -146,8 +146,7 @@ SELECT scene_id, version, algo, seq, dataset, round(accuracy, 6) AS accuracy, tr
 def registry_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events appended to the stored registry and read back, the last of each kept."""
     path = scratch_path(spark, "registry")
-    events = _events(spark, sf_dir).repartition(4, "scene_id")
-    registry.append_events(events, path)
+    registry.append_events(_events(spark, sf_dir), path)
     latest = registry.latest_models(registry.read_events(spark, path))
     return latest.select(
         "scene_id", "version", "algo", "seq", "dataset", F.round("accuracy", 6).alias("accuracy"), "train_size"
