@@ -106,11 +106,27 @@ def test_results_round_trip(spark):
     assert results.read_results(spark, path).first().result.final_model == "gbdt"
 
 
-def test_shared_folder_is_the_configured_one(spark):
-    mine = shared_dir(spark)
-    assert shared_dir(spark) == mine
-    spark.conf.set("sceneforge.shared.dir", "/tmp/elsewhere/")
-    try:
-        assert shared_dir(spark) == "/tmp/elsewhere"
-    finally:
-        spark.conf.set("sceneforge.shared.dir", mine)
+class _Session:
+    """Just the settings and the master of a session."""
+
+    def __init__(self, master, **settings):
+        self.settings = {k.replace("__", "."): v for k, v in settings.items()}
+        self.conf = self
+        self.sparkContext = type("Context", (), {"master": master})
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+    def set(self, name, value):
+        self.settings[name] = value
+
+
+def test_shared_folder_is_the_one_the_cluster_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_dir(spark) == named.rstrip("/")
+    assert shared_dir(_Session("spark://host", spark__checkpoint__dir="s3://bucket/x/")) == "s3://bucket/x"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://host"))
+    local = _Session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    assert scratch_path(local, "a") != scratch_path(local, "a")
