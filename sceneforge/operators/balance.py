@@ -77,19 +77,24 @@ def oversample(
     A class of rate r gives every row floor(r) copies and one more with
     probability r - floor(r), drawn from the row key.  All classes are handled
     in one pass over the table, without a shuffle: the histogram is reduced
-    first and its rates enter the plan as literals.  A target with more classes
-    than that gets its rates by a salted join.
+    first and the rates it gives enter the plan as literals.  A target with
+    very many classes gets its rates by a salted join.
     """
     histogram = class_histogram(df, label).filter(F.col(label).isNotNull())
-    span = histogram.agg(F.max("cnt").alias("hi"), F.min("cnt").alias("lo")).first()
-    if span.hi is None or span.hi / span.lo <= limit:
+    few = {r[label]: r["cnt"] for r in histogram.limit(literal_classes + 1).collect()}
+    if not few:
         return df
-    rates = class_rates(histogram, span.hi, cap)
-    few = rates.limit(literal_classes + 1).collect()
     if len(few) <= literal_classes:
-        rated = df.withColumn("_rate", look_up(F.col(label), {r[label]: r["rate"] for r in few}, F.lit(1.0)))
+        largest, smallest = max(few.values()), min(few.values())
     else:
-        rated = _salted_rates(df, rates, label, key)
+        largest, smallest = histogram.agg(F.max("cnt"), F.min("cnt")).first()
+    if largest / smallest <= limit:
+        return df
+    if len(few) <= literal_classes:
+        rates = {c: min(largest / n, float(cap)) if n < largest else 1.0 for c, n in few.items()}
+        rated = df.withColumn("_rate", look_up(F.col(label), rates, F.lit(1.0)))
+    else:
+        rated = _salted_rates(df, class_rates(histogram, largest, cap), label, key)
     whole = F.floor("_rate")
     extra = (hash_unit(*key) < F.col("_rate") - whole).cast("int")
     copies = F.sequence(F.lit(1), (whole + extra).cast("int"))

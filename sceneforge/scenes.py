@@ -132,6 +132,25 @@ def load_scenes(text: str = scene_catalog.BUILT_IN, hooks: dict[str, Hook] | Non
     return {sid: scene_from(sid, entry, hooks.get(sid)) for sid, entry in _config(text).items()}
 
 
+def dump_scenes(scenes: dict[str, Scene]) -> str:
+    """The scenes as a scene file; hooks stay in code and are found again by scene id."""
+    entries = {
+        s.scene_id: {
+            "name": s.name,
+            "category": s.category,
+            "description": s.description,
+            "target": s.target,
+            "labels": dict(s.labels),
+            "columns": list(s.required),
+            "ignored": " ".join(sorted(s.ignored)),
+            "helpers": " ".join(sorted(s.helpers)),
+            "oversample_cap": s.oversample_cap,
+        }
+        for s in scenes.values()
+    }
+    return yaml.safe_dump({"scenes": entries}, allow_unicode=True, sort_keys=False)
+
+
 def with_scene(scenes: dict[str, Scene], scene: Scene) -> dict[str, Scene]:
     """Add a scene or replace the one of the same id."""
     return {**scenes, scene.scene_id: scene}

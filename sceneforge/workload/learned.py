@@ -43,7 +43,7 @@ def _documents(algos: list[str], model: str):
 
 @query()
 def train_score_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random forest."""
+    """Random forest."""
     return _documents(["random_forest"], "random_forest")(spark, sf_dir)
 
 

@@ -42,7 +42,7 @@ SELECT fmt, count(*) AS n_rows, sum(s_suppkey)::BIGINT AS sum_key, round(sum(s_a
 FROM supplier, (VALUES ('csv'), ('parquet')) AS f(fmt) GROUP BY fmt
 """)
 def read_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2, A3: the path's suffix chooses the format."""
+    """A2, A3, H4: the path's suffix chooses the format."""
     supplier = table(spark, sf_dir, "supplier")
     base = scratch_path(spark, "supplier")
     supplier.write.option("header", True).csv(base + ".csv")

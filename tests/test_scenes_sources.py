@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sceneforge.scenes import (
-    SCENE_SCHEMA, Scene, attach_scene, column_table, delete_scenes, label_table, load_scenes, scene_table,
+    SCENE_SCHEMA, Scene, attach_scene, column_table, delete_scenes, dump_scenes, label_table, load_scenes, scene_table,
     upsert_scenes, with_scene, without_scene,
 )
 from sceneforge.session import scratch_path, shared_dir
@@ -34,6 +34,16 @@ def test_scene_text_with_text_labels():
     assert scene.description == "Predict satisfaction"
 
 
+def test_scene_file_round_trip():
+    scenes = with_scene(load_scenes(), Scene("mine", "No", ("a/b", "c [x]", "No"), {"1.0": "Yes"}, name="mine"))
+    assert load_scenes(dump_scenes(scenes))["mine"].labels == {"1.0": "Yes"}
+    again = load_scenes(dump_scenes(scenes))
+    for sid, scene in scenes.items():
+        assert (again[sid].target, again[sid].required, again[sid].labels) == (scene.target, scene.required, scene.labels)
+        assert (again[sid].ignored, again[sid].oversample_cap) == (scene.ignored, scene.oversample_cap)
+        assert (again[sid].hook is None) == (scene.hook is None)
+
+
 def test_add_and_remove():
     scenes = with_scene(load_scenes(), Scene("mine", "t"))
     assert "mine" in scenes and "mine" not in without_scene(scenes, "mine")

@@ -141,3 +141,29 @@ def test_enlarged_csv(spark):
     assert copies == 5
     assert spark.read.option("header", True).csv(large).count() == 250
     assert amp.stored_bytes(spark, large) >= size * 4
+
+
+def test_one_scene_and_one_run_with_most_rows(spark):
+    """A group with a third of all rows and more is reduced before the shuffle; results stay whole."""
+    n = F.col("id")
+    owner = F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (n % 50).cast("string")))
+    events = registry.register_events(
+        spark.range(30_000).select(
+            owner.alias("scene_id"), (1 + n % 4).cast("int").alias("version"), F.lit("gbdt").alias("algo"),
+            n.alias("seq"), F.lit("d").alias("dataset"), n.alias("rows"),
+            (n / 1e6).alias("accuracy"), (n / 1e6).alias("f1_score"), n.alias("train_size"),
+        )
+    )
+    hot = registry.version_heads(events).filter("scene_id = 'hot'").first()
+    assert (hot.current_version, hot.n_versions) == (1 + 29_997 % 4, 4)
+    latest = registry.latest_models(events).filter("scene_id = 'hot'").collect()
+    assert sorted(r.seq for r in latest) == [29_988, 29_991, 29_994, 29_997]
+    log = spark.range(30_000).select(
+        F.when(n % 3 == 0, 0).otherwise(n).cast("long").alias("task_id"), n.alias("seq"),
+        F.when(n % 2 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("status"),
+    )
+    states = runlog.latest_state(log)
+    assert states.count() == 20_001
+    assert states.filter("task_id = 0").first().status == "v29994"
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
