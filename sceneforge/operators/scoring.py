@@ -28,6 +28,9 @@ DEFAULT_CANDIDATE = "random_forest"
 
 PREVIEW_ROWS = 100
 
+# Groups up to which candidates are counted together.
+JOINT_GROUPS = 10_000
+
 
 # --- confidence ------------------------------------------------------------------------
 
@@ -153,18 +156,27 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def candidate_counts(
-    scored: DataFrame, predictions: Mapping[str, Column], by: Sequence[str] = (), unlabeled: bool = False
+    scored: DataFrame,
+    predictions: Mapping[str, Column],
+    by: Sequence[str] = (),
+    classes: int = 2,
+    unlabeled: bool = False,
 ) -> DataFrame:
-    """``[by,] algo, label, prediction, cnt`` of several candidates from one pass.
+    """``[by,] algo, label, prediction, cnt`` of several candidates from one scan.
 
-    Rows are counted under all their predictions together before they are told
-    apart by candidate, so the table is neither scanned nor copied once per
-    candidate.  Rows without a label are left out unless asked for.
+    With few classes, rows are counted under all their predictions together and
+    only the counts are told apart by candidate.  With more, that would give
+    nearly a group per row, so rows are told apart first; their counts are then
+    bounded by candidates times pairs of classes.  Rows without a label are left
+    out unless asked for.
     """
     label = F.col("label").cast("int").alias("label")
     decided = [p.cast("int").alias(f"{algo}:decided") for algo, p in predictions.items()]
     rows = scored if unlabeled else scored.filter(F.col("label").isNotNull())
-    together = rows.groupBy(*by, label, *decided).agg(F.count(F.lit(1)).alias("cnt"))
+    together = rows.select(*by, label, *decided, F.lit(1).cast("long").alias("cnt"))
+    if classes ** (len(predictions) + 1) <= JOINT_GROUPS:
+        names = [c for c in together.columns if c != "cnt"]
+        together = together.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.sum("cnt").alias("cnt"))
     apart = F.array(
         *[F.struct(F.lit(a).alias("algo"), F.col(f"`{a}:decided`").alias("prediction")) for a in predictions]
     )

@@ -224,7 +224,7 @@ def score_table(df: DataFrame, scorer: Scorer, model: str = "auto") -> Scored:
     if not labeled:
         wide = wide.withColumn("label", F.lit(None).cast("double"))
     decided = {m.algo: m.prediction(scorer.binary) for m in models}
-    counts = scoring.candidate_counts(wide, decided, unlabeled=True).persist()
+    counts = scoring.candidate_counts(wide, decided, classes=len(scorer.classes), unlabeled=True).persist()
     best = scoring.choose_best(
         metrics.accuracy_f1(counts.filter(F.col("label").isNotNull()), by=["algo"])
     ).first()

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sceneforge.functions import quoted
@@ -85,21 +86,12 @@ def train_scene(
         train = balance.oversample(
             ready.filter(F.col("part") == "train"), [ROW_KEY], cap=scene.oversample_cap
         ).select("features", "label")
-        found = []
+        models = {}
         for algo in algos or learners.algorithms_for(len(classes)):
-            model = learners.classifier(algo, len(classes), rounds).fit(train)
-            path = f"{folder}/{scene.scene_id}_{algo}.model"
-            PipelineModel([*stages.stages, model]).write().overwrite().save(path)
-            found.append(
-                {
-                    **_evaluate(model, ready, binary=len(classes) == 2),
-                    "algo": algo,
-                    "model_path": path,
-                    "features": [
-                        {"name": n, "value": v} for n, v in learners.importance_pairs(model, plan.slot_names)
-                    ],
-                }
-            )
+            models[algo] = learners.classifier(algo, len(classes), rounds).fit(train)
+            path = _model_path(folder, scene, algo)
+            PipelineModel([*stages.stages, models[algo]]).write().overwrite().save(path)
+        measured = _evaluate(models, ready, len(classes))
     finally:
         prepared.unpersist()
         if ready is not None:
@@ -117,7 +109,17 @@ def train_scene(
         "slots": plan.slot_names,
         "wide_columns": list(plan.wide_categories),
     }
-    entries = [{**common, **f, "seq": stamp + i} for i, f in enumerate(found)]
+    entries = [
+        {
+            **common,
+            **measured[algo],
+            "algo": algo,
+            "model_path": _model_path(folder, scene, algo),
+            "features": [{"name": n, "value": v} for n, v in learners.importance_pairs(model, plan.slot_names)],
+            "seq": stamp + i,
+        }
+        for i, (algo, model) in enumerate(models.items())
+    ]
     events = registry.register_events(
         spark.createDataFrame([tuple(e.values()) for e in entries], _entry_schema(entries)).withColumn("event_time", F.current_timestamp())
     )
@@ -144,24 +146,39 @@ def _index_wide(
     return table, sizes
 
 
-def _evaluate(model: Model, ready: DataFrame, binary: bool) -> dict:
-    """Calibration and threshold from the tuning part, metrics with and without them from the test part."""
-    scored = scoring.unpack_scores(model.transform(ready.filter(F.col("part") != "train")))
-    narrow = [c for c in ("part", "label", "prediction", "raw1", "p1") if c in scored.columns]
-    held_out = scored.select(*narrow).persist(StorageLevel.MEMORY_AND_DISK)
+def _model_path(folder: str, scene: Scene, algo: str) -> str:
+    return f"{folder}/{scene.scene_id}_{algo}.model"
+
+
+def _evaluate(models: dict[str, Model], ready: DataFrame, classes: int) -> dict[str, dict]:
+    """Calibration and threshold from the tuning part, metrics with and without them from the test part.
+
+    The rows held out are scored once, by all models; one sweep and one count
+    then serve them all.
+    """
+    scored = feat.transform_with(
+        ready.filter(F.col("part") != "train").select("part", "label", "features"),
+        *[learners.with_output_names(m, a) for a, m in models.items()],
+    )
+    tuned = [a for a, m in models.items() if classes == 2 and learners.has_probability(m)]
+    narrow = {f"{a}:prediction": F.col(f"{a}:prediction") for a in models}
+    for a in tuned:
+        narrow[f"{a}:raw1"] = F.element_at(vector_to_array(F.col(f"{a}:raw")), 2)
+        narrow[f"{a}:p1"] = F.element_at(vector_to_array(F.col(f"{a}:probability")), 2)
+    held_out = scored.select("part", "label", *[c.alias(n) for n, c in narrow.items()])
+    held_out = held_out.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tune, test = held_out.filter(F.col("part") == "tune"), held_out.filter(F.col("part") == "test")
-        threshold, line = None, None
-        if binary and "raw1" in narrow:
-            line = scoring.fit_calibration(tune)
-        if binary and "p1" in narrow:
-            best = scoring.best_threshold(scoring.threshold_sweep(tune)).first()
-            found = best is not None and best.threshold is not None
-            threshold = best.threshold if found else scoring.DEFAULT_THRESHOLD
-        ways = {"plain": F.col("prediction")}
-        if threshold is not None:
-            ways["tuned"] = F.when(F.col("p1") >= threshold, 1.0).otherwise(0.0)
-        counts = scoring.candidate_counts(test, ways)
+        lines = {a: scoring.fit_calibration(tune.select("label", F.col(f"{a}:raw1").alias("raw1"))) for a in tuned}
+        thresholds = dict.fromkeys(tuned, scoring.DEFAULT_THRESHOLD)
+        if tuned:
+            tagged = [F.struct(F.lit(a).alias("algo"), F.col(f"{a}:p1").alias("p1")) for a in tuned]
+            sweep = scoring.threshold_sweep(tune.select("label", F.inline(F.array(*tagged))), by=["algo"])
+            thresholds.update({r.algo: r.threshold for r in scoring.best_threshold(sweep, by=["algo"]).collect()})
+        ways = {a: F.col(f"{a}:prediction") for a in models}
+        for a in tuned:
+            ways[f"{a}:tuned"] = F.when(F.col(f"{a}:p1") >= thresholds[a], 1.0).otherwise(0.0)
+        counts = scoring.candidate_counts(test, ways, classes=classes)
         got = {r.algo: r for r in metrics.accuracy_f1(counts, by=["algo"]).collect()}
     finally:
         held_out.unpersist()
@@ -169,15 +186,20 @@ def _evaluate(model: Model, ready: DataFrame, binary: bool) -> dict:
     def metric(way: str, name: str) -> float | None:
         return float(got[way][name]) if way in got else None
 
-    return {
-        "accuracy": metric("plain", "accuracy"),
-        "f1_score": metric("plain", "f1"),
-        "tuned_accuracy": metric("tuned" if threshold is not None else "plain", "accuracy"),
-        "tuned_f1": metric("tuned" if threshold is not None else "plain", "f1"),
-        "threshold": threshold,
-        "slope": line[0] if line else None,
-        "intercept": line[1] if line else None,
-    }
+    def one(algo: str) -> dict:
+        final = f"{algo}:tuned" if algo in tuned else algo
+        line = lines.get(algo)
+        return {
+            "accuracy": metric(algo, "accuracy"),
+            "f1_score": metric(algo, "f1"),
+            "tuned_accuracy": metric(final, "accuracy"),
+            "tuned_f1": metric(final, "f1"),
+            "threshold": thresholds.get(algo),
+            "slope": line[0] if line else None,
+            "intercept": line[1] if line else None,
+        }
+
+    return {algo: one(algo) for algo in models}
 
 
 def activate(spark: SparkSession, models_root: str, scene_id: str, version: int) -> str:

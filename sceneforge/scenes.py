@@ -51,8 +51,9 @@ class Scene:
 
 
 def keep_values(name: str, values: Iterable[Any]) -> Hook:
+    """Keep rows with these values; a table without the column, such as an unlabeled one, stays whole."""
     wanted = list(values)
-    return lambda df: df.filter(column(name).isin(wanted))
+    return lambda df: df.filter(column(name).isin(wanted)) if name in df.columns else df
 
 
 def drop_listed(names: Iterable[str]) -> Hook:

@@ -93,6 +93,7 @@ def test_accident_scene_keeps_two_severities(spark):
     scene = load_scenes()["trans_accident"]
     df = spark.createDataFrame([(s,) for s in (1, 2, 3, 4, None)], "Severity int")
     assert sorted(r.Severity for r in scene.prepare(df).collect()) == [2, 3]
+    assert scene.prepare(df.withColumnRenamed("Severity", "other")).count() == 5
 
 
 def test_shipping_flags_treat_missing_as_zero(spark):

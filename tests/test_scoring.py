@@ -146,6 +146,8 @@ def test_candidate_counts_equal_one_pass_each(spark):
     ]
     cols = ["algo", "label", "prediction", "cnt"]
     assert sorted(together.select(cols).collect()) == sorted(apart[0].union(apart[1]).select(cols).collect())
+    many = scoring.candidate_counts(df, {"a": F.col("a"), "b": F.col("b")}, classes=100)
+    assert sorted(many.select(cols).collect()) == sorted(together.select(cols).collect())
     whole = scoring.candidate_counts(df, {"a": F.col("a"), "b": F.col("b")}, unlabeled=True)
     assert whole.agg(F.sum("cnt")).first()[0] == 400
 
