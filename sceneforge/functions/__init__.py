@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -81,7 +80,3 @@ def text(value: str) -> str:
 
 def column(name: str) -> Column:
     return F.col(quoted(name))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

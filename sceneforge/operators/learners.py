@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, OneVsRestModel, RandomForestClassifier
-from pyspark.sql import DataFrame, SparkSession
 
 from sceneforge.operators.scoring import CANDIDATES
 
@@ -16,8 +15,6 @@ MAX_BINS = 128
 FOREST = {"numTrees": 20, "maxDepth": 8}
 BOOSTED = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 
-IMPORTANCE_SCHEMA = "name string, value double"
-
 
 def algorithms_for(classes: int) -> list[str]:
     """Candidates that can learn that many classes: plain boosting is binary."""
@@ -76,7 +73,3 @@ def importance_pairs(model: Model | PipelineModel, slots: Sequence[str]) -> list
     if not hasattr(found, "featureImportances"):
         return []
     return list(zip(slots, map(float, found.featureImportances.toArray())))
-
-
-def importance_table(spark: SparkSession, model: Model | PipelineModel, slots: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame(importance_pairs(model, slots), IMPORTANCE_SCHEMA)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sceneforge.functions import class_name, or_zero, sigmoid
@@ -42,17 +42,6 @@ def confidence(prediction: Column, probability: Column | None) -> Column:
     return F.element_at(probability, prediction.cast("int") + 1)
 
 
-def unpack_scores(scored: DataFrame) -> DataFrame:
-    """Arrays and class-1 columns from a model's vector columns."""
-    added: dict[str, Column] = {}
-    if "probability" in scored.columns:
-        added["probabilities"] = vector_to_array("probability")
-        added["p1"] = F.try_element_at(vector_to_array("probability"), F.lit(2))
-    if "rawPrediction" in scored.columns:
-        added["raw1"] = F.try_element_at(vector_to_array("rawPrediction"), F.lit(2))
-    return scored.withColumns(added) if added else scored
-
-
 def apply_threshold(scored: DataFrame, threshold: float) -> DataFrame:
     """Predict class 1 from the threshold on; the model's own choice is kept."""
     decided = F.when(F.col("p1") >= F.lit(threshold), 1.0).otherwise(0.0)

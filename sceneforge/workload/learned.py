@@ -78,6 +78,15 @@ def train_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _train_and_score(spark, orders, ORDER_STATUS, ["o_orderkey", "o_custkey"], ["random_forest", "naive_bayes"], "auto")
 
 
+@query()
+def learned_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten features a forest relies on most, by the names of its vector's slots."""
+    root = scratch_path(spark, "models")
+    train_scene(labeled_documents(spark, sf_dir), DOC_QUALITY, root, key=["doc_id"], algos=["random_forest"])
+    stored = registry.latest_models(known_events(spark, root)).select(F.inline("features"))
+    return scoring.top_importances(stored).withColumn("value", F.round("value", 6))
+
+
 @query()
 def train_every_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scene with a table in a folder trained; one registry row per model."""

@@ -27,7 +27,7 @@ def test_query_equals_sql(name, spark, con, sf_dir):
 
 def test_only_learned_results_have_no_sql():
     assert LEARNED == [
-        "platt_fit", "scored_run", "train_every_scene", "train_multiclass", "train_score_auto", "train_score_boosted",
+        "learned_importance", "platt_fit", "scored_run", "train_every_scene", "train_multiclass", "train_score_auto", "train_score_boosted",
         "train_score_gbt", "train_score_nb", "train_score_rf",
     ]
     assert set(SQL) <= set(QUERIES)
@@ -45,6 +45,12 @@ def test_calibration_line_lowers_log_loss(spark, sf_dir):
     assert mean == pytest.approx(positive / total, abs=2e-3)
 
 
+def test_importances_add_up(spark, sf_dir):
+    rows = QUERIES["learned_importance"](spark, sf_dir).collect()
+    assert {r.name for r in rows} == {"lang", "source", "n_chars", "n_words"}
+    assert sum(r.value for r in rows) == pytest.approx(1, abs=1e-4)
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["filter_remap_label"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "In(o_orderstatus, [F,O])" in plan
