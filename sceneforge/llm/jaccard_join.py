@@ -9,8 +9,10 @@ share prefix tokens under the other orders too, and are then verified exactly.
 
 Equal sets are one set with one id. The first round verifies one candidate a set,
 which joins most groups of near copies; the second takes all candidates that lie
-in different components, so no link between components is missed and no group is
-expanded into all its pairs.
+in different components. Tokens that many sets share make no pairs: sets that long
+lists hold together are dealt into blocks, and each two blocks return the components
+of their links. So no link between components is missed and no group is expanded
+into all its pairs.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sceneforge.llm import words
-from sceneforge.llm.common import components
+from sceneforge.llm.common import components, group_starts, whole_groups
 from sceneforge.session import write_out
 
 SHARED = 3
 """Tokens two prefixes must share."""
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 """Counters for the document frequency of shingles; they only shape the first order."""
-HEAVY = 4096
+HEAVY = 1 << 16
 """Largest counters that one task reports."""
+LONG_LIST = 256
+"""Sets that share a token beyond which they are compared in blocks, not pair by pair."""
+PART = 1024
+"""Sets a block has on either side."""
 FILTER_BITS = 26
 """2 to this many bits tell which documents a later pass may skip; others are found exactly by a join."""
 _SALTS = tuple(np.uint64(s) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1))
@@ -192,6 +198,67 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, th
     return write_out(both.where(common * threshold.denominator >= union * threshold.numerator).select("a", "b"), "links")
 
 
+def _block_roots(sets: pa.Table, low: int, high: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Sets with links between two blocks (or within one), and a set that stands for those they reach here."""
+    lists = pa.concat_arrays(sets["shingles"].chunks)
+    sizes = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, token, counts = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = counts[token] > 1
+    row, token = row[several], (np.cumsum(counts > 1) - 1)[token[several]]
+    part = sets["part"].to_numpy()
+    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    step = 1024
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+        some = slice(*np.searchsorted(token, (first, first + step)))
+        has = np.zeros((len(sizes), step), dtype=np.float32)
+        has[row[some], token[some] - first] = 1
+        common += has[left] @ has[right].T
+    shared = np.rint(common).astype(np.int64)
+    union = sizes[left][:, None] + sizes[right][None, :] - shared
+    a, b = np.nonzero((shared > 0) & (shared * threshold.denominator >= union * threshold.numerator))
+    a, b = left[a], right[b]
+    root = np.arange(len(sizes))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == before).all():
+            break
+    ids, some = sets["set_id"].to_numpy(), np.flatnonzero(root != np.arange(len(sizes)))
+    return ids[some], ids[root[some]]
+
+
+def _links_of_long_lists(long: DataFrame, reps: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Links (a, b) that join the sets of each group of long lists (token, set_id) as all their links do."""
+    together = components(long.select(F.col("set_id").alias("a"), F.xxhash64(F.lit("token"), "token").alias("b")))
+    together = together.join(reps.select(F.col("set_id").alias("node"), "rep"), "node").withColumnRenamed("node", "set_id")
+    together = write_out(together, "together")
+    sizes = together.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = _members(docs, together.select("set_id", F.col("rep").alias("id")), width, threshold).select("set_id", "shingles")
+    members = write_out(members.dropDuplicates(["set_id"]), "members")
+    part = F.pmod(F.xxhash64(F.lit(9), "set_id"), F.col("parts")).cast("int")
+    placed = together.select("set_id", "component").join(sizes, "component").withColumn("part", part)
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("low"), F.greatest("part", o).alias("high")))
+    placed = placed.select("set_id", "component", "part", F.explode(other).alias("met")).select("set_id", "component", "part", "met.low", "met.high")
+    order = ["component", "low", "high"]
+    met = placed.join(members, "set_id").repartition(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, order):
+            begins = group_starts(table, order)
+            for begin, end in zip(begins, np.append(begins[1:], table.num_rows)):
+                own = table.slice(begin, end - begin)
+                ids, roots = _block_roots(own, own["low"][0].as_py(), own["high"][0].as_py(), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], ["a", "b"])
+
+    return write_out(met.mapInArrow(run, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by similar word n-grams: doc_id, n_shingles, component_id.
 
@@ -209,7 +276,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     reps = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     reps = write_out(reps, "reps")
     lists = _postings(docs, width, limit, frequency).join(reps.select("set_id", "n"), "set_id")
+    lists = lists.withColumn("size", F.count("*").over(Window.partitionBy("token")))
     lists = write_out(lists, "lists")
+    long = _links_of_long_lists(lists.where(F.col("size") > LONG_LIST), reps, docs, width, limit)
+    lists = lists.where(F.col("size") <= LONG_LIST)
 
     needed = lambda n: F.least(F.lit(SHARED), F.ceil(n * limit.numerator / limit.denominator))
     pivots = lists.groupBy("token").agg(F.min("set_id").alias("pivot"))
@@ -221,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     )
     first = _verified(near.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct(), reps, docs, width, limit)
 
-    joined = components(first).withColumnRenamed("node", "set_id")
+    joined = components(first.union(long)).withColumnRenamed("node", "set_id")
     labelled = lists.join(joined, "set_id", "left").select("token", "set_id", "n", F.coalesce("component", "set_id").alias("part"))
     labelled = write_out(labelled, "labelled")
     mixed = (
@@ -241,7 +311,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     )
     second = _verified(cross, reps, docs, width, limit)
 
-    parts = components(first.union(second)).withColumnRenamed("node", "set_id")
+    parts = components(first.union(second).union(long)).withColumnRenamed("node", "set_id")
     parts = reps.join(parts, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("part"))
     parts = write_out(parts, "parts")
     named = parts.join(parts.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("set_id", "component_id")
