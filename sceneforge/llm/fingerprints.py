@@ -66,32 +66,31 @@ def as_text(own: Column) -> Column:
     return F.array_join(F.transform(own, lambda h: F.lower(F.hex(h))), ".")
 
 
-def with_next(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, ids: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Each row with ``fields`` of the row after it in descending order of id, as struct ``next``; after the last comes the first.
 
     Equal ids are ordered by the fields, null ids come last. Rows are cut into ranges
-    of ids; only the first row of each range, found by reduction, travels to another.
+    of ids, at most MAX_BUCKETS; the first row of a range is also sent to the range
+    before it, so that one shuffle does. ``ids`` has the same ids, without costly columns.
     """
-    count = rows.count()
+    count = ids.count()
     cuts = max(1, min(MAX_BUCKETS, count // BUCKET_ROWS))
     shares = [i / cuts for i in range(1, cuts)]
-    bounds = rows.select(F.percentile_approx(id_col, shares, 100_000)).first()[0] if shares and count else []
+    bounds = ids.select(F.percentile_approx(id_col, shares, 100_000)).first()[0] if shares else []
     bounds = sorted(set(bounds or []))
-    cut = F.lit(bounds).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    cut = F.array(*map(F.lit, bounds)).cast("array<bigint>")
     range_of = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.size(F.filter(cut, lambda b: b <= F.col(id_col))))
-    rows = rows.withColumn("range", range_of)
-    packed = F.struct(*fields)
-    order = [F.desc_nulls_last(id_col), *(F.desc_nulls_last(c) for c in fields)]
-    within = rows.withColumn("next", F.lead(packed).over(Window.partitionBy("range").orderBy(*order)))
-    first = rows.groupBy("range").agg(F.max(F.struct(id_col, *fields)).alias("top"))
-    ranges = rows.select("range").distinct().withColumn(
-        "before", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )  # a row for each range
-    after = first.join(ranges.select(F.col("range").alias("of"), F.col("before").alias("range")), "range")
-    after = after.select(F.col("of").alias("range"), F.struct(*(F.col("top")[c].alias(c) for c in fields)).alias("wrapped"))
-    # only the last row of a range has no next one
-    last, others = within.where("next IS NULL"), within.where("next IS NOT NULL")
-    return others.drop("range").unionByName(last.drop("next").join(after, "range").withColumnRenamed("wrapped", "next").drop("range"))
+    tops = ids.groupBy(range_of.alias("range")).agg(F.max(id_col).alias("top")).orderBy(F.desc("range")).collect()
+    ahead = [(tops[k - 1].range, tops[k].top) for k in range(len(tops))]  # the range before, and what it needs; the last before the first
+    tops_at = F.array(*(F.lit(top) for _, top in ahead)).cast("array<bigint>")
+    sent_to = F.array(*(F.lit(where) for where, _ in ahead)).cast("array<int>")
+    found = F.when(F.col(id_col).isNull(), F.array_size(tops_at)).otherwise(F.array_position(tops_at, F.col(id_col))).cast("int")
+    places = F.array(F.struct(range_of.alias("range"), F.lit(False).alias("sent")))
+    also = F.array(F.struct(F.get(sent_to, found - 1).alias("range"), F.lit(True).alias("sent")))
+    rows = rows.withColumn("at", F.explode(F.when(found > 0, F.concat(places, also)).otherwise(places)))
+    rows = rows.select("*", "at.range", "at.sent").drop("at")
+    order = [F.col("sent"), F.desc_nulls_last(id_col), *(F.desc_nulls_last(c) for c in fields)]
+    return rows.withColumn("next", F.lead(F.struct(*fields)).over(Window.partitionBy("range").orderBy(*order))).where("NOT sent").drop("range", "sent")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -110,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("sketch", sketch(shingle_hashes(F.col("text"))))
-    rows = with_next(rows, "doc_id", ["text", "sketch"])
+    rows = with_next(rows, docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", ["text", "sketch"])
     rows = rows.select("doc_id", "text", "sketch", "next", edited(F.col("text"), F.col("next.text")).alias("edited"))
     rows = rows.withColumn("edited_sketch", sketch(shingle_hashes(F.col("edited"))))
     return rows.select(
