@@ -22,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sceneforge.llm import words
 from sceneforge.llm.common import components, group_starts, whole_groups
@@ -40,7 +40,7 @@ PART = 1024
 """Sets a block has on either side."""
 FILTER_BITS = 26
 """2 to this many bits tell which documents a later pass may skip; others are found exactly by a join."""
-_SALTS = tuple(np.uint64(s) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1))
+_SALTS = tuple(np.uint64(s) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 
 
 class _Sets:
@@ -161,8 +161,8 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _members(docs: DataFrame, wanted: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Shingles and the prefixes under two further orders of the wanted sets (set_id, id: a document that has it)."""
+def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Sorted shingles of the wanted sets (set_id, id: a document that has it), and of a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +171,10 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int, threshold: Fraction
             some = np.flatnonzero((shared.value[place >> 6] >> (place & 63)) & 1)
             batch = batch.take(pa.array(some))
             for first, sets in _blocks(batch, width):
-                every = np.ones(len(sets.sizes), dtype=bool)
-                second = sets.prefixes(words.mix(sets.hashes ^ _SALTS[1]), threshold, every)
-                third = sets.prefixes(words.mix(sets.hashes ^ _SALTS[2]), threshold, every)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(first, len(sets.sizes)), pa.array(words.signed(sets.ids())),
-                    _lists(sets.hashes, sets.sizes), _lists(*second), _lists(*third),
-                ], ["id", "set_id", "shingles", "second", "third"])
+                yield pa.RecordBatch.from_arrays([pa.array(words.signed(sets.ids())), _lists(sets.hashes, sets.sizes)], ["set_id", "shingles"])
 
     placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"))
-    some = placed.mapInArrow(run, "id long, set_id long, shingles array<long>, second array<long>, third array<long>")
-    return some.join(wanted, ["id", "set_id"], "left_semi").drop("id")
+    return placed.mapInArrow(run, "set_id long, shingles array<long>").where(F.size("shingles") > 0)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
@@ -189,10 +182,20 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, th
     pairs = write_out(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = write_out(named.join(reps, "set_id").select("set_id", F.col("rep").alias("id")), "wanted")
-    members = write_out(_members(docs, wanted, width, threshold), "members")
+    # the sides grow with the input: neither is ever broadcast
+    members = write_out(_members(docs, wanted, width), "members").hint("merge")
     left, right = (members.select([F.col(c).alias(c + end) for c in members.columns]) for end in ("_a", "_b"))
-    both = pairs.join(left, F.col("a") == F.col("set_id_a")).join(right, F.col("b") == F.col("set_id_b"))
-    both = both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    both = pairs.hint("merge").join(left, F.col("a") == F.col("set_id_a")).join(right, F.col("b") == F.col("set_id_b"))
+
+    def prefix(own: str) -> Column:
+        size = F.size(own)
+        needed = F.ceil(size * threshold.numerator / F.lit(threshold.denominator))
+        return F.least(size, size - needed + 1).cast("int")
+
+    # the second order goes by hash, the third by falling hash
+    second = [F.slice(c, F.lit(1), prefix(c)) for c in ("shingles_a", "shingles_b")]
+    third = [F.slice(c, F.size(c) - prefix(c) + 1, prefix(c)) for c in ("shingles_a", "shingles_b")]
+    both = both.where(F.arrays_overlap(*second) & F.arrays_overlap(*third))
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return write_out(both.where(common * threshold.denominator >= union * threshold.numerator).select("a", "b"), "links")
@@ -239,8 +242,7 @@ def _links_of_long_lists(long: DataFrame, reps: DataFrame, docs: DataFrame, widt
     together = together.join(reps.select(F.col("set_id").alias("node"), "rep"), "node").withColumnRenamed("node", "set_id")
     together = write_out(together, "together")
     sizes = together.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = _members(docs, together.select("set_id", F.col("rep").alias("id")), width, threshold).select("set_id", "shingles")
-    members = write_out(members.dropDuplicates(["set_id"]), "members")
+    members = write_out(_members(docs, together.select("set_id", F.col("rep").alias("id")), width), "members")
     part = F.pmod(F.xxhash64(F.lit(9), "set_id"), F.col("parts")).cast("int")
     placed = together.select("set_id", "component").join(sizes, "component").withColumn("part", part)
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("low"), F.greatest("part", o).alias("high")))
