@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sceneforge.llm.common import components, group_starts, whole_groups
@@ -165,12 +165,17 @@ def _meet(classes: DataFrame, rotation: np.ndarray, threshold: float, tables: in
         return pa.array(encode(_matrix(vectors), shared.value).view(np.int64))
 
     coded = write_out(classes.withColumn("code", code_of("vector")).select("class_id", "copies", "code", "vector"), "codes")
-    keys = []
-    for number, (begin, length) in enumerate(cut):
+    def keys_of(number: int, begin: int, length: int) -> Column:
+        """Where a vector is put in a table: under its piece, and under the piece with any one bit taken away.
+
+        Pieces that differ in one bit meet under the smaller of the two.
+        """
         piece = F.shiftrightunsigned("code", begin).bitwiseAND(F.lit((1 << length) - 1))
-        # each piece meets those with one bit less under the smaller of the two
-        lower = F.filter(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda b, p=piece: F.when(F.call_function("getbit", p, b) == 1, p - F.call_function("shiftleft", F.lit(1).cast("long"), b))), lambda x: x.isNotNull())
-        keys.append(F.transform(F.concat(F.array(piece), lower), lambda k, n=number: F.struct(F.lit(n).alias("table"), k.alias("key"))))
+        bits = F.array(*(F.lit(1 << b).cast("long") for b in range(length)))
+        less = F.transform(F.filter(bits, lambda bit: piece.bitwiseAND(bit) != 0), lambda bit: piece - bit)
+        return F.transform(F.concat(F.array(piece), less), lambda key: F.struct(F.lit(number).alias("table"), key.alias("key")))
+
+    keys = [keys_of(number, begin, length) for number, (begin, length) in enumerate(cut)]
     placed = coded.select("class_id", "code", F.explode(F.concat(*keys)).alias("at")).select("class_id", "code", "at.table", "at.key")
     sizes = placed.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
     placed = placed.join(sizes, ["table", "key"])

@@ -23,7 +23,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sceneforge.llm import words
 from sceneforge.llm.common import whole_groups
@@ -246,6 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "kept": pa.array(kept, pa.string()), "others": docs["others"],
         })
 
-    kind = docs.schema["others"].dataType.simpleString()
-    schema = f"doc_id long, n_words long, n_removed long, kept string, others {kind}"
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("kept", T.StringType()), docs.schema["others"],
+    ])
     return docs.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(finish, schema)
