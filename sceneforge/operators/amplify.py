@@ -118,7 +118,9 @@ def amplify(
         value = column(field.name)
         if field.name in id_names:
             if is_numeric(field):
-                return (value + F.lit(rows) * (F.col("replica") + 1)).cast("long")
+                moved = value + F.lit(rows) * (F.col("replica") + 1)
+                whole = isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+                return moved.cast("long" if whole else field.dataType)  # whole ids get room for all copies
             if is_text(field):
                 return F.concat(value, F.lit("_"), F.col("replica").cast("string"))
             return value

@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from sceneforge.functions import class_name, or_zero
 
-# A dense matrix has a cell for every pair of classes, so it is refused for
-# targets with more classes than this; the sparse counts have no such limit.
-DENSE_CLASSES = 1_000
-
 
 def confusion_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``[by,] label, prediction, cnt`` of the labeled rows: one pass, counted before the shuffle."""
@@ -34,22 +30,20 @@ def sorted_labels(df: DataFrame, label: str = "label") -> DataFrame:
 def dense_confusion(
     counts: DataFrame, names: Mapping[int, str] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """A cell for every pair of occurring labels, 0 where no row has it.
+    """A cell for every pair of classes that occur as label or prediction, 0 where no row has it.
 
-    ``true_pos`` and ``pred_pos`` are positions among the sorted labels.
+    ``true_pos`` and ``pred_pos`` are positions among the sorted classes of the
+    group. The cells are made by exploding the classes, one row per class first,
+    and get their counts by a join.
     """
-    seen = F.array_sort(F.collect_set("label"))
-    cells = F.map_from_entries(F.collect_list(F.struct(F.struct("label", "prediction"), "cnt")))
-    gathered = counts.groupBy(*by).agg(seen.alias("seen"), cells.alias("cells"))
-    too_many = F.format_string("%d classes are too many for a dense matrix", F.size("seen"))
-    checked = gathered.withColumn(
-        "seen", F.when(F.size("seen") <= DENSE_CLASSES, F.col("seen")).otherwise(F.raise_error(too_many))
-    )
-    true_side = checked.select(*by, "seen", "cells", F.posexplode("seen").alias("true_pos", "label"))
-    both = true_side.select(
-        *by, "cells", "true_pos", "label", F.posexplode("seen").alias("pred_pos", "prediction")
-    )
-    found = F.try_element_at("cells", F.struct("label", "prediction"))
+    occurring = counts.select(*by, F.explode(F.array("label", "prediction")).alias("class")).filter(F.col("class").isNotNull())
+    axis = occurring.groupBy(*by).agg(F.array_sort(F.collect_set("class")).alias("axis"))
+    rows = axis.select(*by, "axis", F.posexplode("axis").alias("true_pos", "label"))
+    spread = rows.repartition(*by, "label")  # a task has whole rows of the matrix, not whole groups
+    cells = spread.select(*by, "true_pos", "label", F.posexplode("axis").alias("pred_pos", "prediction"))
+    found = counts.select(*(F.col(c).alias(f"of_{c}") for c in (*by, "label", "prediction")), F.col("cnt").alias("found"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "label", "prediction")]
+    both = cells.join(found, same, "left")
     names = names or {}
     return both.select(
         *by,
@@ -57,7 +51,7 @@ def dense_confusion(
         "pred_pos",
         class_name(F.col("label"), names).alias("label_name"),
         class_name(F.col("prediction"), names).alias("prediction_name"),
-        F.coalesce(found, F.lit(0)).cast("long").alias("cnt"),
+        F.coalesce("found", F.lit(0)).cast("long").alias("cnt"),
     )
 
 

@@ -77,17 +77,14 @@ def finish_binary(
 def fit_calibration(scored: DataFrame) -> tuple[float, float] | None:
     """Slope and intercept of a logistic fit of the label on the raw score, with unit L2 penalty (I16).
 
-    None when the labels hold one class only.
+    None when the rows with a raw score hold one class only.
     """
     pairs = scored.select(
         array_to_vector(F.array(F.col("raw1").cast("double"))).alias("x"),
         F.col("label").cast("double").alias("y"),
     ).filter(F.col("y").isNotNull() & F.col("raw1").isNotNull())
-    stats = scored.agg(
-        F.count(F.when(F.col("label").isNotNull() & F.col("raw1").isNotNull(), 1)).alias("n"),
-        F.min("label").alias("lo"),
-        F.max("label").alias("hi"),
-    ).first()
+    usable = F.when(F.col("raw1").isNotNull(), F.col("label"))
+    stats = scored.agg(F.count(usable).alias("n"), F.min(usable).alias("lo"), F.max(usable).alias("hi")).first()
     if stats.n == 0 or stats.lo == stats.hi:
         return None
     # Spark averages the loss over the rows, so a unit penalty on the sum is 1/n.

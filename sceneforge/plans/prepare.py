@@ -34,8 +34,12 @@ def raw_value(df: DataFrame, name: str) -> Column:
 
 
 def row_key(df: DataFrame, key: Sequence[str]) -> Column:
-    """Digest of the key columns, of all columns when the table has no key."""
-    parts = ", ".join(f"CAST({quoted(c)} AS STRING)" for c in key or df.columns)
+    """Digest of the key columns, of all columns when the table has no key.
+
+    Each value goes in with its length before it, and null as a sign of its own, so different rows have different texts.
+    """
+    texts = [f"CAST({quoted(c)} AS STRING)" for c in key or df.columns]
+    parts = ", ".join(f"coalesce(concat(length({t}), ':', {t}), '-')" for t in texts)
     return F.expr(f"md5(CAST(concat_ws('|', {parts}) AS BINARY))")
 
 

@@ -64,7 +64,7 @@ def scene_draft(df: DataFrame, scene_id: str) -> Scene:
     """A scene for a table nobody configured yet: guessed target and default class names."""
     counted = write_out(frequencies.value_frequencies(df), "frequencies")
     guess = frequencies.guess_target(frequencies.distinct_counts(counted)).filter("is_guess").first()
-    few = frequencies.target_values(counted, guess.column_name).limit(1000).collect()
+    few = frequencies.target_values(counted, guess.column_name).collect()
     return Scene(
         scene_id=scene_id,
         target=guess.column_name,

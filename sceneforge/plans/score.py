@@ -16,6 +16,7 @@ from sceneforge.operators import features as feat, learners, metrics, registry,
 from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, add_label, class_names, prepare
 from sceneforge.plans.train import known_events, version_folder, wide_path
 from sceneforge.scenes import Scene
+from sceneforge.session import write_out
 from sceneforge.sources.results import append_results
 from sceneforge.sources.tables import read_table
 
@@ -187,16 +188,23 @@ class Scored:
         return scoring.preview(self.first_rows(rows), ["row_key"], self.names, rows)
 
     def result(self) -> dict:
-        """The report as plain values; every part is bounded by classes or by the preview size."""
-        cells = self.confusion().orderBy("true_pos", "pred_pos").collect()
+        """The report as plain values, with the cells of the confusion matrix that are not 0.
+
+        Every part is bounded by classes or by the preview size.
+        """
+        cells = self.labeled.groupBy("label", "prediction").agg(F.sum("cnt").alias("cnt")).orderBy("label", "prediction").collect()
+        axis = sorted({c for r in cells for c in (r.label, r.prediction) if c is not None})
+        place = {c: k for k, c in enumerate(axis)}
         top = sorted(self.importances, key=lambda pair: (-pair[1], pair[0]))[:10]
         return {
             "accuracy": self.accuracy,
             "f1": self.f1,
             "final_model": self.model,
             "distribution": [r.asDict() for r in self.distribution().orderBy("name").collect()],
-            "confusion_matrix": [{"pred_pos": c.pred_pos, "true_pos": c.true_pos, "cnt": c.cnt} for c in cells],
-            "all_labels_indices": [c.label_name for c in cells if c.pred_pos == 0],
+            "confusion_matrix": [
+                {"pred_pos": place[r.prediction], "true_pos": place[r.label], "cnt": r.cnt} for r in cells if r.prediction is not None
+            ],
+            "all_labels_indices": [self.names.get(c, str(c)) for c in axis],
             "feature_importance": [{"name": n, "value": v} for n, v in top],
             "classification_report": [
                 {
@@ -209,6 +217,39 @@ class Scored:
         }
 
 
+def _counted(df: DataFrame, scorer: Scorer, models: list, labeled: bool) -> tuple[DataFrame, list]:
+    """Predictions counted for all models in one pass, and the models that could be counted.
+
+    If the pass fails, every model has one of its own, and those that fail alone are
+    left out with their reason in ``scorer.failures``; without any left the failure stands.
+    """
+
+    def count(some: list) -> DataFrame:
+        wide = scorer.score(df, some)
+        if not labeled:
+            wide = wide.withColumn("label", F.lit(None).cast("double"))
+        decided = {m.algo: m.prediction(scorer.binary) for m in some}
+        return write_out(scoring.candidate_counts(wide, decided, classes=len(scorer.classes), unlabeled=True), "counts")
+
+    try:
+        return count(models), models
+    except Exception:
+        if len(models) == 1:
+            raise
+    found, able = None, []
+    for model in models:
+        try:
+            own = count([model])
+        except Exception as failure:
+            scorer.failures[model.algo] = str(failure).splitlines()[0]
+            last = failure
+            continue
+        found, able = own if found is None else found.unionByName(own), [*able, model]
+    if found is None:
+        raise last
+    return found, able
+
+
 def score_table(df: DataFrame, scorer: Scorer, model: str = "auto") -> Scored:
     """Score with the named model, or with the candidate of the highest F1 on this table.
 
@@ -220,11 +261,7 @@ def score_table(df: DataFrame, scorer: Scorer, model: str = "auto") -> Scored:
     models = scorer.candidates(scoring.CANDIDATES if model == "auto" else [model])
     if model == "auto" and not labeled:
         models = [next((m for m in models if m.algo == scoring.DEFAULT_CANDIDATE), models[0])]
-    wide = scorer.score(df, models)
-    if not labeled:
-        wide = wide.withColumn("label", F.lit(None).cast("double"))
-    decided = {m.algo: m.prediction(scorer.binary) for m in models}
-    counts = scoring.candidate_counts(wide, decided, classes=len(scorer.classes), unlabeled=True).persist()
+    counts, models = _counted(df, scorer, models, labeled)
     best = scoring.choose_best(
         metrics.accuracy_f1(counts.filter(F.col("label").isNotNull()), by=["algo"])
     ).first()

@@ -85,7 +85,7 @@ def built_in_hooks() -> dict[str, Hook]:
         ),
         "ind_quality": chain(
             add_flag("Quality", "`Pass/Fail` = 1", needs="Pass/Fail"),
-            drop_listed(["Pass/Fail", *_words(_config()["ind_quality"]["ignored"])]),
+            drop_listed(["Pass/Fail", *_config()["ind_quality"]["ignored"]]),
         ),
     }
 
@@ -93,10 +93,6 @@ def built_in_hooks() -> dict[str, Hook]:
 # --- loading and editing -------------------------------------------------------------
 
 
-def _words(text: str | None) -> tuple[str, ...]:
-    return tuple((text or "").split())
-
-
 def _config(text: str = scene_catalog.BUILT_IN) -> dict[str, dict]:
     """Scene entries, every scalar as text: a label named ``No`` is no boolean."""
     return yaml.load(text, Loader=yaml.BaseLoader).get("scenes") or {}
@@ -104,24 +100,16 @@ def _config(text: str = scene_catalog.BUILT_IN) -> dict[str, dict]:
 
 def scene_from(scene_id: str, entry: dict, hook: Hook | None = None) -> Scene:
     """Build a scene from its configuration entry; label keys may be numbers or text."""
-    numbered = entry.get("numbered")
-    series = (
-        tuple(f"{numbered['prefix']}{i}" for i in range(int(numbered["first"]), int(numbered["last"]) + 1))
-        if numbered
-        else ()
-    )
-    listed = entry.get("columns") or ()
-    columns = _words(listed) if isinstance(listed, str) else tuple(listed)
     return Scene(
         scene_id=scene_id,
         target=entry["target"],
-        required=series + columns,
+        required=tuple(entry.get("columns") or ()),
         labels={str(raw): str(shown) for raw, shown in (entry.get("labels") or {}).items()},
         name=entry.get("name") or scene_id,
         category=entry.get("category") or "Unclassified",
         description=entry.get("description") or f"Predict {entry['target']}",
-        ignored=frozenset(_words(entry.get("ignored"))),
-        helpers=frozenset(_words(entry.get("helpers"))),
+        ignored=frozenset(entry.get("ignored") or ()),
+        helpers=frozenset(entry.get("helpers") or ()),
         oversample_cap=float(entry.get("oversample_cap", 10)),
         hook=hook,
     )
@@ -143,8 +131,8 @@ def dump_scenes(scenes: dict[str, Scene]) -> str:
             "target": s.target,
             "labels": dict(s.labels),
             "columns": list(s.required),
-            "ignored": " ".join(sorted(s.ignored)),
-            "helpers": " ".join(sorted(s.helpers)),
+            "ignored": sorted(s.ignored),
+            "helpers": sorted(s.helpers),
             "oversample_cap": s.oversample_cap,
         }
         for s in scenes.values()

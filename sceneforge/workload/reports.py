@@ -18,7 +18,7 @@ _NAME_SQL = "CASE {0} WHEN 0 THEN 'Returned or open' WHEN 1 THEN 'Neither' ELSE
 @query(f"""
 WITH {_SCORED},
 n AS (SELECT label, prediction, count(*) AS cnt FROM scored GROUP BY ALL),
-l AS (SELECT label, (row_number() OVER (ORDER BY label) - 1)::INTEGER AS pos FROM (SELECT DISTINCT label FROM scored))
+l AS (SELECT label, (row_number() OVER (ORDER BY label) - 1)::INTEGER AS pos FROM (SELECT label FROM scored UNION SELECT prediction FROM scored))
 SELECT t.pos AS true_pos, p.pos AS pred_pos, {_NAME_SQL.format('t.label')} AS label_name,
        {_NAME_SQL.format('p.label')} AS prediction_name, coalesce(n.cnt, 0) AS cnt
 FROM l t CROSS JOIN l p LEFT JOIN n ON n.label = t.label AND n.prediction = p.label
@@ -33,7 +33,7 @@ def confusion_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label,
                   CASE WHEN o_totalprice > 300000e0 THEN 0 ELSE 2 END AS prediction, o_orderpriority FROM orders),
 n AS (SELECT o_orderpriority, label, prediction, count(*) AS cnt FROM s GROUP BY ALL),
-l AS (SELECT DISTINCT o_orderpriority, label FROM s)
+l AS (SELECT o_orderpriority, label FROM s UNION SELECT o_orderpriority, prediction FROM s)
 SELECT t.o_orderpriority, t.label AS true_pos, p.label AS pred_pos, t.label::VARCHAR AS label_name,
        p.label::VARCHAR AS prediction_name, coalesce(n.cnt, 0) AS cnt
 FROM l t JOIN l p ON t.o_orderpriority = p.o_orderpriority

@@ -27,7 +27,7 @@ def test_built_in_scenes():
 
 
 def test_scene_text_with_text_labels():
-    text = "scenes: {s: {target: satisfaction, labels: {satisfied: Happy, '0': No}, columns: a b satisfaction}}"
+    text = "scenes: {s: {target: satisfaction, labels: {satisfied: Happy, '0': No}, columns: [a, b, satisfaction]}}"
     scene = load_scenes(text)["s"]
     assert scene.labels == {"satisfied": "Happy", "0": "No"}
     assert scene.required == ("a", "b", "satisfaction") and scene.category == "Unclassified"

@@ -32,11 +32,13 @@ def test_report_of_a_class_never_predicted(spark):
     assert (rows[0].precision, rows[0].recall, rows[0].f1) == (0.5, 1.0, pytest.approx(2 / 3))
 
 
-def test_dense_matrix_has_labels_only(spark):
+def test_dense_matrix_has_labels_and_predictions(spark):
     counts = metrics.confusion_counts(_pairs(spark, [(0, 0), (0, 7), (2, 0)]))
     got = {(r.true_pos, r.pred_pos): (r.label_name, r.prediction_name, r.cnt) for r in metrics.dense_confusion(counts, {0: "Zero"}).collect()}
     assert got == {
-        (0, 0): ("Zero", "Zero", 1), (0, 1): ("Zero", "2", 0), (1, 0): ("2", "Zero", 1), (1, 1): ("2", "2", 0),
+        (0, 0): ("Zero", "Zero", 1), (0, 1): ("Zero", "2", 0), (0, 2): ("Zero", "7", 1),
+        (1, 0): ("2", "Zero", 1), (1, 1): ("2", "2", 0), (1, 2): ("2", "7", 0),
+        (2, 0): ("7", "Zero", 0), (2, 1): ("7", "2", 0), (2, 2): ("7", "7", 0),
     }
 
 
@@ -46,12 +48,12 @@ def test_dense_matrix_of_nothing(spark):
     assert metrics.accuracy_f1(counts).first().accuracy == 0.0
 
 
-def test_dense_matrix_refuses_very_many_classes(spark):
-    df = spark.range(metrics.DENSE_CLASSES + 1).select(F.col("id").alias("label"), F.col("id").alias("prediction"))
+def test_dense_matrix_has_all_classes_on_both_sides(spark):
+    df = spark.range(1500).select(F.col("id").alias("label"), ((F.col("id") * 7) % 1600 + 100).alias("prediction"))
     counts = metrics.confusion_counts(df)
-    with pytest.raises(PySparkException, match="too many"):
-        metrics.dense_confusion(counts).count()
-    assert metrics.accuracy_f1(counts).first().accuracy == 1.0
+    dense = metrics.dense_confusion(counts)
+    classes = counts.select("label").union(counts.select("prediction")).distinct().count()
+    assert dense.agg(F.count("*"), F.sum("cnt")).first() == (classes**2, 1500)
 
 
 def test_binary_counts(spark):

@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import differences, duck
+from sceneforge import workload
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = workload.QUERIES, workload.SQL
 LEARNED = sorted(set(QUERIES) - set(SQL))
 
 
