@@ -11,10 +11,14 @@ end first and decompresses requested documents only.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from sceneforge.session import scratch_path, write_out
 LEVEL = 3
 _SKIPPABLE_IDS, _SKIPPABLE_SEEK, _SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
-CACHE = 300_000
+CACHE = 500_000
 """Words a tokenizing worker remembers."""
 
 
@@ -88,34 +92,68 @@ class TokenFile:
         return np.frombuffer(data, "<u4")
 
 
+_MARK, _LONG = "\r", 256
+
+
+_UNEVEN = re.compile(r"^\s|\s$|\s | \s")
+
+
 class _Encoder:
-    """Ids of texts. Text is cut before single spaces between other characters, where the tokenizer always begins a
-    new piece; pieces seen before are looked up."""
+    """Ids of texts. Text is cut at single spaces between other characters, where the tokenizer always begins a new
+    piece; what stands between them is encoded once, with the space before it."""
 
     def __init__(self, tokenizer_file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1 or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return [text]  # runs of white space are the tokenizer's to cut
-        return [parts[0], *(" " + p for p in parts[1:])]
+        self.heads: dict[str, bytes] = {}  # words that begin a text
+        (self.mark,) = self._ids(_MARK)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words in one go, parted by a sign that is a token of its own before a space; odd or long ones alone."""
+        joined = []
+        for word in words:
+            if _MARK in word or len(word) > _LONG:
+                self.known[word] = self._ids(" " + word).tobytes()
+            else:
+                joined.append(word)
+        for begin in range(0, len(joined), 2048):
+            some = joined[begin:begin + 2048]
+            ids = self._ids(" " + f"{_MARK} ".join(some))
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the tokenizer does not part words at white space")
+            data = ids.tobytes()
+            for word, first, last in zip(some, [-1, *cuts], [*cuts, len(ids)]):
+                self.known[word] = data[4 * first + 4:4 * last]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [self._pieces(t) for t in texts]
+        # runs of white space are the tokenizer's to cut
+        cut = [None if _UNEVEN.search(t) else t.split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = list({p for pieces in cut for p in pieces if p not in self.known})
-        for begin in range(0, len(fresh), 4096):
-            some = fresh[begin:begin + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        for pieces in cut:
-            yield b"".join(map(self.known.__getitem__, pieces))
+        if len(self.heads) > CACHE // 10:
+            self.heads.clear()
+        self._learn(set(chain.from_iterable(words[1:] for words in cut if words)).difference(self.known))
+        for text, words in zip(texts, cut):
+            if words is None:
+                yield self._ids(text).tobytes()
+            else:
+                if words[0] not in self.heads:
+                    self.heads[words[0]] = self._ids(words[0]).tobytes()
+                yield self.heads[words[0]] + b"".join(map(self.known.__getitem__, words[1:]))
+
+
+@functools.cache
+def _encoder(tokenizer_file: str) -> _Encoder:
+    """One a worker, so that tasks share what it remembers."""
+    return _Encoder(tokenizer_file)
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
@@ -136,15 +174,15 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 0, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
-        encoder = _Encoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 texts = batch.column("text").fill_null("")
-                for begin in range(0, len(ids), 256):
-                    some = texts.slice(begin, 256).to_pylist()
-                    for doc_id, data in zip(ids[begin:begin + 256], encoder.encode(some)):
+                for begin in range(0, len(ids), 512):
+                    some = texts.slice(begin, 512).to_pylist()
+                    for doc_id, data in zip(ids[begin:begin + 512], encoder.encode(some)):
                         yield doc_id, data + end
 
         store.create_dir(root, recursive=True)
