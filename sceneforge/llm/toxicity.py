@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = fold(F.col(id_col), FOLDS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), part.alias("part")).where("part <> 0 AND text IS NOT NULL")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    marked = texts.join(marks, "doc_id")
+    marked = texts.join(marks.hint("merge"), "doc_id")  # labels grow with the corpus: never broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, letters.SIZE), dtype=np.int64)
