@@ -2,8 +2,8 @@
 
 ``encode_words`` is a column expression: it folds the ranked merges over the bytes
 of a word, looking pairs of tokens up in a literal rank map. Documents are grouped
-into blocks; each block's distinct words are encoded once and documents are put
-together from them. Nothing is shuffled.
+into blocks of numbered words; each block's distinct words are encoded once and
+documents are put together from them. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,8 +26,10 @@ _NONE = 1 << _SHIFT
 """More than any rank."""
 _SPREAD = (2654435761, 2246822519)
 _DROP = 15
-CACHE = 200_000
+CACHE = 500_000
 """Stretches of text a worker remembers."""
+SLICE = 1 << 18
+"""Words whose pieces are gathered at once."""
 LONG = 128
 """Bytes of a word up to which merges are folded by scanning it."""
 
@@ -155,34 +159,79 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _runs(lists: pa.ListArray, kind: str | type) -> tuple[list[int], bytes]:
-    """Bounds of the lists in their values, and the values as bytes."""
-    offsets = lists.offsets.to_numpy()
-    values = lists.values.to_numpy()[offsets[0]:offsets[-1]].astype(kind)
-    return (offsets - offsets[0]).tolist(), values.tobytes()
-
-
-class _Splitter:
-    """Words of texts by the pattern; stretches between single spaces that came before are looked up."""
+class _Numbered:
+    """Numbers of the words that texts are made of; stretches between single spaces that came before are looked up."""
 
     def __init__(self, pattern: str) -> None:
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.words: dict[str, int] = {}
+        self.known: dict[str, list[int] | None] = {}
 
-    def __call__(self, text: str) -> list[str]:
+    def _numbers(self, text: str) -> list[int]:
+        return [self.words.setdefault(w, len(self.words)) for w in self.find(text)]
+
+    def _plain(self, part: str) -> bool:
+        return bool(part) and not part[0].isspace() and not part[-1].isspace()
+
+    def __call__(self, text: str) -> np.ndarray:
         parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return self.find(text)  # runs of white space depend on what follows them
+        if not self._plain(parts[0]):  # runs of white space depend on what follows them
+            return np.array(self._numbers(text), np.int32)
         if len(self.known) > CACHE:
             self.known.clear()
-        words: list[str] = []
-        for k, part in enumerate(parts):
-            stretch = " " + part if k else part
-            found = self.known.get(stretch)
-            if found is None:
-                found = self.known[stretch] = tuple(self.find(stretch))
-            words += found
-        return words
+        for part in set(parts[1:]).difference(self.known):
+            self.known[part] = self._numbers(" " + part) if self._plain(part) else None
+        found = [self.known[part] for part in parts[1:]]
+        if None in found:
+            return np.array(self._numbers(text), np.int32)
+        found.insert(0, self._numbers(parts[0]))
+        return np.fromiter(chain.from_iterable(found), np.int32)
+
+
+class _Pieces:
+    """What the words of a block become, end to end, and where each begins."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.sizes = values, sizes
+        self.begins = np.cumsum(sizes) - sizes
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The pieces of these words, one after the other."""
+        sizes = self.sizes[numbers]
+        place = np.repeat(self.begins[numbers] - (np.cumsum(sizes) - sizes), sizes)
+        return self.values[place + np.arange(len(place))]
+
+    def of_long(self, numbers: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.of(numbers[k:k + SLICE]) for k in range(0, len(numbers), SLICE)] or [self.values[:0]])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists and the lists' sizes."""
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], np.diff(offsets).astype(np.int64)
+
+
+def _letters(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words and the words' sizes."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(words.to_pylist()), np.uint8), sizes
+
+
+def _block(ids: list[int | None], texts: list[np.ndarray], spelled: dict[str, int]) -> pa.RecordBatch:
+    """One row: the documents' words as numbers, and the spelling of each word. ``words`` has nothing for words in ``long``."""
+    coded = [w.encode() for w in spelled]
+    short = [w if len(w) <= LONG else b"" for w in coded]
+    longer = [k for k, w in enumerate(coded) if len(w) > LONG]
+    bounds = np.concatenate(([0], np.cumsum([len(w) for w in short]))).astype(np.int32)
+    words = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(short), np.int8)))
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.RecordBatch.from_arrays([
+        one(pa.array(ids, pa.int64())), one(pa.array([len(t) for t in texts], pa.int32())), one(pa.array(np.concatenate(texts))),
+        one(words), one(pa.array(longer, pa.int32())), one(pa.array([coded[k] for k in longer], pa.binary())),
+    ], ["doc_ids", "n_words", "numbers", "words", "long_numbers", "long"])
+
+
+_BLOCK = "doc_ids array<long>, n_words array<int>, numbers array<int>, words array<array<tinyint>>, long_numbers array<int>, long array<binary>"
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,58 +244,51 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _Splitter(pattern)
-        ids, texts, held, known = [], [], 0, set()
-
-        def block() -> pa.RecordBatch:
-            short = [w for w in (x.encode() for x in known) if len(w) <= LONG]
-            flat = pa.array(np.frombuffer(b"".join(short), np.int8))
-            bounds = np.cumsum([0] + [len(w) for w in short]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), pa.ListArray.from_arrays(bounds, flat))
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), words], ["doc_ids", "texts", "words"])
-
+        ids, texts, held, number = [], [], 0, _Numbered(pattern)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(doc_id)
-                texts.append(text)
-                known.update(split(text))
+                texts.append(number(text))
                 held += len(text)
                 if held >= BLOCK_BYTES:
-                    yield block()
-                    ids, texts, held, known = [], [], 0, set()
+                    yield _block(ids, texts, number.words)
+                    ids, texts, held, number = [], [], 0, _Numbered(pattern)
         if ids:
-            yield block()
+            yield _block(ids, texts, number.words)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _Splitter(pattern)
-        bytes_of = {rank: token for token, rank in ranks.items()}
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, texts, words, ids, decoded = (batch.column(c)[row].values for c in ("doc_ids", "texts", "words", "ids", "decoded"))
-                spelled, letters = _runs(words, np.int8)
-                coded, numbers = _runs(ids, "<i4")
-                table = {
-                    letters[a:b].decode(): (numbers[4 * c:4 * d], own)
-                    for a, b, c, d, own in zip(spelled, spelled[1:], coded, coded[1:], decoded.to_pylist())
-                }
+                doc_ids, n_words, numbers, long_numbers, long, ids, decoded = (
+                    batch.column(c)[row].values for c in ("doc_ids", "n_words", "numbers", "long_numbers", "long", "ids", "decoded")
+                )
+                coded, coded_sizes = _flat(ids)
+                letters, letter_sizes = _letters(decoded)
+                merged = [merge_long(w, ranks) for w in long.to_pylist()]
+                spelled = [b"".join(bytes_of[i] for i in m) for m in merged]
+                own, at = len(coded_sizes), long_numbers.to_numpy()
+                known = np.arange(own)
+                known[at] = np.arange(own, own + len(at))  # long words follow the others
+                pieces = _Pieces(
+                    np.concatenate([coded.astype(np.int32), *(np.array(m, np.int32) for m in merged)]),
+                    np.concatenate((coded_sizes, np.array([len(m) for m in merged], np.int64))),
+                )
+                texts = _Pieces(
+                    np.concatenate([letters, *(np.frombuffer(w, np.uint8) for w in spelled)]),
+                    np.concatenate((letter_sizes, np.array([len(w) for w in spelled], np.int64))),
+                )
+                numbers = known[numbers.to_numpy()]
+                bounds = np.concatenate(([0], np.cumsum(n_words.to_numpy())))
                 for begin in range(0, len(doc_ids), 64):
-                    out_ids, out_bytes = [], []
-                    for text in texts.slice(begin, 64).to_pylist():
-                        found = []
-                        for w in split(text):
-                            hit = table.get(w)
-                            if hit is None:
-                                merged = merge_long(w.encode(), ranks)
-                                hit = table[w] = (np.array(merged, "<i4").tobytes(), b"".join(bytes_of[i] for i in merged))
-                            found.append(hit)
-                        out_ids.append(np.frombuffer(b"".join([f[0] for f in found]), "<i4"))
-                        out_bytes.append(b"".join([f[1] for f in found]))
+                    spans = [numbers[x:y] for x, y in zip(bounds[begin:begin + 64], bounds[begin + 1:begin + 65])]
+                    out_ids = [pieces.of_long(span) for span in spans]
                     sizes = np.cumsum([0] + [len(x) for x in out_ids]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        doc_ids.slice(begin, 64), pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(out_ids))), pa.array(out_bytes, pa.binary()),
+                        doc_ids.slice(begin, 64), pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(out_ids))),
+                        pa.array([texts.of_long(span).tobytes() for span in spans], pa.binary()),
                     ], ["doc_id", "ids", "decoded"])
 
-    blocks = rows.mapInArrow(gather, "doc_ids array<long>, texts array<string>, words array<array<tinyint>>")
-    encoded = blocks.withColumn("ids", encode_words(F.col("words"), ranks))
-    encoded = encoded.withColumn("decoded", F.transform("ids", lambda i: decode_ids(i, ranks)))
+    bytes_of = {rank: token for token, rank in ranks.items()}
+    encoded = rows.mapInArrow(gather, _BLOCK).withColumn("ids", encode_words(F.col("words"), ranks))
+    encoded = encoded.withColumn("decoded", F.transform("ids", lambda i: decode_ids(i, ranks))).drop("words")
     return encoded.mapInArrow(put_together, "doc_id long, ids array<int>, decoded binary")

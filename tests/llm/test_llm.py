@@ -331,6 +331,8 @@ def test_byte_bpe_equals_tiktoken(odd, empty, spark, sf_dir):
     assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in got) == texts
     assert all(r.ids == plain.encode_ordinary(bytes(r.decoded).decode()) for r in got)
     assert byte_bpe.encode_documents(empty, ranks, public_tokenizers.PATTERN).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in byte_bpe.encode_documents(blank, ranks, public_tokenizers.PATTERN).collect()} == {(1, (), b""), (2, (), b"")}
     assert spark.range(1).select(byte_bpe.decode_ids(F.array(F.lit(72), F.lit(10**6)), ranks).alias("x")).first().x is None
 
 
