@@ -30,12 +30,15 @@ def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at 0.8, the one with the smallest id.
 
-    Rows that repeat the kept id stay with it; documents without an id stay where
-    some group has no id at all.
+    Rows that repeat the kept id stay with it. Of a group without any id one text
+    stays, and texts without words all do.
     """
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"), 5, 0.8)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"), 5, 0.8, grouped=True)
+    found = found.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    # a group with an id has one kept id, so only those without any have a choice of keys
+    kept = found.groupBy(F.coalesce("part", "key"), F.col("doc_id").alias("kept_id")).agg(F.min("key").alias("kept_key")).select("kept_id", "kept_key").distinct()
+    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

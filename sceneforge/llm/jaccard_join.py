@@ -98,31 +98,36 @@ def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(words.signed(flat)))
 
 
+def _row_key() -> Column:
+    """The id of a row, or a hash of its text where it has none; never null."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
 def _measure(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Per text its set's id and size, and estimated document frequencies by bucket."""
+    """Per text its row key, its set's id and size, and estimated document frequencies by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set_id", "bucket", "seen"]
+        names = ["doc_id", "key", "n", "set_id", "bucket", "seen"]
         seen = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for first, sets in _blocks(batch, width):
                 seen += np.bincount(_bucket(sets.hashes), minlength=SKETCH)
                 count, empty = len(sets.sizes), sets.sizes == 0
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(first, count), pa.array(sets.sizes.astype(np.int64)),
+                    batch.column("doc_id").slice(first, count), batch.column("key").slice(first, count), pa.array(sets.sizes.astype(np.int64)),
                     pa.array(words.signed(sets.ids()), mask=empty), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()),
                 ], names)
         top = np.argpartition(seen, -HEAVY)[-HEAVY:]
         top = top[seen[top] > 1].astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            *(pa.nulls(len(top), pa.int64()) for _ in range(3)), pa.array(top), pa.array(seen[top]),
+            *(pa.nulls(len(top), pa.int64()) for _ in range(4)), pa.array(top), pa.array(seen[top]),
         ], names)
 
-    rows = write_out(docs.mapInArrow(run, "doc_id long, n long, set_id long, bucket int, seen long"), "sets")
+    rows = write_out(docs.withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, n long, set_id long, bucket int, seen long"), "sets")
     found = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     frequency = np.zeros(SKETCH, dtype=np.int64)
     frequency[found["bucket"].to_numpy()] = found["seen"].to_numpy()
-    return rows.where("bucket IS NULL").select("doc_id", "n", "set_id"), np.minimum(frequency, 65535).astype(np.uint16)
+    return rows.where("bucket IS NULL").select("doc_id", "key", "n", "set_id"), np.minimum(frequency, 65535).astype(np.uint16)
 
 
 def _postings(docs: DataFrame, width: int, threshold: Fraction, frequency: np.ndarray) -> DataFrame:
@@ -162,7 +167,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Sorted shingles of the wanted sets (set_id, id: a document that has it), and of a few others."""
+    """Sorted shingles of the wanted sets (set_id, id: the key of a row that has it), and of a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +176,10 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             some = np.flatnonzero((shared.value[place >> 6] >> (place & 63)) & 1)
             batch = batch.take(pa.array(some))
             for first, sets in _blocks(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(words.signed(sets.ids())), _lists(sets.hashes, sets.sizes)], ["set_id", "shingles"])
+                members = pa.RecordBatch.from_arrays([pa.array(words.signed(sets.ids())), _lists(sets.hashes, sets.sizes)], ["set_id", "shingles"])
+                yield members.take(pa.array(np.sort(np.unique(sets.ids(), return_index=True)[1])))  # rows with one key repeat their set
 
-    placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"))
+    placed = docs.select("text", F.pmod(F.xxhash64(_row_key()), F.lit(1 << FILTER_BITS)).alias("place"))
     return placed.mapInArrow(run, "set_id long, shingles array<long>").where(F.size("shingles") > 0)
 
 
@@ -181,7 +187,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, th
     """Those of ``pairs`` (a, b) whose sets are similar enough."""
     pairs = write_out(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = write_out(named.join(reps, "set_id").select("set_id", F.col("rep").alias("id")), "wanted")
+    wanted = write_out(named.join(reps, "set_id").select("set_id", F.col("key").alias("id")), "wanted")
     # the sides grow with the input: neither is ever broadcast
     members = write_out(_members(docs, wanted, width), "members").hint("merge")
     left, right = (members.select([F.col(c).alias(c + end) for c in members.columns]) for end in ("_a", "_b"))
@@ -239,10 +245,10 @@ def _block_roots(sets: pa.Table, low: int, high: int, threshold: Fraction) -> tu
 def _links_of_long_lists(long: DataFrame, reps: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """Links (a, b) that join the sets of each group of long lists (token, set_id) as all their links do."""
     together = components(long.select(F.col("set_id").alias("a"), F.xxhash64(F.lit("token"), "token").alias("b")))
-    together = together.join(reps.select(F.col("set_id").alias("node"), "rep"), "node").withColumnRenamed("node", "set_id")
+    together = together.join(reps.select(F.col("set_id").alias("node"), "key"), "node").withColumnRenamed("node", "set_id")
     together = write_out(together, "together")
     sizes = together.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = write_out(_members(docs, together.select("set_id", F.col("rep").alias("id")), width), "members")
+    members = write_out(_members(docs, together.select("set_id", F.col("key").alias("id")), width), "members")
     part = F.pmod(F.xxhash64(F.lit(9), "set_id"), F.col("parts")).cast("int")
     placed = together.select("set_id", "component").join(sizes, "component").withColumn("part", part)
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("low"), F.greatest("part", o).alias("high")))
@@ -261,7 +267,7 @@ def _links_of_long_lists(long: DataFrame, reps: DataFrame, docs: DataFrame, widt
     return write_out(met.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", grouped: bool = False) -> DataFrame:
     """Groups of documents linked by similar word n-grams: doc_id, n_shingles, component_id.
 
     A word is a run of anything but space and tab to carriage return; A-Z are
@@ -271,11 +277,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     row: repeated rows are copies of each other, ids that come back with other
     texts are separate documents, and a null id joins groups but names none (its
     component_id is null only in a group without any id). Other columns are not read.
+    ``grouped`` adds ``key``, the id or a hash of the text where there is none, and
+    ``part``, the same for all rows of a group (null for a text without shingles).
     """
     limit = Fraction(str(threshold))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets, frequency = _measure(docs, width)
-    reps = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("n").alias("n"))
     reps = write_out(reps, "reps")
     lists = _postings(docs, width, limit, frequency).join(reps.select("set_id", "n"), "set_id")
     lists = lists.withColumn("size", F.count("*").over(Window.partitionBy("token")))
@@ -316,8 +324,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     parts = components(first.union(second).union(long)).withColumnRenamed("node", "set_id")
     parts = reps.join(parts, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("part"))
     parts = write_out(parts, "parts")
-    named = parts.join(parts.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("set_id", "component_id")
+    named = parts.join(parts.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("set_id", "part", "component_id")
     return sets.join(named, "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["key", "part"] if grouped else []),
     )

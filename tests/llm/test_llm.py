@@ -165,6 +165,21 @@ def test_jaccard_join_equals_all_pairs(spark, sf_dir, odd, monkeypatch, long_lis
         assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, width, threshold)
 
 
+@pytest.mark.parametrize("long_list", [2, 256])
+def test_jaccard_join_links_rows_without_an_id(spark, monkeypatch, long_list):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    words = [f"w{k}" for k in range(100)]
+    step = lambda k: " ".join(f"x{j}" if j % 20 == 10 and j < 20 * k else w for j, w in enumerate(words))
+    chain = [(1, step(0)), (None, step(1)), (7, step(2)), (None, step(2) + " more"), (None, "nothing like the others at all"), (None, None)]
+    frame = spark.createDataFrame(chain + [(None, step(1))], "doc_id long, text string")
+    got = jaccard_join.near_duplicates(frame, 5, 0.9).collect()
+    plain = plain_components([(r.doc_id, r.text) for r in frame.collect()], 5, 0.9)
+    assert sorted((tuple(r) for r in got), key=str) == plain
+    assert plain_components([chain[0], chain[2]], 5, 0.9) != [x for x in plain if x[0]]  # the row without an id is the bridge
+    texts = [r.text for r in corpus_pipeline.keep_one_of_near_duplicates(spark, frame, "").collect()]
+    assert sorted(texts, key=str) == sorted([chain[0][1], chain[4][1], None], key=str)
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
