@@ -10,8 +10,9 @@ occurs in several places can repeat.
    shard compiles the recurring phrases that its documents have into an automaton
    and streams its documents through it, which finds every occurrence by its words.
    Windows around occurrences are settled within the shard; only the first of
-   each kind goes on, so a passage of the whole corpus is a row per shard at most.
-3. The windows that go on meet by anchor; all but the earliest of a kind repeat.
+   each kind goes on, so a window of the whole corpus is a row per shard at most.
+3. The earliest place of each window that goes on is a minimum by its hash; all
+   that goes on at other places repeats. No task holds the rows of one phrase.
 4. Each shard marks the words of its repeated windows and joins the others.
 """
 
@@ -26,7 +27,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sceneforge.llm import words
-from sceneforge.llm.common import whole_groups
 from sceneforge.session import write_out
 
 WINDOW, PHRASE = 20, 8
@@ -165,23 +165,15 @@ def _settle(docs: pa.Table, recurring: pa.Table) -> pa.Table:
     ], schema=schema)
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows that meet by anchor, those that are not the earliest of their kind."""
-    for table in whole_groups(batches, ["anchor"]):
-        hashes = pa.concat_arrays(table["hashes"].chunks)
-        sizes = np.diff(hashes.offsets.to_numpy())
-        flat = hashes.flatten().to_numpy()
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        begins = np.cumsum(sizes) - sizes
-        bit = np.arange(len(flat)) - begins[row]
-        doc, copy, start = (table[c].to_numpy() for c in ("doc_id", "copy", "start"))
-        order = np.lexsort((start[row] + bit, copy[row], doc[row], flat))
-        again = np.zeros(len(flat), dtype=bool)
-        again[order[1:]] = flat[order[1:]] == flat[order[:-1]]
-        repeats = np.add.reduceat(np.where(again, 1 << bit, 0), begins)
-        some = np.flatnonzero(repeats)
-        found = table.select(["shard", "doc_id", "copy", "start"]).take(some)
-        yield from found.append_column("repeats", pa.array(repeats[some].astype(np.int32))).to_batches()
+def _later(settled: DataFrame) -> DataFrame:
+    """Of windows that are the first of their kind in a shard, those that are not the earliest of all."""
+    each = settled.select("shard", "doc_id", "copy", "start", "repeats", F.posexplode("hashes").alias("bit", "hash"))
+    each = each.where("(shiftright(repeats, bit) & 1) = 0")
+    each = each.select("hash", "shard", F.struct("doc_id", "copy", (F.col("start") + F.col("bit")).alias("start")).alias("at"))
+    earliest = each.groupBy("hash").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).where("earliest <> latest")
+    # both sides grow with the input: neither is ever broadcast
+    met = each.hint("merge").join(earliest.select("hash", "earliest").hint("merge"), "hash").where("at <> earliest")
+    return met.select("shard", "at.doc_id", "at.copy", "at.start", F.lit(1).alias("repeats"))
 
 
 def _marks(docs_ids: np.ndarray, copies: np.ndarray, repeats: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     recurring = write_out(_recurring(docs), "phrases")
     texts = docs.select("shard", "doc_id", "text")
     settled = write_out(texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_settle, _SETTLED), "windows")
-    meeting = settled.where(F.size("hashes") > 0).select("anchor", "shard", "doc_id", "copy", "start", "hashes")
-    met = meeting.repartition("anchor").sortWithinPartitions("anchor")
-    columns = ["shard", "doc_id", "copy", "start", "repeats"]
-    later = met.mapInArrow(_later, "shard int, doc_id long, copy int, start int, repeats int")
-    repeats = settled.where("repeats <> 0 AND size(hashes) = 0").select(columns).union(later.select(columns))
+    repeats = settled.where("repeats <> 0").select("shard", "doc_id", "copy", "start", "repeats").union(_later(settled))
 
     def finish(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         docs, ids, copies = _sorted_shard(docs)

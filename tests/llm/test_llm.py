@@ -235,6 +235,19 @@ def test_repeated_passages_equal_plain_removal(spark, odd, empty, monkeypatch):
     assert {r.shard for r in kept} == {"shard"} and any(r.kept is None for r in kept)
 
 
+def test_repeated_passages_gather_no_anchor(spark, monkeypatch):
+    monkeypatch.setattr(repeated_passages, "SHARD", 2)
+    line = "Licensed under the Apache License Version 2.0 of the year all rights are reserved"
+    rows = [(k, " ".join(f"a{k}x{j}" for j in range(15)) + f" {line} " + " ".join(f"b{k}x{j}" for j in range(15))) for k in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in range(0, 40, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left = repeated_passages.remove_repeats(frame)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "hashpartitioning(anchor" not in plan
+    got = left.select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_removal(rows)
+
+
 # 6 toxicity
 
 def test_letter_models_are_distributions():
