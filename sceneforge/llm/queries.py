@@ -91,7 +91,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by models that have not seen the held-out fold's labels."""
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
-    scored = docs.select("doc_id", (fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), toxicity.toxicity(F.col("text"), model, docs).alias("score"))
+    scored = toxicity.scored(docs.select("doc_id", (fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), "text"), model)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 

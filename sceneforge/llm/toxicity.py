@@ -1,10 +1,12 @@
-"""Toxicity by class-conditional Kneser-Ney models of letters.
-
-Two models, one of toxic and one of ordinary texts, give each letter of a word its
-probability after the letters before it. What a class has seen too seldom comes
-from backoff counts that both classes share. A text's score rests on differences
-of the two log-likelihoods: of the whole text and of its most toxic words, each
-normalised by length, put on one scale by a logistic line.
+"""Toxicity by class-conditional Kneser-Ney models of words and of letters.
+
+Two models, one of toxic and one of ordinary texts, give each word its probability
+after the word before it (``word_pairs``; tables that grow with the corpus), and
+each letter of a word after the letters before it (``letters``; for words that no
+labelled text has). What a class has seen too seldom comes from backoff counts that
+both classes share. A text's score rests on differences of the two log-likelihoods:
+of its words, of its letters and of its most toxic words, each divided by length,
+put on one scale by a logistic line.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sceneforge.llm import letters
+from sceneforge.llm import letters, word_pairs
 from sceneforge.llm.common import fold, free_name
+from sceneforge.session import write_out
 
 FOLDS = 5
 """Rows are dealt by crc32 of the id: 0 is held out, 4 fits the logistic line, the others the models."""
@@ -29,13 +32,18 @@ TOP_WORDS = 3
 
 @dataclass
 class ToxicityModel:
-    """Log-likelihood differences by n-gram, and the weights of the features."""
+    """Log-likelihood differences by letter n-gram, the weights of the features, and the table of words.
+
+    ``weights`` are for letters alone, ``word_weights`` for the difference of the words as well.
+    """
 
     ratio: np.ndarray
     weights: np.ndarray
+    words: word_pairs.Table | None = None
+    word_weights: np.ndarray | None = None
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Mean difference a letter, that of the most toxic word, and the mean of the most toxic three, per text."""
+        """Mean difference a letter, in the text, in its most toxic word, and on average in the most toxic three."""
         found = np.zeros((len(texts), 3))
         for first, some in letters.blocks(texts):
             codes, starts, words = letters.grams(some)
@@ -46,7 +54,7 @@ class ToxicityModel:
             lengths = np.diff(starts)
             rows = slice(first, first + len(some))
             found[rows, 0] = (total[starts[1:]] - total[starts[:-1]]) / np.maximum(lengths, 1)
-            sums = np.add.reduceat(values, words)
+            sums = np.add.reduceat(values, words) / np.diff(np.append(words, len(values)))
             owner = np.searchsorted(starts, words, side="right") - 1
             order = np.lexsort((-sums, owner))
             sums, owner = sums[order], owner[order]
@@ -122,26 +130,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not rows.all():
         share = rows[1] / max(1, rows.sum())
         return ToxicityModel(np.zeros(letters.SIZE, np.float32), np.array([0, 0, 0, np.log((share + 1e-9) / (1 - share + 1e-9))]))
-    model = ToxicityModel(letters.log_ratio(tables[1], tables[0]), np.zeros(4))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    learned = marked.where(f"part <> {FOLDS - 1}").select("text", "label")
+    model = ToxicityModel(letters.log_ratio(tables[1], tables[0]), np.zeros(4), word_pairs.learn(learned))
+    plain = ToxicityModel(model.ratio, model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
 
     @arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
         return pa.array(list(shared.value.features(_bytes(texts))), pa.list_(pa.float64()))
 
-    line = marked.where(f"part = {FOLDS - 1}").select("doc_id", "label", features("text").alias("features"))
-    line = line.orderBy(F.xxhash64(F.lit(5), "doc_id")).limit(LINE_SAMPLE).select("label", "features").toArrow()
+    line = marked.where(f"part = {FOLDS - 1}").orderBy(F.xxhash64(F.lit(5), "doc_id")).limit(LINE_SAMPLE)
+    line = write_out(line.select("label", "text", word_pairs.text_key(F.col("text")).alias("key")), "line")
+    means = model.words.means(line)
+    line = line.select("key", "label", features("text").alias("features")).join(means, "key")
+    line = line.select("label", "features", "mean").toArrow()
     label = line["label"].to_numpy()
     if len(np.unique(label)) < 2:  # too few rows for a line: a word ten times likelier in a toxic text each letter
-        model.weights = np.array([0.0, 0.0, 1.0, -np.log(10.0) * letters.ORDER])
+        model.weights = np.array([0.0, 0.0, 1.0, -np.log(10.0)])
+        model.word_weights = np.array([0.0, 0.0, 1.0, 1.0, -np.log(10.0)])
     else:
-        model.weights = _fit_line(np.array(line["features"].to_pylist()), label)
+        own = np.array(line["features"].to_pylist())
+        model.weights = _fit_line(own, label)
+        model.word_weights = _fit_line(np.hstack((own, line["mean"].to_numpy()[:, None])), label)
     return model
 
 
 def toxicity(text: Column, model: ToxicityModel, docs: DataFrame) -> Column:
-    """Score of each whole text, 0 to 1; null counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Score of each whole text by its letters alone, 0 to 1; null counts as empty. ``scored`` reads its words too."""
+    plain = ToxicityModel(model.ratio, model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -150,7 +167,31 @@ def toxicity(text: Column, model: ToxicityModel, docs: DataFrame) -> Column:
     return score.asNondeterministic()(text)  # so that it is computed once
 
 
+def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text, 0 to 1, in place of the text; null counts as empty."""
+    if model.words is None:
+        return docs.withColumn(score_col, toxicity(F.col(text_col), model, docs)).drop(text_col)
+    plain = ToxicityModel(model.ratio, model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
+
+    @arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array(list(shared.value.features(_bytes(texts))), pa.list_(pa.float64()))
+
+    key, own, mean = (free_name(docs, name) for name in ("key", "features", "mean"))
+    means = model.words.means(docs.select(F.col(text_col).alias("text"), word_pairs.text_key(F.col(text_col)).alias("key")))
+    means = means.select(F.col("key").alias(key), F.col("mean").alias(mean))
+    found = docs.withColumns({key: word_pairs.text_key(F.col(text_col)), own: features.asNondeterministic()(text_col)}).drop(text_col)
+    found = found.hint("merge").join(means, key)
+    *weights, bias = model.word_weights.tolist()
+    line = F.lit(bias) + F.col(mean) * weights[-1]
+    for k, weight in enumerate(weights[:-1]):
+        line = line + F.col(own)[k] * weight
+    return found.withColumn(score_col, 1 / (1 + F.exp(-line))).drop(key, own, mean)
+
+
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``limit``, unchanged, whatever columns they have."""
-    name = free_name(docs, "toxicity")
-    return docs.withColumn(name, toxicity(F.col(text_col), model, docs)).where(F.col(name) < limit).drop(name)
+    texts = docs.select(word_pairs.text_key(F.col(text_col)).alias("rejected"), F.col(text_col).alias("text"))
+    rejected = write_out(scored(texts, model).where(F.col("score") >= limit).select("rejected").distinct(), "rejected")
+    return docs.hint("merge").join(rejected, word_pairs.text_key(docs[text_col]) == rejected["rejected"], "left_anti")

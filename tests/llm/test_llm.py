@@ -17,7 +17,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from compare import differences, duck
 from sceneforge.llm import (
-    byte_bpe, chat, common, fingerprints, hamming_index, jaccard_join, language_id, letters, packing, queries, repeated_passages, token_files, toxicity,
+    byte_bpe, chat, common, fingerprints, hamming_index, jaccard_join, language_id, letters, packing, queries, repeated_passages, token_files, toxicity, word_pairs,
 )
 
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -267,6 +267,52 @@ def test_toxicity_on_held_out_rows(spark):
     assert (marked.predicted == marked.toxic).mean() > 0.93 and marked.score.between(0, 1).all()
 
 
+def plain_means(marked, texts):
+    split = lambda t: ["<s>", *"".join(c if c.isalnum() or c > "\x7f" else " " for c in (t or "")).lower().split(), "</s>"]
+    pairs = [Counter(), Counter()]
+    for t, label in marked:
+        w = split(t)
+        pairs[label].update(zip(w, w[1:]))
+    discount = lambda c: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(*(sum(x == k for x in c.values()) for k in (1, 2)))
+    kinds = [Counter(w for _, w in p) for p in pairs]
+    pooled = Counter(w for _, w in {*pairs[0], *pairs[1]})
+
+    def mixed(counts, x, lower, cut):
+        total = sum(counts.values())
+        return max(counts[x] - cut, 0) / total + cut * len(counts) / total * lower if total else lower
+
+    def p(k, u, w):
+        both = mixed(pooled, w, 1 / (len(pooled) + 1), discount(pooled))
+        after = Counter({b: n for (a, b), n in pairs[k].items() if a == u})
+        return mixed(after, w, mixed(kinds[k], w, both, discount(kinds[k])), discount(pairs[k]))
+
+    return [np.mean([np.log(p(1, u, w) / p(0, u, w)) for u, w in zip(split(t), split(t)[1:])]) for t in texts]
+
+
+def test_word_models_equal_plain_kneser_ney(spark):
+    rng = np.random.default_rng(8)
+    names = ["alpha", "beta", "gäm", "déb", "2001", "2002", "x9"]
+    marked = [(" ".join(rng.choice(names, 6)) + ", Alpha! beta", 0) for _ in range(20)] + [(" ".join(rng.choice(names[1:], 5)), 1) for _ in range(12)]
+    texts = ["alpha beta gäm", "beta alpha", "new words, gäm DÉB", "2001 2002 2001", "", None, "x9 x9", marked[0][0], marked[-1][0]]
+    table = word_pairs.learn(spark.createDataFrame(marked, "text string, label int"))
+    rows = spark.createDataFrame([(t,) for t in texts * 2], "text string").withColumn("key", word_pairs.text_key(F.col("text")))
+    got = {r.key: r.mean for r in table.means(rows).collect()}
+    keys = [r.key for r in rows.collect()]
+    texts[2] = texts[2].replace("DÉB", "dÉb")  # only A-Z are folded
+    assert np.allclose([got[k] for k in keys[:len(texts)]], [plain_means(marked, [t.replace("É", "Ë") if t else t])[0] for t in texts])
+
+
+def test_toxicity_reads_expressions_of_several_words(spark):
+    rng = np.random.default_rng(9)
+    filler = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    text = lambda toxic: " ".join((x := rng.choice(filler, 12).tolist())[:6] + (["green", "apple"] if toxic else ["apple", "green"]) + x[6:])
+    rows = [(k, text(k % 2), k % 2) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    found = toxicity.scored(docs.withColumn("held_out", common.fold(F.col("doc_id"), toxicity.FOLDS) == 0), model).where("held_out").collect()
+    assert len(found) > 50 and np.mean([(r.score >= 0.5) == r.toxic for r in found]) > 0.95
+
+
 def test_toxicity_of_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
     for marks in (labels, labels.where("false")):
