@@ -11,6 +11,7 @@ from sceneforge.llm import (
     byte_bpe, chat, fingerprints, hamming_index, jaccard_join, language_id, packing, repeated_passages, token_files, toxicity,
 )
 from sceneforge.llm.common import documents, fold
+from sceneforge.session import write_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,9 +29,14 @@ def _query(sql: str | None = None) -> Callable:
 
 @_query()
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in bins of 2,048 words that hold no source and no equal text twice."""
+    """Every document in bins of 2,048 words that hold no source and no two near copies (5-word shingles at 0.8)."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return packing.pack(docs, packing.word_count(F.col("text")), F.xxhash64("text"))
+    key = F.xxhash64("text")  # equal texts are in one group: each text is clustered once, whatever ids it has
+    found = jaccard_join.near_duplicates(docs.select(key.alias("key"), "text"), 5, 0.8, id_col="key")
+    clusters = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("cluster"))
+    sized = docs.select("doc_id", "source", packing.word_count(F.col("text")).alias("length"), key.alias("key"))
+    placed = write_out(sized.hint("merge").join(clusters.hint("merge"), "key"), "clustered")
+    return packing.pack(placed, F.col("length"), F.col("cluster"))
 
 
 @_query()

@@ -67,6 +67,17 @@ def test_packing_keeps_everything_and_its_rules(spark, sf_dir):
         assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    near = [(k, " ".join(words + [f"own{k}"]), f"s{k}") for k in range(5)]
+    rows = near + [(10, None, "a"), (10, "", "b"), (None, near[0][1], "c"), (11, "short one", "d"), (11, "short one", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    bins = Counter((r.shard, r.bin) for r in got if r.length == 61)
+    assert sum(bins.values()) == 6 and set(bins.values()) == {1}
+
+
 def test_packing_is_best_fit():
     rng = np.random.default_rng(1)
     lengths = sorted(rng.integers(1, 100, 300).tolist(), reverse=True)
