@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneforge.llm import (
-    byte_bpe, chat, fingerprints, hamming_index, jaccard_join, language_id, packing, repeated_passages, token_files, toxicity,
+    byte_bpe, chat, decontamination, divergence, fingerprints, hamming_index, jaccard_join, language_id, packing, repeated_passages, spelling, token_files, toxicity,
 )
 from sceneforge.llm.common import documents, fold
 from sceneforge.session import write_out
@@ -152,3 +152,73 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query(rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM (SELECT lang, source, k, unnest(t) AS term FROM d) GROUP BY lang, source, term),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+vl AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+ng AS (SELECT lang, source, sum(c.n) AS n FROM c JOIN kept USING (lang, term) GROUP BY lang, source),
+full_g AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+           CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(ng.n, 0) + vl.v) AS BIGINT) AS p,
+           CAST(1 + 1000000000::HUGEINT * (kept.n + 1) // (vl.n + vl.v) AS BIGINT) AS q
+           FROM g JOIN vl USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN ng ON ng.lang = g.lang AND ng.source = g.source),
+priced AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM full_g a JOIN full_g b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(priced.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN priced ON priced.lang = a.lang AND priced.source = a.source AND priced.item = b.source),
+term AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM full_g WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 200
+""")
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language by how differently they use its words, and the words they use more."""
+    return divergence.Audit(documents(spark, sf_dir)).report()
+
+
+@_query(rf"""
+WITH d AS (SELECT doc_id, xxh AS key, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, row_number() OVER () AS xxh, {_LOWER.format("text")} AS t FROM documents)),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT item, w, least(len(w), 10) AS m, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+m AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT key, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT key, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, m WHERE len(w) >= m)),
+hit AS (SELECT key, item, m, i FROM dw JOIN bw USING (m, win)),
+place AS (SELECT key, count(DISTINCT spot) AS n FROM (SELECT key, unnest(generate_series(i, i + m - 1)) AS spot FROM hit) GROUP BY key),
+named AS (SELECT key, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT key, item FROM hit) GROUP BY key)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(place.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(named.items, '')) AS items_sha256, place.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN place ON place.key = d.key LEFT JOIN named ON named.key = d.key
+""")
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark passages of ten words."""
+    found = decontamination.shared_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query(rf"""
+WITH RECURSIVE bit AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+run AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY doc_id, run),
+hex AS (SELECT run, n, hex(encode(concat(CAST(doc_id AS VARCHAR), ':', run))) AS x FROM run),
+byte AS (SELECT run, n, [4294967295::BIGINT] || list_transform(range(len(x) // 2), lambda j: (instr('0123456789ABCDEF', x[2 * j + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * j + 2]) - 1) AS b FROM hex),
+sum AS (SELECT run, n, xor(list_reduce(b, lambda a, v: xor(a >> 8, t[CAST(xor(a, v) & 255 AS BIGINT) + 1])), 4294967295) AS h FROM byte, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM sum),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM del a JOIN del b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT a.word, a.n, b.word, b.n FROM del a JOIN w b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM del a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, n, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+form AS (SELECT w.word, w.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND k = 1),
+chain AS (SELECT word, word AS root FROM form UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.root WHERE form.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN form ON form.word = chain.root WHERE form.form IS NULL)
+SELECT form.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN ends ON ends.word = form.word
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words, the words they are variants of, and the roots of those."""
+    return spelling.group_variants(spelling.frequent_words(documents(spark, sf_dir)))
