@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sceneforge.llm.lexing import all_matches, ascii_lower, places
+from sceneforge.llm.lexing import all_matches, ascii_lower, bind, places
 from sceneforge.session import write_out
 
 WINDOW = 10
@@ -36,14 +36,15 @@ def words(text: Column) -> Column:
     return all_matches(ascii_lower(text), WORD)
 
 
-def _with_minima(df: DataFrame, m: int) -> DataFrame:
-    """Add ``minima``: for each window of ``m`` words, by its first word, the least hash of its k-grams."""
+def _minima(words: Column, m: int) -> Column:
+    """For each window of ``m`` words, by its first word, the least hash of its k-grams."""
     k = (m + 1) // 2
-    gram = lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(k)))
-    least = lambda i: F.least(*(F.get("grams", i + j) for j in range(m - k + 1))) if m > k else F.get("grams", i)
-    count = F.size("words") - m + 1
-    grams = df.withColumn("grams", F.transform(F.when(count > 0, places(count + m - k)).otherwise(places(F.lit(0))), gram))
-    return grams.withColumn("minima", F.transform(places(count), least)).drop("grams")
+    count = F.size(words) - m + 1
+    grams = F.transform(
+        places(F.when(count > 0, count + m - k).otherwise(0)), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
+    if m == k:
+        return grams
+    return bind(grams, lambda g: F.transform(places(count), lambda i: F.least(*(F.get(g, i + j) for j in range(m - k + 1)))))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -52,8 +53,8 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     length = F.least(F.size("words"), F.lit(window))
     parts = []
     for m in sorted(r.m for r in read.select(length.alias("m")).where("m > 0").distinct().collect()) or [window]:
-        found = _with_minima(read.where(length == m), m).select("item", F.lit(m).alias("m"), F.explode(F.transform(
-            "minima", lambda least, i: F.struct(F.array_join(F.slice("words", i + 1, m), " ").alias("window"), least.alias("print")))).alias("w"))
+        spelled = F.transform(_minima(F.col("words"), m), lambda least, i: F.struct(F.array_join(F.slice("words", i + 1, m), " ").alias("window"), least.alias("print")))
+        found = read.where(length == m).select("item", F.lit(m).alias("m"), F.explode(spelled).alias("w"))
         parts.append(found.select("m", "w.window", "w.print", "item"))
     return _union(parts).distinct()
 
@@ -65,17 +66,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _runs(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add ``runs``: stretches of neighbouring windows with one least hash, for windows of each length."""
-    df = df.withColumn("runs", F.array().cast("array<struct<m:int,print:bigint,first:int,last:int>>"))
-    for m in lengths:
-        df = _with_minima(df, m)
-        fresh = F.filter(places(F.size("minima")), lambda i: ~F.get("minima", i).eqNullSafe(F.get("minima", i - 1)))
-        df = df.withColumn("fresh", fresh)
-        one = F.transform("fresh", lambda i, at: F.struct(
-            F.lit(m).alias("m"), F.get("minima", i).alias("print"), i.alias("first"), (F.coalesce(F.get("fresh", at + 1), F.size("minima")) - 1).alias("last")))
-        df = df.withColumn("runs", F.concat("runs", one)).drop("minima", "fresh")
-    return df
+def _runs(words: Column, lengths: list[int]) -> Column:
+    """Stretches of neighbouring windows with one least hash, for windows of each length."""
+
+    def of_length(m: int) -> Column:
+        def stretches(minima: Column) -> Column:
+            fresh = F.filter(places(F.size(minima)), lambda i: ~F.get(minima, i).eqNullSafe(F.get(minima, i - 1)))
+            return bind(fresh, lambda starts: F.transform(starts, lambda i, at: F.struct(
+                F.lit(m).alias("m"), F.get(minima, i).alias("print"), i.alias("first"), (F.coalesce(F.get(starts, at + 1), F.size(minima)) - 1).alias("last"))))
+
+        return bind(_minima(words, m), stretches)
+
+    return F.concat(*(of_length(m) for m in lengths))
 
 
 def shared_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -90,18 +92,18 @@ def shared_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
     holders = pieces.join(numbered, ["m", "window"]).select("number", "item").distinct()
 
     plain = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    cut = _runs(plain.select("doc_id", "key", words(F.col("text")).alias("words")), lengths)
+    cut = plain.select("doc_id", "key", bind(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _runs(w, lengths).alias("runs"))).alias("found"))
     # one more row keeps the document itself; its key spreads those rows over the tasks of a shuffled join
     itself = F.array(F.struct(F.lit(0).alias("m"), F.xxhash64("doc_id", "key").alias("print"), F.lit(-1).alias("first"), F.lit(-1).alias("last")))
-    rows = cut.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(itself, "runs")).alias("run"))
+    rows = cut.select("doc_id", "key", F.col("found.n").alias("n_words"), F.explode(F.concat(itself, "found.runs")).alias("run"))
     rows = rows.select("doc_id", "key", "n_words", "run.*")
     prints = numbered.select("m", "print").distinct().withColumn("known", F.lit(True))
     met = write_out(rows.join(prints, ["m", "print"], "left").where("known OR m = 0").drop("print", "known"), "runs-met")
 
     there = met.where("m > 0").groupBy("doc_id", "key").agg(F.collect_set(F.struct("m", "first", "last")).alias("runs"))
-    known = plain.alias("d").join(there.alias("t"), F.expr("d.doc_id <=> t.doc_id AND d.key = t.key")).select("d.doc_id", "d.key", "t.runs", words(F.col("d.text")).alias("words"))
-    spelled = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(
-        r["m"].alias("m"), i.alias("first"), F.array_join(F.slice("words", i + 1, r["m"]), " ").alias("window")))))
+    known = plain.alias("d").join(there.alias("t"), F.expr("d.doc_id <=> t.doc_id AND d.key = t.key")).select("d.doc_id", "d.key", "t.runs", "d.text")
+    spelled = bind(words(F.col("text")), lambda w: F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(
+        r["m"].alias("m"), i.alias("first"), F.array_join(F.slice(w, i + 1, r["m"]), " ").alias("window"))))))
     windows = known.select("doc_id", "key", F.explode(spelled).alias("w")).select("doc_id", "key", "w.*")
     hits = write_out(windows.join(numbered.select("m", "window", "number"), ["m", "window"]).drop("window"), "hits")
 

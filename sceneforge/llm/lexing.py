@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -25,3 +26,12 @@ def all_matches(text: Column, pattern: str) -> Column:
 def places(count: Column) -> Column:
     """0, 1, ... below ``count``; empty when that is not positive."""
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where ``body`` uses it for every element of an array.
+
+    A column of an earlier step would not do: Spark puts a step into the next one where it is used once only,
+    and then works it out again for each element.
+    """
+    return F.transform(F.array(value), body)[0]

@@ -67,7 +67,7 @@ def _counts(points: np.ndarray) -> np.ndarray:
     """How often each word has each letter: a-z, then the 64 letters beyond ASCII."""
     letter = np.where(points >= 0xC0, points - 0xC0 + 26, points - ord("a")).astype(np.int64)
     place = (np.arange(len(points))[:, None] * _LETTERS + letter)[points > 0]
-    return np.bincount(place, minlength=len(points) * _LETTERS).reshape(-1, _LETTERS).astype(np.int16)
+    return np.bincount(place, minlength=len(points) * _LETTERS).reshape(-1, _LETTERS).astype(np.int32)
 
 
 @dataclass
@@ -77,7 +77,7 @@ class Node:
     letter: int = -1
     cut: int = 0
     low: int = 0
-    high: int = 1 << 14
+    high: int = 1 << 30
     left: Node | None = None
     right: Node | None = None
     leaf: int = -1
@@ -100,7 +100,7 @@ def grow(counts: np.ndarray, size: float, number: Callable[[], int]) -> Node:
         left_high[letter], right_low[letter] = cut, cut + 1
         return Node(letter, cut, int(low[letter]), int(high[letter]), split(index[less], low, left_high), split(index[~less], right_low, high))
 
-    return split(np.arange(len(counts)), np.zeros(_LETTERS, np.int64), np.full(_LETTERS, 1 << 14))
+    return split(np.arange(len(counts)), np.zeros(_LETTERS, np.int64), np.full(_LETTERS, 1 << 30))
 
 
 def leaves_reached(node: Node, counts: np.ndarray, less: int, more: int) -> Iterator[tuple[Node, np.ndarray]]:
