@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, NaiveBayes, RandomForestClassifier
 
+from sceneforge.operators.boosting import RegularizedBoosting
 from sceneforge.operators.scoring import CANDIDATES
 
 # The settings of the algorithms.
 SEED = 42
 MAX_BINS = 128
 FOREST = {"numTrees": 20, "maxDepth": 8}
-BOOSTED = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+BOOSTED = {"rounds": 100, "depth": 6, "rate": 0.1, "l1": 0.5, "l2": 1.0, "rows": 0.8, "columns": 0.8}
 
 
 def algorithms_for(classes: int) -> list[str]:
@@ -22,9 +24,9 @@ def algorithms_for(classes: int) -> list[str]:
 
 
 def classifier(algo: str, classes: int = 2, rounds: int | None = None) -> Estimator:
-    """Untrained classifier.  ``xgboost`` is the slow-learning boosted variant of Spark's own trees.
+    """Untrained classifier.  ``xgboost`` is the regularised boosting of this library.
 
-    ``rounds`` overrides the number of boosting rounds.  Boosting trees keeps a
+    ``rounds`` overrides the number of boosting rounds.  Plain boosting keeps a
     node id per row and cuts its lineage every ten rounds.
     """
     columns = {"featuresCol": "features", "labelCol": "label"}
@@ -36,22 +38,18 @@ def classifier(algo: str, classes: int = 2, rounds: int | None = None) -> Estima
     if algo == "gbdt":
         return GBTClassifier(**columns, **steady, **({"maxIter": rounds} if rounds else {}))
     if algo == "xgboost":
-        settings = {**BOOSTED, **({"maxIter": rounds} if rounds else {})}
-        boosted = GBTClassifier(**columns, **steady, **settings)
-        return boosted if classes <= 2 else OneVsRest(classifier=boosted, **columns)
+        settings = {**BOOSTED, "bins": MAX_BINS, "seed": SEED, **({"rounds": rounds} if rounds else {})}
+        return RegularizedBoosting(**columns, classes=classes, settings=json.dumps(settings))
     raise ValueError(f"unsupported model: {algo}")
 
 
 def with_output_names(model: Model, algo: str) -> Model:
     """A copy of a fitted classifier whose output columns carry the algorithm's name.
 
-    Several classifiers can then score the same table in one pass.  One-vs-rest
-    keeps its raw column, which its inner models share.
+    Several classifiers can then score the same table in one pass.
     """
     named = model.copy()
     named.setPredictionCol(f"{algo}:prediction")
-    if isinstance(named, OneVsRestModel):
-        return named
     if named.hasParam("rawPredictionCol"):
         named.set(named.getParam("rawPredictionCol"), f"{algo}:raw")
     if named.hasParam("probabilityCol"):
