@@ -106,6 +106,45 @@ def describe_values(frequencies: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame
     return distinct_counts(kept).join(shown, "ordinal")
 
 
+# Columns whose ends one aggregation finds.
+COLUMNS_PER_PASS = 24
+
+
+def few_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column whether it has one, two or more values, without a shuffled row per value.
+
+    ``distinct_values`` is exact up to 2, and 3 stands for three and more; ``values`` are the one or two as text.
+    Values are told apart as ``value_frequencies`` does it. The first scan reduces each column to its smallest
+    and largest value, the second looks for any value between; both give a row per task.
+    """
+    names = list(df.columns if columns is None else columns)
+    kinds = {c: _kind(df.schema[c]) for c in names}
+    shown = {}
+    for c, kind in kinds.items():
+        as_kind = f"CAST({quoted(c)} AS {kind})"
+        shown[c] = {"string": f"coalesce(trim({as_kind}), '')", "double": f"{as_kind} + 0D"}.get(kind, as_kind)
+    ends: dict[str, tuple[str | None, str | None, int]] = {}
+    for at in range(0, len(names), COLUMNS_PER_PASS):
+        some = names[at : at + COLUMNS_PER_PASS]
+        found = [f"CAST({fn}({shown[c]}) AS STRING) AS {quoted(f'{fn}:{c}')}" for c in some for fn in ("min", "max")]
+        row = df.selectExpr(*found, *[f"count_if({shown[c]} IS NULL) AS {quoted('n:' + c)}" for c in some]).first()
+        ends.update({c: (row[f"min:{c}"], row[f"max:{c}"], row[f"n:{c}"]) for c in some})
+    apart = [c for c in names if ends[c][0] != ends[c][1]]
+    more: set[str] = set()
+    for at in range(0, len(apart), COLUMNS_PER_PASS):
+        some = apart[at : at + COLUMNS_PER_PASS]
+        end = lambda c, k: f"CAST({text(ends[c][k])} AS {kinds[c]})"
+        row = df.selectExpr(*[f"bool_or({shown[c]} > {end(c, 0)} AND {shown[c]} < {end(c, 1)}) AS {quoted(c)}" for c in some]).first()
+        more.update(c for c in some if row[c])
+    rows = []
+    for i, c in enumerate(names):
+        low, high, gaps = ends[c]
+        values = sorted({*([""] if gaps else []), *(v for v in (low, high) if v is not None)})
+        few = c not in more and len(values) <= 2
+        rows.append((c, i, len(values) if few else 3, values if few else None))
+    return df.sparkSession.createDataFrame(rows, "column_name string, ordinal int, distinct_values long, `values` array<string>")
+
+
 def word_rank(name: Column) -> Column:
     """Position of the first target word the lower-cased name contains; null without one."""
     low = F.lower(name)

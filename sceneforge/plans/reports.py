@@ -60,10 +60,18 @@ def suggest_target(df: DataFrame, names: Sequence[str] | None = None, samples: i
     )
 
 
+def find_target(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """The guess of ``suggest_target`` from two scans that shuffle no values: no counts beyond "three and more"."""
+    return frequencies.guess_target(frequencies.few_values(df, names))
+
+
 def scene_draft(df: DataFrame, scene_id: str) -> Scene:
-    """A scene for a table nobody configured yet: guessed target and default class names."""
-    counted = write_out(frequencies.value_frequencies(df), "frequencies")
-    guess = frequencies.guess_target(frequencies.distinct_counts(counted)).filter("is_guess").first()
+    """A scene for a table nobody configured yet: guessed target and default class names.
+
+    Only the values of the guessed column are counted.
+    """
+    guess = find_target(df).filter("is_guess").first()
+    counted = frequencies.value_frequencies(df, [guess.column_name])
     few = frequencies.target_values(counted, guess.column_name).collect()
     return Scene(
         scene_id=scene_id,

@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
@@ -135,23 +136,37 @@ class Scorer:
         """
         return feat.transform_with(self.featurize(df, models[0].stages, first), *[m.model for m in models])
 
-    def final_rows(self, df: DataFrame, model: Loaded, first: int | None = None) -> DataFrame:
-        """Scored rows of one model: the input's columns, prediction, its name, confidence and label."""
-        scored = self.score(df, [model], first)
-        prediction = model.prediction(self.binary)
+    def decided(self, df: DataFrame, models: Sequence[Loaded], first: int | None = None) -> DataFrame:
+        """The prepared table with each model's final prediction, its own choice and the confidence, in one pass."""
+        scored = self.score(df, models, first)
+        made = {}
+        for m in models:
+            made[f"{m.algo}:final"] = m.prediction(self.binary)
+            made[f"{m.algo}:prediction"] = F.col(f"{m.algo}:prediction")
+            made[f"{m.algo}:confidence"] = m.confidence(self.binary)
+        label = ["label"] if "label" in scored.columns else []
+        return scored.select(ROW_KEY, INPUT, *label, *[c.alias(name) for name, c in made.items()])
+
+    def rows_of(self, decided: DataFrame, model: Loaded) -> DataFrame:
+        """Rows of one model: the input's columns, prediction, its name, confidence and label."""
+        prediction = F.col(f"{model.algo}:final")
         made = {
             "row_key": F.col(ROW_KEY),
             "prediction": prediction,
             "prediction_orig": F.col(f"{model.algo}:prediction"),
             "predicted": class_name(prediction, self.names),
-            "confidence": model.confidence(self.binary),
+            "confidence": F.col(f"{model.algo}:confidence"),
         }
-        if "label" in scored.columns:
+        if "label" in decided.columns:
             made["label"] = F.col("label")
-        carried = [f for f in scored.schema[INPUT].dataType.fieldNames() if f not in made]
-        told = scored.select(INPUT, *[c.alias(name) for name, c in made.items()])
+        carried = [f for f in decided.schema[INPUT].dataType.fieldNames() if f not in made]
+        told = decided.select(INPUT, *[c.alias(name) for name, c in made.items()])
         return told.selectExpr(*[f"{INPUT}.{quoted(f)} AS {quoted(f)}" for f in carried], *made)
 
+    def final_rows(self, df: DataFrame, model: Loaded, first: int | None = None) -> DataFrame:
+        """Scored rows of one model, straight from the table (batch or stream)."""
+        return self.rows_of(self.decided(df, [model], first), model)
+
 
 @dataclass(frozen=True)
 class Scored:
@@ -184,7 +199,7 @@ class Scored:
         return metrics.class_report(self.labeled)
 
     def preview(self, rows: int = scoring.PREVIEW_ROWS) -> DataFrame:
-        """The first rows by key; they are picked before scoring, so only they are scored."""
+        """The first rows by key, from the stored scores."""
         return scoring.preview(self.first_rows(rows), ["row_key"], self.names, rows)
 
     def result(self) -> dict:
@@ -217,64 +232,63 @@ class Scored:
         }
 
 
-def _counted(df: DataFrame, scorer: Scorer, models: list, labeled: bool) -> tuple[DataFrame, list]:
-    """Predictions counted for all models in one pass, and the models that could be counted.
+def _decided(df: DataFrame, scorer: Scorer, models: list) -> list[tuple[DataFrame, list]]:
+    """Scored rows of all models, written once, each table with its models.
 
-    If the pass fails, every model has one of its own, and those that fail alone are
-    left out with their reason in ``scorer.failures``; without any left the failure stands.
+    If the joint pass fails, every model has one of its own, and those that fail alone are left out; the
+    reasons are kept in ``scorer.failures``, that of the joint pass under ``joint``. Without any left the failure stands.
     """
-
-    def count(some: list) -> DataFrame:
-        wide = scorer.score(df, some)
-        if not labeled:
-            wide = wide.withColumn("label", F.lit(None).cast("double"))
-        decided = {m.algo: m.prediction(scorer.binary) for m in some}
-        return write_out(scoring.candidate_counts(wide, decided, classes=len(scorer.classes), unlabeled=True), "counts")
-
     try:
-        return count(models), models
-    except Exception:
+        return [(write_out(scorer.decided(df, models), "scored"), models)]
+    except Exception as failure:
         if len(models) == 1:
             raise
-    found, able = None, []
+        scorer.failures["joint"] = str(failure).splitlines()[0]
+        last = failure
+    found = []
     for model in models:
         try:
-            own = count([model])
+            found.append((write_out(scorer.decided(df, [model]), "scored"), [model]))
         except Exception as failure:
             scorer.failures[model.algo] = str(failure).splitlines()[0]
             last = failure
-            continue
-        found, able = own if found is None else found.unionByName(own), [*able, model]
-    if found is None:
+    if not found:
         raise last
-    return found, able
+    return found
 
 
 def score_table(df: DataFrame, scorer: Scorer, model: str = "auto") -> Scored:
     """Score with the named model, or with the candidate of the highest F1 on this table.
 
-    All candidates score the table in one pass and are compared by one
-    aggregate.  Without labels there is nothing to compare, so only the
-    default candidate runs.
+    All candidates score the table in one pass, which is written to the shared folder; the counts that compare
+    them, the rows and the preview are read from there, so the input is scanned and scored once. Without
+    labels there is nothing to compare, so only the default candidate runs.
     """
     labeled = RAW_TARGET in prepare(df, scorer.scene, scorer.key)[0].columns
     models = scorer.candidates(scoring.CANDIDATES if model == "auto" else [model])
     if model == "auto" and not labeled:
         models = [next((m for m in models if m.algo == scoring.DEFAULT_CANDIDATE), models[0])]
-    counts, models = _counted(df, scorer, models, labeled)
+    tables, parts = _decided(df, scorer, models), []
+    for table, able in tables:
+        wide = table if labeled else table.withColumn("label", F.lit(None).cast("double"))
+        finals = {m.algo: F.col(f"{m.algo}:final") for m in able}
+        parts.append(scoring.candidate_counts(wide, finals, classes=len(scorer.classes), unlabeled=True))
+    counts = write_out(reduce(DataFrame.unionByName, parts), "counts")
+    stored = {m.algo: (table, m) for table, able in tables for m in able}
     best = scoring.choose_best(
         metrics.accuracy_f1(counts.filter(F.col("label").isNotNull()), by=["algo"])
     ).first()
-    chosen = next((m for m in models if best is not None and m.algo == best.algo), models[0])
+    table, chosen = stored[best.algo] if best is not None and best.algo in stored else next(iter(stored.values()))
+    rows = scorer.rows_of(table, chosen)
     return Scored(
         model=chosen.algo,
-        rows=scorer.final_rows(df, chosen),
+        rows=rows,
         counts=counts.filter(F.col("algo") == chosen.algo).drop("algo"),
         accuracy=None if best is None or best.accuracy is None else float(best.accuracy),
         f1=None if best is None or best.f1 is None else float(best.f1),
         names=scorer.names,
         importances=[(f["name"], f["value"]) for f in chosen.entry.features or []],
-        first_rows=lambda n: scorer.final_rows(df, chosen, n),
+        first_rows=lambda n: rows.orderBy("row_key").limit(n),
     )
 
 

@@ -92,9 +92,9 @@ def boosted_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three classes, all algorithms that can learn them."""
+    """Three classes, a forest and naive Bayes; ``boosted_bands`` has the boosted trees on three classes."""
     orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-    return _train_and_score(spark, orders, ORDER_STATUS, ["o_orderkey", "o_custkey"], ["random_forest", "xgboost", "naive_bayes"], "auto")
+    return _train_and_score(spark, orders, ORDER_STATUS, ["o_orderkey", "o_custkey"], ["random_forest", "naive_bayes"], "auto")
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneforge.operators import balance, columns, features, frequencies, profile, ranking
+from sceneforge.plans.reports import find_target
 from sceneforge.scenes import (
     Scene, SCENE_SCHEMA, add_flag, attach_scene, chain, delete_scenes, keep_values, load_scenes, scene_table,
     upsert_scenes,
@@ -389,6 +390,29 @@ def target_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies.guess_target(frequencies.distinct_counts(counted))
 
 
+_SQL_LINE_FEW = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS ordinal, count(DISTINCT coalesce(trim({c}::VARCHAR), '')) AS n, min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM lines"
+    for i, c in enumerate([*_LINE_COLUMNS, "ship_class", "quality_flag"])
+)
+
+
+@query(f"""
+WITH lines AS (SELECT *, l_discount > 0.05e0 AS ship_class, CASE WHEN l_linenumber > 3 THEN l_tax >= 0 END AS quality_flag FROM lineitem),
+d AS ({_SQL_LINE_FEW}),
+c AS (SELECT *, n <= 2 AS is_candidate, CASE WHEN n <= 2 AND column_name = 'ship_class' THEN 0 WHEN n <= 2 AND column_name = 'quality_flag' THEN 5 END AS word_rank FROM d),
+g AS (SELECT coalesce((SELECT ordinal FROM c WHERE word_rank IS NOT NULL ORDER BY word_rank, ordinal LIMIT 1), (SELECT max(ordinal) FROM c)) AS guess)
+SELECT column_name, ordinal::INTEGER AS ordinal, least(n, 3) AS distinct_values, is_candidate, word_rank::INTEGER AS word_rank, ordinal = guess AS is_guess,
+       CASE WHEN is_candidate THEN CASE WHEN low = high THEN CASE WHEN n = 2 THEN '~' ELSE '' END || low ELSE low || '~' || high END END AS "values"
+FROM c, g
+""")
+def target_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of at most two values from two scans without a shuffled row per value, and the guess."""
+    lines = table(spark, sf_dir, "lineitem").withColumns(
+        {"ship_class": F.col("l_discount") > 0.05, "quality_flag": F.when(F.col("l_linenumber") > 3, F.col("l_tax") >= 0)}
+    )
+    return find_target(lines).withColumn("values", F.array_join("values", "~"))
+
+
 # --- classes, splits, balance --------------------------------------------------------------
 
 

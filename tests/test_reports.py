@@ -80,6 +80,28 @@ def test_sample_values_by_count_then_value(spark):
     assert suggest_target(df).first().sample_values == ["a", "b", "c", "d", "e"]
 
 
+def test_few_values_agree_with_full_counts(spark):
+    rows = [
+        (1, 0.0, True, " a ", None, "x", None, 1.5), (1, -0.0, None, "a", None, "", None, float("nan")), (2, 0.0, False, "b", None, None, "q", 1.5),
+        (3, 0.0, True, "a", None, "x", "q", float("nan")), (3, -0.0, True, "b ", None, " x", None, 1.5),
+    ]
+    df = spark.createDataFrame(rows, "three int, zero double, gap boolean, two string, none date, `text gap` string, one_gap string, n_an double")
+    df = df.withColumn("day", F.expr("date_add(DATE'2020-01-01', three % 2)")).withColumn("at", F.expr("CAST(day AS TIMESTAMP)"))
+    full = frequencies.value_frequencies(df).collect()
+    for r in frequencies.few_values(df).collect():
+        values = sorted(f.value for f in full if f.column_name == r.column_name)
+        assert r.distinct_values == min(len(values), 3), r
+        assert r["values"] == (values if len(values) <= 2 else None)
+    empty = frequencies.few_values(df.limit(0)).collect()
+    assert all(r.distinct_values == (1 if r.column_name in ("two", "text gap", "one_gap") else 0) or r["values"] == [] for r in empty)
+
+
+def test_few_values_shuffle_one_row_per_task(spark):
+    seen = spark.range(0, 50_000, 1, 4).withColumn("t", F.col("id").cast("string"))
+    got = {r.column_name: r.distinct_values for r in frequencies.few_values(seen).collect()}
+    assert got == {"id": 3, "t": 3}
+
+
 def test_scene_draft(spark):
     df = spark.createDataFrame([(1, "x"), (0, "y"), (1, "z")], "churned int, s string")
     scene = scene_draft(df, "new")

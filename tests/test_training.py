@@ -217,3 +217,16 @@ def test_folder_of_scenes(spark):
     _table(spark, 200).write.option("header", True).csv(f"{folder}/stranger.csv")
     assert train_folder(spark, folder, root, {"bought": SCENE}, algos=["naive_bayes"], key=["row_id"]) == ["bought"]
     assert Scorer(spark, SCENE, root, ["row_id"]).version == 1
+
+
+def test_scoring_scans_and_scores_the_input_once(spark):
+    root = scratch_path(spark, "once")
+    df = _table(spark, 300)
+    train_scene(df, SCENE, root, key=["row_id"], algos=["naive_bayes", "random_forest"])
+    path = scratch_path(spark, "once-input")
+    df.write.parquet(path)
+    scored = score_table(spark.read.parquet(path), Scorer(spark, SCENE, root, ["row_id"]))
+    for result in (scored.rows, scored.counts, scored.preview(), scored.confusion(), scored.distribution()):
+        assert path not in result._jdf.queryExecution().executedPlan().toString()
+        assert "scored-" in str(result.inputFiles()) or "counts-" in str(result.inputFiles())
+    assert scored.rows.count() == 300 and scored.preview().count() == 100

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as contract
@@ -76,3 +80,15 @@ def test_sweep_and_choice_scan_the_table_once(spark, sf_dir):
 def test_oversampling_does_not_shuffle(spark, sf_dir):
     plan = QUERIES["oversample_hash"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_entry_survives_a_missing_library():
+    code = (
+        "import sys, warnings; sys.modules['ahocorasick'] = None; sys.modules['tokenizers'] = None\n"
+        "sys.modules['sceneforge.llm'] = None\nimport __spark_entry__ as e; assert 'confusion_dense' in e.queries() and 'pipeline' not in e.queries()"
+    )
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+    code = "import sys; sys.modules['numpy.testing'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-W", "always", "-c", code], check=True, cwd=root, timeout=120, capture_output=True, text=True)
+    assert int(done.stdout) > 60
