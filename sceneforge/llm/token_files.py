@@ -107,7 +107,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}  # words that begin a text
         (self.mark,) = self._ids(_MARK)
@@ -134,8 +135,8 @@ class _Encoder:
                 self.known[word] = data[4 * first + 4:4 * last]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        # runs of white space are the tokenizer's to cut
-        cut = [None if _UNEVEN.search(t) else t.split(" ") for t in texts]
+        # runs of white space are the tokenizer's to cut, and so are texts that spell one of its added tokens
+        cut = [None if _UNEVEN.search(t) or self.added.search(t) else t.split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         if len(self.heads) > CACHE // 10:

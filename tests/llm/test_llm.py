@@ -110,7 +110,6 @@ def test_token_files_round_trip(odd, empty, spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     folder, files = token_files.write_tokens(odd, path)
     rows = token_files.read_tokens(folder, files).collect()
     rows.sort(key=lambda r: r.start)
@@ -124,6 +123,18 @@ def test_token_files_round_trip(odd, empty, spark):
     assert token_files.read_tokens(*token_files.write_tokens(empty, path)).count() == 0
 
 
+def test_added_tokens_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"x {a} y{a}{a}z  w {a[:-1]} {a[1:]}" for a in added] + ["x <|endoftext|>", "<|endoftext|>", "plain words only"]
+    expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(token_files._Encoder(path).encode(texts)) == expected
+
+
 def test_token_file_reads_one_frame_and_notices_damage():
     class Source(io.BytesIO):
         def size(self):
