@@ -3,72 +3,82 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sceneforge.functions import is_numeric, quoted, text
 
-# Columns measured by one aggregation.  Spark compiles an aggregation into one
-# loop up to a hundred buffers, eight per numeric column here; beyond that it runs
-# several times slower.  A wider table is measured in parts of one job, each
-# reading its own columns only.
-COLUMNS_PER_PASS = 12
+# Columns side by side in one row of cells.  Spark compiles an aggregation into one
+# loop up to a hundred buffers, eight per column here; beyond that it runs several
+# times slower.  The cells of a wider table are folded into several rows, numbered
+# by part, inside the task that reads them: one scan and one aggregation in all.
+CELLS_PER_ROW = 12
 
 # Percentage of missing values above which a column is warned of, and the warning.
 MISSING_THRESHOLD = 50.0
 WARNING = 'Column "%s" has %.1f%% missing values (threshold: %.0f%%)'
 
+_STATS = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
+
 
 # The expressions are SQL text, which Spark takes in one call for all columns; a
 # table of several hundred columns would otherwise spend its time on calls.
 
 
-def _measures(field: T.StructField) -> list[str]:
-    name, value = field.name, quoted(field.name)
+def _cell(field: T.StructField) -> str:
+    """The value as a number, 0 for what is no number, null for what is missing."""
+    value = quoted(field.name)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         # NaN would win every max and poison every mean; it counts as missing.
         value = f"nanvl({value}, NULL)"
-    counted = f"count({value}) AS {quoted('n:' + name)}"
-    if not is_numeric(field):
-        return [counted]
-    number = f"CAST({value} AS DOUBLE)"
-    stats = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
-    return [counted, *[f"{fn}({number}) AS {quoted(f'{kind}:{name}')}" for kind, fn in stats.items()]]
-
-
-def _entry(ordinal: int, field: T.StructField, digits: int) -> str:
-    name = field.name
-    nulls = f"total_rows - {quoted('n:' + name)}"
-
-    def stat(kind: str) -> str:
-        found = f"round({quoted(f'{kind}:{name}')}, {digits})" if is_numeric(field) else "CAST(NULL AS DOUBLE)"
-        return f"'{kind}', {found}"
-
-    return (
-        f"named_struct('name', {text(name)}, 'ordinal', {ordinal}, 'type', {text(field.dataType.simpleString())}, "
-        f"'total_rows', total_rows, 'null_count', {nulls}, "
-        f"'null_pct', round(try_divide(({nulls}) * 100D, total_rows), 1), "
-        + ", ".join(map(stat, ("min", "max", "mean", "std")))
-        + ")"
-    )
+    return f"CAST({value} AS DOUBLE)" if is_numeric(field) else f"IF({value} IS NULL, NULL, 0D)"
 
 
-def _profile_part(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], digits: int) -> DataFrame:
-    measures = [m for _, f in fields for m in _measures(f)]
-    one_row = df.selectExpr("count(1) AS total_rows", *measures)
-    entries = ", ".join(_entry(i, f, digits) for i, f in fields)
-    return one_row.selectExpr(f"inline(array({entries}))")
+def _cells(df: DataFrame, fields: Sequence[T.StructField], width: int) -> DataFrame:
+    """(part, v0, v1, ...): ``width`` cells a row, the rows of a part holding the same columns."""
+    parts = [list(map(_cell, fields[i : i + width])) for i in range(0, len(fields), width)]
+    parts[-1] += ["CAST(NULL AS DOUBLE)"] * (width - len(parts[-1]))
+    rows = [[f"{i} AS part", *[f"{c} AS v{k}" for k, c in enumerate(cells)]] for i, cells in enumerate(parts)]
+    if len(rows) == 1:
+        return df.selectExpr(*rows[0])
+    return df.selectExpr(f"inline(array({', '.join('struct(' + ', '.join(row) + ')' for row in rows)}))")
 
 
 def profile_columns(
-    df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2, per_pass: int = COLUMNS_PER_PASS
+    df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2, cells_per_row: int = CELLS_PER_ROW
 ) -> DataFrame:
-    """One row per column: nulls (NaN included), their share, and min/max/mean/std of numbers."""
-    wanted = df.columns if columns is None else list(columns)
+    """One row per column: nulls (NaN included), their share, and min/max/mean/std of numbers.
+
+    The table is read once, however wide it is; what is shuffled is a row per task
+    and ``cells_per_row`` columns.
+    """
+    wanted = set(df.columns if columns is None else columns)
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name in wanted]
-    parts = [fields[i : i + per_pass] for i in range(0, len(fields), per_pass)]
-    return reduce(DataFrame.unionByName, [_profile_part(df, part, digits) for part in parts])
+    if not fields:
+        raise ValueError("no column to profile")
+    width = min(cells_per_row, len(fields))
+    cells = _cells(df, [f for _, f in fields], width)
+    stats = [f"{fn}(v{k}) AS {kind}{k}" for k in range(width) for kind, fn in {"n": "count", **_STATS}.items()]
+    known = [
+        f"'name', {text(f.name)}, 'ordinal', {i}, 'type', {text(f.dataType.simpleString())}, 'is_number', {is_numeric(f)}"
+        for i, f in fields
+    ]
+    measured = [f"'n', n{k}, " + ", ".join(f"'{kind}', {kind}{k}" for kind in _STATS) for k in range(width)]
+    if len(fields) == width:
+        entries = ", ".join(f"named_struct({f}, {m})" for f, m in zip(known, measured))
+        told = cells.selectExpr("count(1) AS counted", *stats).selectExpr("counted", f"inline(array({entries}))")
+    else:  # the columns are known apart from their cells, as an empty table has none
+        grouped = cells.groupBy("part").agg(F.expr("count(1) AS counted"), *map(F.expr, stats))
+        entries = ", ".join(f"named_struct('slot', part * {width} + {k}, {m})" for k, m in enumerate(measured))
+        grouped = grouped.selectExpr("counted", f"inline(array({entries}))")
+        entries = ", ".join(f"named_struct('slot', {slot}, {f})" for slot, f in enumerate(known))
+        told = df.sparkSession.range(1).selectExpr(f"inline(array({entries}))")
+        told = told.join(F.broadcast(grouped), "slot", "left")  # a row per column of the table on either side
+    return told.selectExpr(
+        "name", "ordinal", "type", "coalesce(counted, 0L) AS total_rows",
+        "coalesce(counted - n, 0L) AS null_count", "round(try_divide((counted - n) * 100D, counted), 1) AS null_pct",
+        *[f"IF(is_number, round(`{kind}`, {digits}), NULL) AS `{kind}`" for kind in _STATS],
+    )
 
 
 def add_warnings(profile: DataFrame, threshold: float = MISSING_THRESHOLD) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneforge.operators import columns, frequencies, profile
 from sceneforge.scenes import Scene
-from sceneforge.session import write_out
 from sceneforge.sources.tables import read_table
 
 
@@ -37,15 +36,8 @@ def profile_table(df: DataFrame, scene: Scene | None = None, table: str = "input
 
 
 def profile_stored(spark: SparkSession, path: str, scene: Scene | None = None) -> QualityReport:
-    """The same for a stored table, named by its path.
-
-    A wide table is read in parts, and a CSV file has no parts to read alone, so
-    a wide CSV is written in columns first.
-    """
-    df = read_table(spark, path)
-    if len(df.columns) > profile.COLUMNS_PER_PASS and not path.rstrip("/").endswith(".parquet"):
-        df = write_out(columns.tidy_columns(df), "profiled")
-    return profile_table(df, scene, path)
+    """The same for a stored table, named by its path."""
+    return profile_table(read_table(spark, path), scene, path)
 
 
 def suggest_target(df: DataFrame, names: Sequence[str] | None = None, samples: int = 5) -> DataFrame:

@@ -27,17 +27,40 @@ def test_profile_of_decimal_and_all_null(spark):
     assert rows["n"].null_pct == 100.0 and rows["n"].mean is None and rows["m"].std is None
 
 
-def test_profile_in_several_passes_is_the_same(spark):
-    df = spark.range(10).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(7)])
+def test_profile_in_rows_of_any_width_is_the_same(spark):
+    df = spark.range(10).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(6)], F.when(F.col("id") > 7, "x").alias("s"))
     one = profile.profile_columns(df).collect()
-    many = profile.profile_columns(df, per_pass=3).collect()
-    assert sorted(one) == sorted(many) and len(many) == 7
+    for width in (1, 3, 7, 9):
+        assert sorted(profile.profile_columns(df, cells_per_row=width).collect(), key=lambda r: r.ordinal) == sorted(one, key=lambda r: r.ordinal)
+    assert [r.null_count for r in one if r.name == "s"] == [8] and len(one) == 7
+    some = profile.profile_columns(df, ["s", "c3"], cells_per_row=1).collect()
+    assert sorted((r.name, r.ordinal, r.max) for r in some) == [("c3", 3, 27.0), ("s", 6, None)]
+
+
+def test_profile_of_a_wide_table_scans_once(spark, tmp_path):
+    base = spark.range(200).withColumn("x", F.col("id") / 7)
+    base.write.parquet(str(tmp_path / "base"))
+    named = [f"IF(id % {i + 2} = 0, NULL, x * {i}) AS `c.{i}`" for i in range(590)]
+    wide = spark.read.parquet(str(tmp_path / "base")).selectExpr(*named)
+    found = profile.profile_columns(wide)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Python" not in plan
+    rows = {r.name: r for r in found.collect()}
+    assert len(rows) == 590 and [rows[f"c.{i}"].ordinal for i in range(590)] == list(range(590))
+    for i in (0, 1, 11, 12, 300, 589):
+        kept = [k / 7 * i for k in range(200) if k % (i + 2)]
+        mean = sum(kept) / len(kept)
+        std = (sum((v - mean) ** 2 for v in kept) / (len(kept) - 1)) ** 0.5
+        row = rows[f"c.{i}"]
+        assert (row.total_rows, row.null_count) == (200, 200 - len(kept))
+        assert (row.min, row.max, row.mean, row.std) == pytest.approx((min(kept), max(kept), mean, std), abs=0.0051)
 
 
 def test_profile_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a int, b string")
     rows = profile.profile_columns(df).collect()
     assert [(r.total_rows, r.null_count, r.null_pct) for r in rows] == [(0, 0, None), (0, 0, None)]
+    assert sorted(profile.profile_columns(df, cells_per_row=1).collect()) == sorted(rows)
 
 
 def test_warning_above_half_only(spark):
