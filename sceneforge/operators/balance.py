@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sceneforge.functions import hash_percent, hash_unit, look_up
+from sceneforge.session import write_out
 
 # Classes whose rates travel inside the plan as literals.
 LITERAL_CLASSES = 1_000
@@ -78,7 +80,8 @@ def oversample(
     probability r - floor(r), drawn from the row key.  All classes are handled
     in one pass over the table, without a shuffle: the histogram is reduced
     first and the rates it gives enter the plan as literals.  A target with
-    very many classes gets its rates by a salted join.
+    very many classes gets its rates by a salted join.  Copies stay in the task of
+    their row: ``deal`` a table first whose rows lie together by class.
     """
     histogram = class_histogram(df, label).filter(F.col(label).isNotNull())
     few = {r[label]: r["cnt"] for r in histogram.limit(literal_classes + 1).collect()}
@@ -101,39 +104,65 @@ def oversample(
     return rated.withColumn("_copy", F.explode(copies)).drop("_rate", "_copy")
 
 
-def _salted_rates(df: DataFrame, rates: DataFrame, label: str, key: Sequence[str], salts: int = 64) -> DataFrame:
+def _by_class(df: DataFrame, classes: DataFrame, label: str, key: Sequence[str], salts: int = 64) -> DataFrame:
+    """The columns of ``classes`` beside the rows of each class, null for rows of none; a class of any size is met by ``salts`` tasks."""
     salted = df.withColumn("_salt", F.floor(hash_unit(*key) * salts).cast("int"))
-    copies = rates.select(
-        F.col(label).alias("_class"),
-        F.col("rate").alias("_class_rate"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_copy_of"),
-    )
+    copies = classes.withColumnRenamed(label, "_class").withColumn("_copy_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     matched = (F.col(label) == F.col("_class")) & (F.col("_salt") == F.col("_copy_of"))
-    return (
-        salted.join(copies, matched, "left")
-        .withColumn("_rate", F.coalesce("_class_rate", F.lit(1.0)))
-        .drop("_salt", "_class", "_class_rate", "_copy_of")
-    )
+    return salted.join(copies, matched, "left").drop("_salt", "_class", "_copy_of")
+
+
+def _salted_rates(df: DataFrame, rates: DataFrame, label: str, key: Sequence[str]) -> DataFrame:
+    joined = _by_class(df, rates.select(label, F.col("rate").alias("_rate")), label, key)
+    return joined.withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
+
+
+def poisson_steps(rate: str, most: float) -> Column:
+    """Probabilities of at most 0, 1, 2, ... draws at a rate up to ``most``; the last is 1 but for 1e-10."""
+    last = math.ceil(most + 7 * math.sqrt(most) + 10)
+    return F.expr(f"""aggregate(
+        sequence(1, {last}), named_struct('p', exp(-{rate}), 'steps', array(exp(-{rate}))),
+        (s, k) -> named_struct('p', s.p * {rate} / k, 'steps', concat(s.steps, array(element_at(s.steps, -1) + s.p * {rate} / k))),
+        s -> s.steps)""")
 
 
 def resample_randomly(
-    df: DataFrame, label: str = "label", cap: float = COPY_CAP, seed: int = 42
+    df: DataFrame,
+    key: Sequence[str],
+    label: str = "label",
+    cap: float = COPY_CAP,
+    limit: float = IMBALANCE_LIMIT,
+    seed: int = 42,
+    literal_classes: int = LITERAL_CLASSES,
 ) -> DataFrame:
-    """The same balance by independent draws with replacement, per class, united.
+    """The same balance by draws with replacement: a bootstrap of every class but the largest.
 
-    Kept for users who want true bootstrap draws; the result depends on the
-    partition layout, and there is one scan per class.
+    A row of a class of rate r is drawn a Poisson number of times with mean r, none
+    included: the inverse of the distribution at a number from the row key and
+    ``seed``. Every layout and retry draws the same rows, in one pass for classes of
+    any number. Rows without a label and of the largest classes are kept once.
     """
-    counts = {r[label]: r["cnt"] for r in class_histogram(df, label).limit(LITERAL_CLASSES + 1).collect()}
-    if len(counts) > LITERAL_CLASSES:
-        raise ValueError("too many classes for one scan per class; use oversample()")
-    if not counts or max(counts.values()) / min(counts.values()) <= IMBALANCE_LIMIT:
+    histogram = write_out(class_histogram(df, label).filter(F.col(label).isNotNull()), "classes")
+    told = histogram.agg(F.count("*").alias("n"), F.max("cnt").alias("largest"), F.min("cnt").alias("smallest")).first()
+    if not told.n or told.largest / told.smallest <= limit:
         return df
-    largest = max(counts.values())
-    majority = [c for c, n in counts.items() if n == largest]
-    united = df.filter(F.col(label).isin(majority))
-    for value, n in counts.items():
-        if n < largest:
-            drawn = df.filter(F.col(label) == F.lit(value)).sample(True, min(largest / n, cap), seed)
-            united = united.unionByName(drawn)
-    return united
+    rates = class_rates(histogram, told.largest, cap).filter(F.col("cnt") < told.largest)
+    steps = rates.select(label, poisson_steps("rate", cap).alias("_steps"))
+    if told.n <= literal_classes:
+        steps = steps.withColumnRenamed(label, "_class")
+        rated = df.join(F.broadcast(steps), F.col(label) == F.col("_class"), "left").drop("_class")
+    else:
+        rated = _by_class(df, steps, label, key)
+    unit = hash_unit(F.lit(str(seed)), *key)
+    # the number is the element of an array so that it is worked out once a row
+    drawn = F.transform(F.array(unit), lambda u: F.size(F.filter("_steps", lambda c: c <= u)))[0]
+    copies = F.when(F.col("_steps").isNull(), 1).otherwise(drawn)
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_steps", "_copy")
+
+
+def deal(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows dealt to tasks by their key, so that the rows of each class, and later their copies, are spread evenly.
+
+    Done before rows are repeated, every row moves once instead of every copy.
+    """
+    return df.repartition(*key)

@@ -80,6 +80,7 @@ def train_scene(
         ready = feat.transform_with(add_label(table, classes), stages).select(
             "features", "label", ROW_KEY, balance.split_name([ROW_KEY], SHARES).alias("part")
         )
+        ready = balance.deal(ready, [ROW_KEY])  # a class may lie in a few files only
         ready.persist(StorageLevel.MEMORY_AND_DISK)
         rows = ready.count()
         prepared.unpersist()

@@ -486,6 +486,22 @@ def oversample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.oversample(labels, ["doc_id"], "quality")
 
 
+@query("""
+WITH RECURSIVE h AS (SELECT quality, count(*) AS cnt FROM labels GROUP BY quality),
+r AS (SELECT quality, least((SELECT max(cnt) FROM h) / cnt, 10e0) AS rate FROM h WHERE cnt < (SELECT max(cnt) FROM h)),
+p AS (SELECT quality, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS upto FROM r
+      UNION ALL SELECT quality, rate, k + 1, p * rate / (k + 1), upto + p * rate / (k + 1) FROM p WHERE k < 60),
+u AS (SELECT doc_id, quality, ('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT / 4294967296e0 AS u FROM labels),
+drawn AS (SELECT doc_id, u.quality, count(upto) AS copies FROM u JOIN p ON p.quality = u.quality AND upto <= u GROUP BY ALL)
+SELECT doc_id, quality FROM drawn, range(1, 1000) AS n(i) WHERE i <= copies
+UNION ALL SELECT doc_id, quality FROM labels WHERE quality NOT IN (SELECT quality FROM r) OR quality IS NULL
+""")
+def resample_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bootstrap of every class but the largest, by Poisson draws from the row key."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return balance.resample_randomly(balance.deal(labels, ["doc_id"]), ["doc_id"], "quality")
+
+
 # --- indexing and scaling ------------------------------------------------------------------
 
 

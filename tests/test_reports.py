@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,7 +172,8 @@ def test_no_oversampling_up_to_ratio_two(spark):
     df = _classes(spark, a=20, b=10)
     assert balance.oversample(df, ["k"]).count() == 30
     assert balance.oversample(df.limit(0), ["k"]).count() == 0
-    assert balance.resample_randomly(df).count() == 30
+    assert balance.resample_randomly(df, ["k"]).count() == 30
+    assert balance.resample_randomly(df.limit(0), ["k"]).count() == 0
 
 
 def test_many_classes_get_the_same_copies_by_join(spark):
@@ -183,10 +188,54 @@ def test_rows_without_label_are_kept_once(spark):
     assert balance.oversample(df, ["k"]).filter("label IS NULL").count() == 1
 
 
+def _poisson(u, rate):
+    k, p = 0, math.exp(-rate)
+    upto = p
+    while upto <= u:
+        k += 1
+        p = p * rate / k
+        upto += p
+    return k
+
+
 def test_random_resampling(spark):
-    out = balance.resample_randomly(_classes(spark, a=2000, b=400))
-    got = {r.label: r.cnt for r in balance.class_histogram(out).collect()}
-    assert got["a"] == 2000 and 1700 <= got["b"] <= 2300
+    df = _classes(spark, a=2000, b=400, c=30).unionByName(spark.createDataFrame([("n", None)], "k string, label string"))
+    drawn = balance.resample_randomly(df, ["k"], seed=7).collect()
+    assert sorted(map(str, drawn)) == sorted(map(str, balance.resample_randomly(df.repartition(3), ["k"], seed=7, literal_classes=2).collect()))
+    assert sorted(map(str, drawn)) != sorted(map(str, balance.resample_randomly(df, ["k"], seed=8).collect()))
+    copies = Counter((r.k, r.label) for r in drawn)
+    for r in df.collect():
+        unit = int(hashlib.md5(f"7|{r.k}".encode()).hexdigest()[:8], 16) / 2**32
+        assert copies[(r.k, r.label)] == {"b": _poisson(unit, 5.0), "c": _poisson(unit, 10.0)}.get(r.label, 1), r
+    sizes = Counter(r.label for r in drawn)
+    assert (sizes["a"], sizes[None]) == (2000, 1) and 1800 <= sizes["b"] <= 2200
+    assert 0 < sum((f"b{i}", "b") not in copies for i in range(400)) < 20  # draws leave rows out, about one in 148
+
+
+def test_random_resampling_of_very_many_classes(spark):
+    rows = [(i * 10 + j, i) for i in range(1500) for j in range(1 + 3 * (i % 2))]
+    df = spark.createDataFrame(rows, "k long, label long")
+    drawn = balance.resample_randomly(df, ["k"])
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
+    sizes = Counter(r.label % 2 for r in drawn.collect())
+    assert sizes[1] == 3000 and 2700 <= sizes[0] <= 3300
+
+
+def test_dealt_rows_spread_copies_evenly(spark):
+    df = spark.range(0, 40000, 1, 8).select("id", (F.col("id") >= 36000).cast("int").alias("label"))  # sorted by class
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        def largest(of):
+            return of.groupBy(F.spark_partition_id()).count().agg(F.max("count") / F.avg("count")).first()[0]
+
+        for balanced in (balance.oversample, balance.resample_randomly):
+            assert largest(balanced(df, ["id"])) > 3
+            assert largest(balanced(balance.deal(df, ["id"]), ["id"])) < 1.2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
 
 
 def test_split_follows_the_key_not_the_layout(spark):
