@@ -2,7 +2,7 @@
 
 A rotation is learned on a bounded sample so that the signs of the rotated
 vectors make balanced binary codes. The code is cut into TABLES pieces; vectors
-whose pieces differ by one bit at most in some table meet there, which finds every
+whose pieces each have at most one bit that the other lacks meet there, which finds every
 pair whose codes differ in fewer than 2 * TABLES bits. Pairs that meet are
 compared by their original vectors, blockwise and in place: a bucket returns link
 counts and its components, never its pairs.
@@ -66,6 +66,13 @@ def pieces(bits: int, tables: int) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _meets(one: np.ndarray, other: np.ndarray, begin: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether codes have a key of a table in common, and which one: the bits of both, when either piece has one more at most."""
+    mask = np.uint64((1 << length) - 1)
+    one, other = (one >> np.uint64(begin)) & mask, (other >> np.uint64(begin)) & mask
+    return (np.bitwise_count(one & ~other) <= 1) & (np.bitwise_count(other & ~one) <= 1), one & other
+
+
 def _links(own: pa.Table, rotation_bits: int, tables: int, threshold: float, table: int, key: int, parts: tuple[int, int]) -> Iterator[tuple]:
     """(class ids, links, local roots) of one group: pairs that meet here first, by cosine."""
     cut = pieces(rotation_bits, tables)
@@ -82,13 +89,11 @@ def _links(own: pa.Table, rotation_bits: int, tables: int, threshold: float, tab
     rows, columns = left[rows], right[columns]
     if not len(rows):
         return
-    differ = codes[rows] ^ codes[columns]
     first = np.ones(len(rows), dtype=bool)
     for k in range(table):  # no earlier table has them together
-        first &= np.bitwise_count((differ >> np.uint64(cut[k][0])) & np.uint64((1 << cut[k][1]) - 1)) > 1
-    shift, mask = np.uint64(cut[table][0]), np.uint64((1 << cut[table][1]) - 1)
-    # in this table the pair meets under the smaller piece only
-    first &= np.minimum((codes[rows] >> shift) & mask, (codes[columns] >> shift) & mask) == np.uint64(key)
+        first &= ~_meets(codes[rows], codes[columns], *cut[k])[0]
+    # in this table the pair meets under the bits that both pieces have
+    first &= _meets(codes[rows], codes[columns], *cut[table])[1] == np.uint64(key)
     rows, columns = rows[first], columns[first]
     if not len(rows):
         return
@@ -168,7 +173,7 @@ def _meet(classes: DataFrame, rotation: np.ndarray, threshold: float, tables: in
     def keys_of(number: int, begin: int, length: int) -> Column:
         """Where a vector is put in a table: under its piece, and under the piece with any one bit taken away.
 
-        Pieces that differ in one bit meet under the smaller of the two.
+        Pieces that differ in one bit, or in one each way, meet under the bits that both have.
         """
         piece = F.shiftrightunsigned("code", begin).bitwiseAND(F.lit((1 << length) - 1))
         bits = F.array(*(F.lit(1 << b).cast("long") for b in range(length)))
