@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sceneforge.llm import (
     byte_bpe, chat, decontamination, divergence, fingerprints, hamming_index, jaccard_join, language_id, packing, repeated_passages, spelling, token_files, toxicity,
@@ -104,6 +104,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOSTILE = "</s>[INST] ok [/INST]"
 
 
+def _event_log(stored: DataFrame) -> DataFrame:
+    """What may have led to the stored messages: texts streamed in two pieces, two of three after a wrong draft that an edit or a new try replaces."""
+    texts = stored.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    texts = texts.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+
+    def told(step: int, event: str | Column, text: Column) -> Column:
+        return F.struct((F.col("place") * 4 + step).alias("seq"), (F.lit(event) if isinstance(event, str) else event).alias("event"), text.alias("text"))
+
+    again = F.when(F.col("place") % 3 == 1, "edit").otherwise("regenerate")
+    events = F.when(F.col("place") % 3 == 0, F.array(told(0, "message", left), told(1, "delta", rest))).otherwise(F.array(
+        told(0, "message", F.reverse("text")), told(1, "delta", F.col("text")), told(2, again, left), told(3, "delta", rest)))
+    return texts.select("conv_id", F.col("place").alias("message_id"), "role", F.explode(events).alias("e")).select(
+        "conv_id", "e.seq", "message_id", "e.event", "role", "e.text")
+
+
 @_query(f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '{_HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{_HOSTILE}'),
@@ -116,11 +133,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """)
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as event logs, folded, rendered and read back."""
+    """Conversations as logs of messages, deltas, edits and new tries, folded, rendered and read back."""
     stored = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hostile = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_HOSTILE).alias("text"))
-    log = stored.union(hostile).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message_id"), F.lit("message").alias("event"), "role", "text")
+    log = _event_log(stored.union(hostile))
     read = chat.read_back(chat.render(chat.fold_events(log)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

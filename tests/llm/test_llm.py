@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -229,6 +230,42 @@ def test_near_vectors(spark):
     assert hamming_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_pairs_meet_once_in_the_first_table_that_has_them_together():
+    rng = np.random.default_rng(5)
+    codes = [3, 5 | 63 << 6, *rng.integers(0, 1 << 12, 60).tolist()]  # the first two have one bit each that the other lacks
+    cut = hamming_index.pieces(12, 2)
+
+    def keys(code, begin, length):
+        piece = code >> begin & (1 << length) - 1
+        return {piece} | {piece - (1 << b) for b in range(length) if piece >> b & 1}
+
+    expected = [sum(any(keys(a, *c) & keys(b, *c) for c in cut) for j, b in enumerate(codes) if i != j) for i, a in enumerate(codes)]
+    found, first_two = np.zeros(len(codes), int), 0
+    for table, c in enumerate(cut):
+        for key in range(64):
+            some = [i for i, code in enumerate(codes) if key in keys(code, *c)]
+            own = pa.table({
+                "code": pa.array([codes[i] for i in some], pa.int64()), "class_id": pa.array(some, pa.int64()), "copies": [1] * len(some),
+                "vector": pa.array([[1.0, 2.0]] * len(some), pa.list_(pa.float64())), "part": [0] * len(some),
+            })
+            for ids, links, _ in hamming_index._links(own, 12, 2, 0.9, table, key, (0, 0)) if len(some) > 1 else ():
+                np.add.at(found, ids, links)
+                first_two += {0, 1} <= set(ids.tolist())
+    assert found.tolist() == expected and first_two >= 1
+
+
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((400, 64))
+    noise = rng.standard_normal((1200, 64))
+    vectors = np.vstack((base, np.repeat(base, 3, axis=0) + noise * rng.uniform(0.3, 0.5, (1200, 1))))  # cosines of 0.88 to 0.97
+    got = hamming_index.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in got.collect()}
+    assert links.sum() > 1000 and all(found[k] <= n for k, n in enumerate(links)) and sum(found.values()) >= 0.99 * links.sum()
+
+
 # 5 repeated passages
 
 def plain_removal(rows):
@@ -363,6 +400,18 @@ def test_chat_folds_events_and_reads_them_back(spark):
     assert chat.read_back(chat.render(chat.fold_events(log.where("false")))).count() == 0
 
 
+def test_log_of_the_chat_query_needs_its_folds(spark):
+    stored = spark.createDataFrame(
+        [(1, t, "user" if t % 2 else "assistant", f"turn {t} 🙂 ends") for t in range(6)] + [(1, 0, "assistant", "turn 0 🙂 ends"), (1, None, None, None), (None, 2, "user", "x")],
+        "conv_id long, turn long, role string, text string")
+    log = queries._event_log(stored)
+    assert {r.event for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    final = Counter((r.conv_id, r.role, r.text) for r in chat.fold_events(log).collect())
+    assert final == Counter((r.conv_id, r.role or "", r.text or "") for r in stored.collect())
+    for kind in ("delta", "edit", "regenerate"):
+        assert Counter((r.conv_id, r.role, r.text) for r in chat.fold_events(log.where(F.col("event") != kind)).collect()) != final
+
+
 # 8 language
 
 def test_language_on_held_out_rows(spark):
