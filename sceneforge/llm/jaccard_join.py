@@ -108,10 +108,10 @@ def _measure(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "n", "set_id", "bucket", "seen"]
-        seen = np.zeros(SKETCH, dtype=np.int64)
+        seen = np.zeros(SKETCH, dtype=np.uint32)  # of one task's texts
         for batch in batches:
             for first, sets in _blocks(batch, width):
-                seen += np.bincount(_bucket(sets.hashes), minlength=SKETCH)
+                np.add.at(seen, _bucket(sets.hashes), np.uint32(1))
                 count, empty = len(sets.sizes), sets.sizes == 0
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, count), batch.column("key").slice(first, count), pa.array(sets.sizes.astype(np.int64)),
@@ -120,7 +120,7 @@ def _measure(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         top = np.argpartition(seen, -HEAVY)[-HEAVY:]
         top = top[seen[top] > 1].astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            *(pa.nulls(len(top), pa.int64()) for _ in range(4)), pa.array(top), pa.array(seen[top]),
+            *(pa.nulls(len(top), pa.int64()) for _ in range(4)), pa.array(top), pa.array(seen[top].astype(np.int64)),
         ], names)
 
     rows = write_out(docs.withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, n long, set_id long, bucket int, seen long"), "sets")

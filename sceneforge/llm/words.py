@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 """Texts are worked on in blocks of about this size; a longer text is a block of its own."""
 
 _SEPARATOR = np.zeros(256, dtype=bool)
