@@ -11,8 +11,9 @@ occurs in several places can repeat.
    and streams its documents through it, which finds every occurrence by its words.
    Windows around occurrences are settled within the shard; only the first of
    each kind goes on, so a window of the whole corpus is a row per shard at most.
-3. The earliest place of each window that goes on is a minimum by its hash; all
-   that goes on at other places repeats. No task holds the rows of one phrase.
+3. All windows that go on are shuffled once, by hash, and numbered by place; all but
+   the first of each hash repeat. A hash has a row per shard at most, which Spark
+   spills; the rows of one phrase never meet.
 4. Each shard marks the words of its repeated windows and joins the others.
 """
 
@@ -123,14 +124,14 @@ def _occurrences(block: words.Block, phrases: np.ndarray, anchors: np.ndarray, r
     return found
 
 
-_SETTLED = "shard int, anchor long, doc_id long, copy int, start int, repeats int, hashes array<long>"
+_SETTLED = "shard int, doc_id long, copy int, start int, repeats int, hashes array<long>"
 
 
 def _settle(docs: pa.Table, recurring: pa.Table) -> pa.Table:
     """Windows of one shard: ``repeats`` has a bit for each window of an anchor that came earlier in the shard;
     an anchor with a window that did not carries the hashes of its windows."""
-    schema = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()),
-                        ("start", pa.int32()), ("repeats", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("repeats", pa.int32()),
+                        ("hashes", pa.list_(pa.int64()))])
     if not docs.num_rows or not recurring.num_rows:
         return schema.empty_table()
     shard = docs["shard"][0].as_py()
@@ -142,10 +143,10 @@ def _settle(docs: pa.Table, recurring: pa.Table) -> pa.Table:
         some = _occurrences(block, phrases, anchors, wanted)[anchors]
         first, anchors, windows = first[some], anchors[some], windows[some]
         text = block.text_of_word()[first]
-        parts.append((windows, block.first + text, first - block.bounds[text], anchors - block.bounds[text], phrases[anchors]))
+        parts.append((windows, block.first + text, first - block.bounds[text], anchors - block.bounds[text]))
     if not parts:
         return schema.empty_table()
-    windows, text, start, anchor, phrase = (np.concatenate(x) for x in zip(*parts))
+    windows, text, start, anchor = (np.concatenate(x) for x in zip(*parts))
     if not len(windows):
         return schema.empty_table()
     order = np.argsort(windows, kind="stable")  # rows are in the order of ids, copies and starts
@@ -159,21 +160,23 @@ def _settle(docs: pa.Table, recurring: pa.Table) -> pa.Table:
     lengths = np.where(goes_on, sizes, 0)
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
     return pa.Table.from_arrays([
-        pa.array(np.full(len(begins), shard, np.int32)), pa.array(words.signed(phrase[begins])), pa.array(ids[text[begins]]),
-        pa.array(copy[text[begins]].astype(np.int32)), pa.array(start[begins].astype(np.int32)), pa.array(repeats.astype(np.int32)),
+        pa.array(np.full(len(begins), shard, np.int32)), pa.array(ids[text[begins]]), pa.array(copy[text[begins]].astype(np.int32)),
+        pa.array(start[begins].astype(np.int32)), pa.array(repeats.astype(np.int32)),
         pa.ListArray.from_arrays(offsets, pa.array(words.signed(windows[np.repeat(goes_on, sizes)]))),
     ], schema=schema)
 
 
-def _later(settled: DataFrame) -> DataFrame:
+def _later(settled: DataFrame, shards: int) -> DataFrame:
     """Of windows that are the first of their kind in a shard, those that are not the earliest of all."""
-    each = settled.select("shard", "doc_id", "copy", "start", "repeats", F.posexplode("hashes").alias("bit", "hash"))
+    each = settled.select("doc_id", "copy", "start", "repeats", F.posexplode("hashes").alias("bit", "hash"))
     each = each.where("(shiftright(repeats, bit) & 1) = 0")
-    each = each.select("hash", "shard", F.struct("doc_id", "copy", (F.col("start") + F.col("bit")).alias("start")).alias("at"))
-    earliest = each.groupBy("hash").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).where("earliest <> latest")
-    # both sides grow with the input: neither is ever broadcast
-    met = each.hint("merge").join(earliest.select("hash", "earliest").hint("merge"), "hash").where("at <> earliest")
-    return met.select("shard", "at.doc_id", "at.copy", "at.start", F.lit(1).alias("repeats"))
+    place = F.shiftleft(F.col("copy").cast("long"), 32) + F.col("start") + F.col("bit")
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id", "place"))
+    met = each.select("hash", "doc_id", place.alias("place")).withColumn("rank", rank).where("rank > 1")
+    return met.select(
+        _shard(F.col("doc_id"), shards).alias("shard"), "doc_id", F.shiftright("place", 32).cast("int").alias("copy"),
+        F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), F.lit(1).alias("repeats"),
+    )
 
 
 def _marks(docs_ids: np.ndarray, copies: np.ndarray, repeats: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -201,11 +204,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(None).cast("int").alias("none"))
     shards = max(1, -(-docs.count() // SHARD))
     key = F.col(id_col).cast("long")
-    docs = docs.select(_shard(key, shards).alias("shard"), key.alias("doc_id"), F.col(text_col).alias("text"), carried.alias("others"))
+    docs = docs.select(_shard(F.coalesce(key, F.lit(_NO_ID)), shards).alias("shard"), key.alias("doc_id"), F.col(text_col).alias("text"), carried.alias("others"))
     recurring = write_out(_recurring(docs), "phrases")
     texts = docs.select("shard", "doc_id", "text")
     settled = write_out(texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_settle, _SETTLED), "windows")
-    repeats = settled.where("repeats <> 0").select("shard", "doc_id", "copy", "start", "repeats").union(_later(settled))
+    repeats = settled.where("repeats <> 0").select("shard", "doc_id", "copy", "start", "repeats").union(_later(settled, shards))
 
     def finish(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         docs, ids, copies = _sorted_shard(docs)
