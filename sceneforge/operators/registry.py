@@ -5,10 +5,13 @@ version, with its metrics and calibration) and ``activate``.  Nothing is
 updated in place; states are reductions over the events, and the latest event,
 by ``seq``, wins.  Reductions shrink every scene before the shuffle, so a scene
 that holds most events is no hot spot.
+
+Every append is a folder of its own, so appends at one time do not meet.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,6 +33,7 @@ FIRST_VERSION = 1
 # What activating a version answers.
 NOT_FOUND = "Version %d not found"
 SWITCHED = "Switched to v%d"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def subdir(version: Column) -> Column:
@@ -38,8 +42,9 @@ def subdir(version: Column) -> Column:
 
 
 def register_events(rows: DataFrame) -> DataFrame:
-    """Registration events from ``scene_id, version, algo, seq`` and any metric columns."""
-    return rows.withColumns({"event": F.lit("register"), "models_subdir": subdir(F.col("version"))})
+    """Registration events from ``scene_id, version, algo, seq`` and any metric columns; ``event_time`` may be unknown."""
+    when = F.col("event_time") if "event_time" in rows.columns else F.lit(None).cast("timestamp")
+    return rows.withColumns({"event": F.lit("register"), "models_subdir": subdir(F.col("version")), "event_time": when})
 
 
 def activate_events(requests: DataFrame, events: DataFrame) -> DataFrame:
@@ -56,22 +61,23 @@ def unknown_requests(requests: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def latest_models(events: DataFrame) -> DataFrame:
-    """One row per scene, version and algorithm: the last registration of each."""
+    """One row per scene, version and algorithm: the last registration of each, and when that was."""
     registered = events.filter(F.col("event") == "register")
     keys = ["scene_id", "version", "algo"]
     fields = [c for c in registered.columns if c not in (*keys, "event")]
     last = F.max_by(F.struct(*fields), "seq").alias("last")
-    return registered.groupBy(*keys).agg(last).select(*keys, "last.*")
+    latest = registered.groupBy(*keys).agg(last).select(*keys, "last.*")
+    return latest.withColumn("trained_at", F.date_format("event_time", TIME_FORMAT))
 
 
 def version_heads(events: DataFrame) -> DataFrame:
     """``scene_id, current_version, next_version, n_versions`` per scene.
 
-    The current version is the one of the last event of any kind.
+    The current version is the one of the last event of any kind; of events at one time, the newest version's.
     """
     registered = F.when(F.col("event") == "register", F.col("version"))
     return events.groupBy("scene_id").agg(
-        F.max_by("version", "seq").alias("current_version"),
+        F.max_by("version", F.struct("seq", "version")).alias("current_version"),
         (F.coalesce(F.max(registered), F.lit(0)) + 1).alias("next_version"),
         F.count_distinct(registered).alias("n_versions"),
     )
@@ -90,10 +96,11 @@ def current_location(events: DataFrame) -> DataFrame:
 
 
 def list_versions(events: DataFrame) -> DataFrame:
-    """Versions of every scene with the metrics of their models as a map, and the current flag."""
+    """Versions of every scene, when they were trained, the metrics of their models as a map, the current flag."""
     metrics = F.struct("accuracy", "f1_score", "train_size")
     per_version = latest_models(events).groupBy("scene_id", "version").agg(
         F.max("seq").alias("registered_seq"),
+        F.max_by("trained_at", "seq").alias("trained_at"),
         F.max_by("dataset", "seq").alias("dataset"),
         F.max_by("rows", "seq").alias("rows"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("algo", metrics.alias("metrics"))))).alias("models"),
@@ -103,6 +110,7 @@ def list_versions(events: DataFrame) -> DataFrame:
         "scene_id",
         "version",
         "registered_seq",
+        "trained_at",
         "dataset",
         "rows",
         subdir(F.col("version")).alias("models_subdir"),
@@ -118,7 +126,7 @@ def status_grid(scenes: DataFrame, events: DataFrame, algos: Sequence[str] = CAN
     """
     heads = version_heads(events).select("scene_id", "current_version")
     models = latest_models(events).select(
-        "scene_id", F.col("version").alias("current_version"), "algo", "accuracy", "f1_score"
+        "scene_id", F.col("version").alias("current_version"), "algo", "accuracy", "f1_score", "trained_at"
     )
     cells = (
         scenes.select("scene_id")
@@ -142,8 +150,8 @@ def append_events(events: DataFrame, path: str) -> None:
     """Append events; columns the event does not have are stored as null."""
     spark = events.sparkSession
     whole = spark.createDataFrame([], EVENT_SCHEMA).unionByName(events, allowMissingColumns=True)
-    whole.write.mode("append").partitionBy("scene_id").parquet(path)
+    whole.write.partitionBy("scene_id").parquet(f"{path}/batch=b{uuid.uuid4().hex}")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+    return spark.read.schema(f"{EVENT_SCHEMA}, batch string").parquet(path).drop("batch")

@@ -15,7 +15,7 @@ from sceneforge.functions import quoted
 from sceneforge.operators import balance, features as feat, learners, metrics, registry, scoring
 from sceneforge.plans.prepare import RAW_TARGET, ROW_KEY, add_label, prepare
 from sceneforge.scenes import Scene, load_scenes
-from sceneforge.session import ensure_checkpoints
+from sceneforge.session import claim, ensure_checkpoints, release
 from sceneforge.sources.tables import discover_tables, read_table
 
 # Learn, then calibrate and tune on rows not learned from, then report on rows not tuned on.
@@ -30,6 +30,18 @@ def version_folder(models_root: str, version: int) -> str:
     return models_root if version == registry.FIRST_VERSION else f"{models_root}/v{version}"
 
 
+def claim_path(models_root: str, scene_id: str, version: int) -> str:
+    return f"{models_root}/claims/{scene_id}/v{version}"
+
+
+def claim_version(spark: SparkSession, models_root: str, scene_id: str) -> int:
+    """The next version of a scene, which no other training gets from now on, registered or not (K2)."""
+    version = registry.next_version(known_events(spark, models_root), scene_id)
+    while not claim(spark, claim_path(models_root, scene_id, version)):
+        version += 1
+    return version
+
+
 def wide_path(folder: str, scene_id: str, name: str) -> str:
     return f"{folder}/{scene_id}.index/{name}"
 
@@ -58,13 +70,38 @@ def train_scene(
     """Train, calibrate, tune, evaluate and save the scene's models; returns their registry rows.
 
     The new version becomes the current one, once, after all models are saved.
-    An error is raised, not logged away.
+    Trainings of one scene at a time get versions and folders of their own. An
+    error is raised, not logged away, and gives the version back.
     """
     spark = df.sparkSession
     ensure_checkpoints(spark)
-    version = registry.next_version(known_events(spark, models_root), scene.scene_id)
-    folder = version_folder(models_root, version)
+    version = claim_version(spark, models_root, scene.scene_id)
+    try:
+        entries = _train_version(df, scene, models_root, version, key, algos, rounds, dataset, scale, max_categories)
+    except BaseException:
+        release(spark, claim_path(models_root, scene.scene_id, version))
+        raise
+    events = registry.register_events(
+        spark.createDataFrame([tuple(e.values()) for e in entries], _entry_schema(entries)).withColumn("event_time", F.current_timestamp())
+    )
+    registry.append_events(events, registry_path(models_root))
+    return events
 
+
+def _train_version(
+    df: DataFrame,
+    scene: Scene,
+    models_root: str,
+    version: int,
+    key: Sequence[str],
+    algos: Sequence[str] | None,
+    rounds: int | None,
+    dataset: str,
+    scale: bool,
+    max_categories: int,
+) -> list[dict]:
+    """Train and save the models of a version; returns a registry entry for each."""
+    folder = version_folder(models_root, version)
     prepared, names = prepare(df, scene, key, training=True)
     prepared = prepared.selectExpr(ROW_KEY, RAW_TARGET, *map(quoted, names))
     prepared.persist(StorageLevel.MEMORY_AND_DISK)
@@ -110,7 +147,7 @@ def train_scene(
         "slots": plan.slot_names,
         "wide_columns": list(plan.wide_categories),
     }
-    entries = [
+    return [
         {
             **common,
             **measured[algo],
@@ -121,11 +158,6 @@ def train_scene(
         }
         for i, (algo, model) in enumerate(models.items())
     ]
-    events = registry.register_events(
-        spark.createDataFrame([tuple(e.values()) for e in entries], _entry_schema(entries)).withColumn("event_time", F.current_timestamp())
-    )
-    registry.append_events(events, registry_path(models_root))
-    return events
 
 
 def _entry_schema(entries: list[dict]) -> T.StructType:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -37,6 +39,35 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file where none is; False if there is one. Of several that try at a time one succeeds.
+
+    HDFS and local folders promise that; an object store does if it refuses to create a file twice.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where.getParent())
+    uri = files.makeQualified(where).toUri()
+    try:
+        if uri.getScheme() == "file":  # Hadoop's local files look first and create after
+            os.close(os.open(uri.getPath(), os.O_CREAT | os.O_EXCL))
+        else:
+            files.create(where, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if files.exists(where):
+            return False
+        raise
+    return True
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Take back what ``claim`` created."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, False)
+
+
 def write_out(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from the files.
 

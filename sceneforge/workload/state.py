@@ -17,7 +17,8 @@ _SQL_EVENTS = """
 reg AS (SELECT o_orderpriority AS scene_id, (1 + o_custkey % 5)::INTEGER AS version,
                CASE o_orderstatus WHEN 'F' THEN 'random_forest' WHEN 'O' THEN 'gbdt' ELSE 'naive_bayes' END AS algo,
                o_orderkey * 2 AS seq, 'order ' || o_orderkey AS dataset, o_orderkey AS rows,
-               o_totalprice / 1e6 AS accuracy, o_totalprice / 2e6 AS f1_score, o_custkey AS train_size
+               o_totalprice / 1e6 AS accuracy, o_totalprice / 2e6 AS f1_score, o_custkey AS train_size,
+               strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS trained_at
         FROM orders),
 req AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN '1-URGENT' WHEN 'MACHINERY' THEN '2-HIGH'
                WHEN 'HOUSEHOLD' THEN '3-MEDIUM' WHEN 'FURNITURE' THEN '5-LOW' ELSE 'nowhere' END AS scene_id,
@@ -47,6 +48,7 @@ def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("o_totalprice") / 1e6).alias("accuracy"),
             (F.col("o_totalprice") / 2e6).alias("f1_score"),
             F.col("o_custkey").alias("train_size"),
+            F.col("o_orderdate").cast("timestamp").alias("event_time"),
         )
     )
 
@@ -87,7 +89,7 @@ def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_SQL_EVENTS},
-v AS (SELECT scene_id, version, max(seq) AS registered_seq, arg_max(dataset, seq) AS dataset,
+v AS (SELECT scene_id, version, max(seq) AS registered_seq, arg_max(trained_at, seq) AS trained_at, arg_max(dataset, seq) AS dataset,
              arg_max(rows, seq) AS rows,
              string_agg(algo || ':' || train_size, ',' ORDER BY algo) AS trained_on,
              round(max(accuracy), 6) AS best_accuracy
@@ -97,7 +99,7 @@ SELECT v.*, CASE WHEN version = 1 THEN '' ELSE 'v' || version END AS models_subd
 FROM v JOIN heads USING (scene_id, )
 """.replace("(scene_id, )", "(scene_id)"))
 def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions with the metrics of their models."""
+    """Versions, when they were trained, and the metrics of their models."""
     listed = registry.list_versions(_events(spark, sf_dir))
     entries = F.map_entries("models")
     told = F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), e["value"]["train_size"].cast("string")))
@@ -112,7 +114,7 @@ WITH {_SQL_EVENTS},
 scenes AS (SELECT DISTINCT CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '3-MEDIUM' WHEN c_mktsegment = 'BUILDING'
            THEN '1-URGENT' ELSE c_mktsegment END AS scene_id FROM customer)
 SELECT s.scene_id, coalesce(h.current_version, 1) AS current_version, a.algo,
-       round(m.accuracy, 6) AS accuracy, round(m.f1_score, 6) AS f1_score, m.seq IS NOT NULL AS trained,
+       round(m.accuracy, 6) AS accuracy, round(m.f1_score, 6) AS f1_score, m.seq IS NOT NULL AS trained, m.trained_at,
        CASE WHEN m.seq IS NOT NULL THEN 'completed' ELSE 'idle' END AS training
 FROM scenes s CROSS JOIN (VALUES ('random_forest'), ('gbdt'), ('xgboost'), ('naive_bayes')) AS a(algo)
 LEFT JOIN heads h ON h.scene_id = s.scene_id
@@ -141,7 +143,7 @@ def registry_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_SQL_EVENTS}
-SELECT scene_id, version, algo, seq, dataset, round(accuracy, 6) AS accuracy, train_size FROM lastreg
+SELECT scene_id, version, algo, seq, dataset, round(accuracy, 6) AS accuracy, train_size, trained_at FROM lastreg
 """)
 def registry_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events appended to the stored registry and read back, the last of each kept."""
@@ -149,7 +151,7 @@ def registry_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry.append_events(_events(spark, sf_dir), path)
     latest = registry.latest_models(registry.read_events(spark, path))
     return latest.select(
-        "scene_id", "version", "algo", "seq", "dataset", F.round("accuracy", 6).alias("accuracy"), "train_size"
+        "scene_id", "version", "algo", "seq", "dataset", F.round("accuracy", 6).alias("accuracy"), "train_size", "trained_at"
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from sceneforge.operators import amplify as amp, registry, runlog
 from sceneforge.plans.enlarge import enlarge_table
-from sceneforge.session import scratch_path
+from sceneforge.session import claim, release, scratch_path
 
 
 def _registered(spark, rows):
@@ -42,6 +44,38 @@ def test_versions(spark):
     assert registry.next_version(events, "s") == 3 and registry.next_version(events, "nobody") == 1
 
 
+def test_versions_tell_when_they_were_trained(spark):
+    rows = [("s", 1, "gbdt", 1, "2024-01-02 03:04:05"), ("s", 1, "gbdt", 2, "2024-02-03 04:05:06"), ("s", 2, "gbdt", 2, None)]
+    events = registry.register_events(spark.createDataFrame(rows, "scene_id string, version int, algo string, seq long, event_time string").withColumns({
+        "event_time": F.col("event_time").cast("timestamp"), "dataset": F.lit("d"), "rows": F.lit(1).cast("long"), "accuracy": F.lit(0.5),
+        "f1_score": F.lit(0.5), "train_size": F.lit(1).cast("long")}))
+    listed = {r.version: r for r in registry.list_versions(events).collect()}
+    assert listed[1].trained_at == "2024-02-03 04:05:06" and listed[2].trained_at is None
+    assert listed[2].is_current and not listed[1].is_current  # of one time: the newest version
+    first = events.filter("version = 1")
+    grid = {r.algo: r.trained_at for r in registry.status_grid(spark.createDataFrame([("s",)], "scene_id string"), first).collect()}
+    assert grid["gbdt"] == "2024-02-03 04:05:06" and grid["xgboost"] is None
+
+
+def test_a_version_is_claimed_once(spark):
+    path = scratch_path(spark, "claims") + "/s/v1"
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda _: claim(spark, path), range(24))) == 1
+    release(spark, path)
+    assert claim(spark, path) and not claim(spark, path)
+
+
+def test_appends_at_one_time_are_all_kept(spark):
+    path = scratch_path(spark, "registry")
+    rows = [[("s", k, "gbdt", k, 0.5, 0.5, 10)] for k in range(1, 9)]
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda r: registry.append_events(_registered(spark, r), path), rows))
+    stored = registry.read_events(spark, path)
+    assert stored.columns[-1] != "batch" and sorted(r.version for r in stored.collect()) == list(range(1, 9))
+    plan = stored.filter("scene_id = 's'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(scene_id" in plan
+
+
 def test_status_grid(spark):
     events = _registered(spark, [("s", 2, "gbdt", 1, 0.5, 0.5, 10)])
     scenes = spark.createDataFrame([("s",), ("new",)], "scene_id string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sceneforge.operators import registry, runlog
 from sceneforge.plans.score import Scorer, run_logged, score_table
-from sceneforge.plans.train import activate, known_events, registry_path, train_folder, train_scene
+from sceneforge.plans.train import activate, claim_version, known_events, registry_path, train_folder, train_scene
 from sceneforge.scenes import Scene
 from sceneforge.session import scratch_path
 from sceneforge.sources.results import read_results
@@ -181,6 +183,21 @@ def test_versions_and_activation(spark):
     assert Scorer(spark, SCENE, root, ["row_id"]).version == 3
 
 
+def test_trainings_at_one_time_get_two_versions(spark):
+    root = scratch_path(spark, "race")
+    df = _table(spark, 300)
+    train = lambda _: train_scene(df, SCENE, root, key=["row_id"], algos=["naive_bayes"])
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(train, range(2)))
+    events = registry.read_events(spark, registry_path(root))
+    assert {r.version: r.rows for r in registry.list_versions(events).collect()} == {1: 300, 2: 300}
+    for row in registry.latest_models(events).collect():
+        assert PipelineModel.load(row.model_path).stages and row.trained_at is not None
+    with pytest.raises(ValueError, match="1 classes"):
+        train_scene(df.withColumn("bought", F.lit(1)), SCENE, root, key=["row_id"])
+    assert claim_version(spark, root, "bought") == 3 and claim_version(spark, root, "bought") == 4
+
+
 def test_three_classes_with_all_algorithms(spark):
     root = scratch_path(spark, "three")
     scene = Scene("level", "bought", labels={"mid": "Middle"})
