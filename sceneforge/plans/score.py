@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from sceneforge.functions import class_name, quoted
 from sceneforge.operators import features as feat, learners, metrics, registry, runlog, scoring
@@ -303,10 +303,12 @@ def run_logged(
     model: str = "auto",
     key: Sequence[str] = (),
     out: str | None = None,
+    schema: T.StructType | str | None = None,
 ) -> str:
     """Score a stored table as a run: open it, note its progress, close it with its result.
 
-    A failure closes the run as failed, with the reason as its result.
+    Without a ``schema`` the types of a CSV table are inferred. A failure closes the run as
+    failed, with the reason as its result.
     """
 
     def log(rows: DataFrame) -> None:
@@ -323,7 +325,7 @@ def run_logged(
     log(runlog.open_rows(opened.withColumn("predict_time", F.current_timestamp())))
     try:
         log(runlog.progress_rows(step(model_progress_status=runlog.READING)))
-        scored = score_table(read_table(spark, path), Scorer(spark, scene, models_root, key), model)
+        scored = score_table(read_table(spark, path, schema=schema), Scorer(spark, scene, models_root, key), model)
         log(runlog.progress_rows(step(current_model=scored.model, model_progress_status=runlog.REPORTING)))
         if out is not None:
             scored.rows.write.mode("append").parquet(out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -253,15 +253,17 @@ def train_folder(
     folder: str,
     models_root: str,
     scenes: dict[str, Scene] | None = None,
+    schemas: Mapping[str, T.StructType | str] | None = None,
     **options,
 ) -> list[str]:
     """Train every configured scene that has a table in the folder; returns the scene ids.
 
-    The driver loops over scenes, not over data; each scene's work is distributed.
+    Types come from ``schemas`` by scene id where given, and are inferred otherwise. The
+    driver loops over scenes, not over data; each scene's work is distributed.
     """
     scenes = scenes or load_scenes()
     found = discover_tables(spark, folder, scenes).orderBy("scene_id", "table_path").collect()
     for row in found:
-        table = read_table(spark, row.table_path)
+        table = read_table(spark, row.table_path, schema=(schemas or {}).get(row.scene_id))
         train_scene(table, scenes[row.scene_id], models_root, dataset=row.table_path, **options)
     return [row.scene_id for row in found]

@@ -236,6 +236,20 @@ def test_folder_of_scenes(spark):
     assert Scorer(spark, SCENE, root, ["row_id"]).version == 1
 
 
+def test_folder_and_run_take_a_schema(spark):
+    folder, root, log = scratch_path(spark, "typed"), scratch_path(spark, "typed-models"), scratch_path(spark, "typed-log")
+    df = _table(spark, 200).drop("seen at").withColumn("bought", F.when(F.col("bought") == 1, "01").otherwise("02"))
+    df.write.option("header", True).csv(f"{folder}/bought.csv")
+    scene = Scene("bought", "bought")
+    for schemas, classes in (({"bought": df.schema}, ["01", "02"]), (None, ["1", "2"])):
+        train_folder(spark, folder, root, {"bought": scene}, schemas, algos=["naive_bayes"], key=["row_id"])
+        assert sorted(Scorer(spark, scene, root, ["row_id"]).some_entry.class_values) == classes
+    assert activate(spark, root, "bought", 1) == "Switched to v1"
+    results, out = scratch_path(spark, "typed-results"), scratch_path(spark, "typed-out")
+    assert run_logged(spark, f"{folder}/bought.csv", scene, root, log, results, 1, "naive_bayes", ["row_id"], out, df.schema) == "completed"
+    assert {r.bought for r in spark.read.parquet(out).select("bought").distinct().collect()} == {"01", "02"}
+
+
 def test_scoring_scans_and_scores_the_input_once(spark):
     root = scratch_path(spark, "once")
     df = _table(spark, 300)
