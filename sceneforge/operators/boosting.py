@@ -2,7 +2,8 @@
 
 Each round adds a tree (one per class beyond two classes) that lowers the logistic
 or softmax loss, seen through its first and second derivatives. Features are cut
-into bins once and the binned rows are written out. A level of all trees of a round
+into bins once and the binned rows are written out in blocks of as many rows as an
+Arrow batch has, one array for each part of a block. A level of all trees of a round
 is one job: tasks add up derivatives by (class, node, feature, bin) over their rows,
 the sums meet by feature, and each feature gives its best cut per node; the driver
 sees a row per (class, node, feature) and picks. No row moves between tasks. Where all binned
@@ -72,13 +73,14 @@ class Tree:
         self.gain = np.zeros(size)
 
     def descend(self, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Node of each row so far, for rows of ``values`` compared with ``cuts``."""
-        node, rows = np.zeros(len(values), np.int64), np.arange(len(values))
-        for _ in range(self.depth):
-            feature = self.feature[node]
-            on = feature >= 0
-            right = values[rows, np.maximum(feature, 0)] > cuts[node]
-            node = np.where(on, 2 * node + 1 + right, node)
+        """Node of each row so far, for ``values`` by feature and row compared with ``cuts``."""
+        node = np.zeros(values.shape[1], np.int64)
+        inner = [0]
+        while inner := [n for n in inner if self.feature[n] >= 0]:  # a level; one comparison a cut
+            for n in inner:
+                here = slice(None) if n == 0 else np.flatnonzero(node == n)
+                node[here] = 2 * n + 1 + (values[self.feature[n], here] > cuts[n])
+            inner = [child for n in inner for child in (2 * n + 1, 2 * n + 2)]
         return node
 
     def as_lists(self) -> dict:
@@ -143,13 +145,17 @@ def chosen_features(features: int, number: int, trees: int, s: Settings) -> list
     return [np.sort(draw.permutation(features)[: max(1, math.floor(features * s.columns + 0.5))]) for _ in range(trees)]
 
 
-def _rows(batch: pa.RecordBatch, features: int, trees: int) -> tuple[np.ndarray, ...]:
-    def take(name: str, kind: type, width: int) -> np.ndarray:
-        column = batch[name].cast(pa.large_binary())
-        ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-        return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(kind).reshape(-1, width)
+def _blocks(batches: Iterable[pa.RecordBatch], features: int, trees: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row numbers, labels, bins (by feature and row) and margins of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row, label, bins, margins = (np.frombuffer(batch[c][k].as_buffer(), kind) for c, kind in _KINDS.items())
+            yield row, label, bins.reshape(features, -1), margins.reshape(-1, trees)
 
-    return batch["row"].to_numpy(), batch["label"].to_numpy(), take("bins", np.uint8, features), take("margins", np.float64, trees)
+
+def _state_row(*arrays: np.ndarray) -> pa.RecordBatch:
+    """A block as a row; its arrays are held one after the other."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary()) for x, kind in zip(arrays, _KINDS.values())], list(_KINDS))
 
 
 def _histograms(s: Settings, features: int, number: int, trees: list[Tree], open_nodes: list[list[int]]) -> Callable:
@@ -158,24 +164,24 @@ def _histograms(s: Settings, features: int, number: int, trees: list[Tree], open
     def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         allowed = chosen_features(features, number, len(trees), s)
-        for batch in batches:
-            row, label, bins, margins = _rows(batch, features, len(trees))
-            drawn = sampled(row, number, s.rows, s.seed)
-            bins, label, margins = bins[drawn], label[drawn], margins[drawn]
-            if not len(bins):
+        for row, label, bins, margins in _blocks(batches, features, len(trees)):
+            drawn = np.flatnonzero(sampled(row, number, s.rows, s.seed))
+            if not len(drawn):
                 continue
-            g, h = derivatives(margins, label)
+            bins = np.take(bins, drawn, axis=1)
+            g, h = derivatives(margins[drawn], label[drawn])
             for k, tree in enumerate(trees):
                 if not open_nodes[k]:
                     continue
                 place = np.full(len(tree.feature), -1)
                 place[open_nodes[k]] = np.arange(len(open_nodes[k]))
                 at = place[tree.descend(bins, tree.bin)]
-                on = at >= 0
+                on = np.flatnonzero(at >= 0)
                 slots, size = at[on] * s.bins, len(open_nodes[k]) * s.bins
+                weights = [w[on, k] for w in (g, h)]
                 for f in allowed[k].tolist():
-                    slot = slots + bins[on, f]
-                    both = np.stack([np.bincount(slot, w[on, k], size) for w in (g, h)])
+                    slot = slots + bins[f, on]
+                    both = np.stack([np.bincount(slot, w, size) for w in weights])
                     sums[k, f] = sums[k, f] + both if (k, f) in sums else both
         for (k, f), both in sums.items():
             parts = both.reshape(2, -1, s.bins).transpose(1, 0, 2)
@@ -209,11 +215,9 @@ def _best_of_features(s: Settings) -> Callable:
 
 def _add_trees(features: int, trees: list[Tree]) -> Callable:
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, _, bins, margins = _rows(batch, features, len(trees))
+        for row, label, bins, margins in _blocks(batches, features, len(trees)):
             more = np.stack([t.value[t.descend(bins, t.bin)] for t in trees], axis=1)
-            new = [m.tobytes() for m in margins + more]
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["label"], batch["bins"], pa.array(new, pa.binary())], ["row", "label", "bins", "margins"])
+            yield _state_row(row, label, bins, margins + more)
 
     return add
 
@@ -230,19 +234,17 @@ def quantile_cuts(df: DataFrame, features: int, bins: int) -> list[np.ndarray]:
 
 
 def _binned(cuts: list[np.ndarray], trees: int) -> Callable:
-    start = np.zeros(trees).tobytes()
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts))
-            bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["label"], pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([start] * len(bins), pa.binary())], ["row", "label", "bins", "margins"])
+            bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])
+            yield _state_row(batch["row"].to_numpy(), batch["label"].to_numpy(), bins, np.zeros((len(x), trees)))
 
     return cut
 
 
-_STATE = "row long, label int, bins binary, margins binary"
+_KINDS = {"row": np.int64, "label": np.int32, "bins": np.uint8, "margins": np.float64}
+_STATE = ", ".join(f"{name} binary" for name in _KINDS)
 
 
 def fit_trees(df: DataFrame, classes: int, s: Settings) -> list[list[Tree]]:
@@ -404,10 +406,11 @@ def _margins(text: str) -> Callable:
         rounds = [[Tree.from_lists(known["depth"], t) for t in trees] for trees in known["rounds"]]
         for values in batches:
             x = np.stack(values.to_numpy()).reshape(len(values), -1) if len(values) else np.zeros((0, known["features"]))
+            by_feature = np.ascontiguousarray(x.T)
             total = np.zeros((len(x), 1 if known["classes"] <= 2 else known["classes"]))
             for trees in rounds:
                 for k, tree in enumerate(trees):
-                    total[:, k] += tree.value[tree.descend(x, tree.cut)]
+                    total[:, k] += tree.value[tree.descend(by_feature, tree.cut)]
             if known["classes"] <= 2:
                 total = np.concatenate((-total / 2, total / 2), axis=1)
             yield pd.Series(list(total))

@@ -99,6 +99,28 @@ def test_l1_and_l2_shrink_leaves():
     assert boosting.leaf_value(-7, 8, strict) == pytest.approx(0.1 * 2 / 18)
 
 
+def test_rows_are_kept_in_blocks(spark):
+    df = spark.range(3000).coalesce(1).select(F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double")).alias("x"), (F.col("id") % 2).cast("int").alias("label"), F.col("id").alias("row"))
+    cuts = [np.array([10.0, 20.0]), np.array([3.0])]
+    state = df.mapInArrow(boosting._binned(cuts, 3), boosting._STATE)
+    grown = state.mapInArrow(boosting._add_trees(2, [boosting.Tree(2) for _ in range(3)]), boosting._STATE)
+    for blocks in (state.toArrow(), grown.toArrow()):
+        assert blocks.num_rows == 1  # of 10,000 rows at most
+        ((row, label, bins, margins),) = boosting._blocks(blocks.to_batches(), 2, 3)
+        assert row.tolist() == list(range(3000)) and label.tolist() == [k % 2 for k in range(3000)]
+        assert bins.tolist() == [[(k > 10) + (k > 20) for k in range(3000)], [int(k % 7 > 3) for k in range(3000)]]
+        assert margins.shape == (3000, 3) and not margins.any()
+
+
+def test_rows_go_down_a_tree_by_its_cuts():
+    tree, values = boosting.Tree(3), np.random.default_rng(1).integers(0, 9, (2, 500))
+    for node, (feature, cut) in {0: (0, 4), 2: (1, 2), 5: (0, 6)}.items():
+        tree.feature[node], tree.cut[node] = feature, cut
+    a, b = values
+    expected = np.where(a <= 4, 1, np.where(b > 2, 6, np.where(a > 6, 12, 11)))
+    assert (tree.descend(values, tree.cut) == expected).all() and tree.descend(values[:, :0], tree.cut).size == 0
+
+
 def test_saved_and_loaded_in_a_pipeline(points, spark, tmp_path):
     _, label, df = points
     model = learners.classifier("xgboost", 3, rounds=25).fit(df)
