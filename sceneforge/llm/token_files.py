@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -92,63 +93,87 @@ class TokenFile:
         return np.frombuffer(data, "<u4")
 
 
-_MARK, _LONG = "\r", 256
+_SPACE, _LONG = "\u0120", 256
+"""How a byte-level vocabulary spells a space, and characters up to which words are encoded together."""
 
 
-_UNEVEN = re.compile(r"^\s|\s$|\s | \s")
+def _plain(word: str) -> bool:
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+
+
+def _stem(word: str) -> str:
+    """``word`` without ASCII punctuation after a last Latin letter: the tokenizer begins a new piece between them."""
+    stem = word.rstrip(string.punctuation)
+    return stem if stem and stem[-1].isalpha() and stem[-1] < "\u0250" else word
 
 
 class _Encoder:
-    """Ids of texts. Text is cut at single spaces between other characters, where the tokenizer always begins a new
-    piece; what stands between them is encoded once, with the space before it."""
+    """Ids of texts. Text is cut at single spaces between other characters, where a byte-level tokenizer always begins a
+    new piece; what stands between them is encoded once, with the space before it. Other tokenizers get whole texts."""
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        parts = self.tokenizer.pre_tokenizer
+        self.cuts = isinstance(parts, pre_tokenizers.ByteLevel) and parts.use_regex and not parts.add_prefix_space and self.tokenizer.normalizer is None
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}  # words that begin a text
-        (self.mark,) = self._ids(_MARK)
+        self.known: dict[str, bytes] = {}  # empty: a run of white space, whose text is encoded whole
+        self.heads: dict[str, bytes] = {}  # words that begin a text, and punctuation
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[number for token, number in vocabulary.items() if token.startswith(_SPACE)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _head(self, word: str) -> bytes:
+        if word not in self.heads:
+            self.heads[word] = self._ids(word).tobytes()
+        return self.heads[word]
+
     def _learn(self, words: set[str]) -> None:
-        """Encode words in one go, parted by a sign that is a token of its own before a space; odd or long ones alone."""
-        joined = []
+        """Encode words, without the punctuation behind them, in one go, parted at the tokens that begin with a space; long ones alone."""
+        stems = {}
         for word in words:
-            if _MARK in word or len(word) > _LONG:
+            if not _plain(word):
+                self.known[word] = b""
+            elif len(word) > _LONG:
                 self.known[word] = self._ids(" " + word).tobytes()
             else:
-                joined.append(word)
+                stems[word] = _stem(word)
+        joined = list(set(stems.values()).difference(self.known))
         for begin in range(0, len(joined), 2048):
             some = joined[begin:begin + 2048]
-            ids = self._ids(" " + f"{_MARK} ".join(some))
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(some) - 1:
+            ids = self._ids(" " + " ".join(some))
+            cuts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(cuts) != len(some):
                 raise ValueError("the tokenizer does not part words at white space")
             data = ids.tobytes()
-            for word, first, last in zip(some, [-1, *cuts], [*cuts, len(ids)]):
-                self.known[word] = data[4 * first + 4:4 * last]
+            for stem, first, last in zip(some, cuts, [*cuts[1:], len(data)]):
+                self.known[stem] = data[first:last]
+        for word, stem in stems.items():
+            if len(stem) < len(word):
+                self.known[word] = self.known[stem] + self._head(word[len(stem):])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         # runs of white space are the tokenizer's to cut, and so are texts that spell one of its added tokens
-        cut = [None if _UNEVEN.search(t) or self.added.search(t) else t.split(" ") for t in texts]
+        cut = [t.split(" ") if self.cuts and not self.added.search(t) else None for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         if len(self.heads) > CACHE // 10:
             self.heads.clear()
-        self._learn(set(chain.from_iterable(words[1:] for words in cut if words)).difference(self.known))
-        for text, words in zip(texts, cut):
-            if words is None:
+        found = [list(map(self.known.get, words[1:])) if words else [] for words in cut]
+        self._learn({word for words, ids in zip(cut, found) if None in ids for word, one in zip(words[1:], ids) if one is None})
+        for text, words, ids in zip(texts, cut, found):
+            if None in ids:
+                ids = [self.known[word] if one is None else one for word, one in zip(words[1:], ids)]
+            if words is None or not _plain(words[0]) or b"" in ids:
                 yield self._ids(text).tobytes()
             else:
-                if words[0] not in self.heads:
-                    self.heads[words[0]] = self._ids(words[0]).tobytes()
-                yield self.heads[words[0]] + b"".join(map(self.known.__getitem__, words[1:]))
+                yield self._head(words[0]) + b"".join(ids)
 
 
 @functools.cache

@@ -136,6 +136,29 @@ def test_added_tokens_are_encoded_as_the_library_does():
     assert list(token_files._Encoder(path).encode(texts)) == expected
 
 
+def test_words_that_differ_in_punctuation_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder, sent = Tokenizer.from_file(path), token_files._Encoder(path), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: sent.append(text) or ids(text))
+    tails = ["", ".", ",", "...", "'", "''", "!?", "_", "-", "$$$", "'.", ")"]
+    texts = ["a " + " ".join("quixotry" + t for t in tails), " ".join("quixotry" + t for t in tails)]
+    texts += [f"a{t} don't{t} it's{t} \u00e9t\u00e9{t} 12{t} \u4e2d{t} x\ny{t} x\u00a0{t} \u01c5{t} \u0301{t} {t}s b" for t in tails]
+    texts += ["", " ", "a ", " a", "a  b", "a \n b", "a\n b", "\n", "a\nb c\td", "a \x1c b", "a " + "x" * 400 + ". b", "x's. 's 's. s'"]
+    assert list(encoder.encode(texts)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(text.count(" quixotry") for text in sent) == 1
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = Tokenizer.from_file(path), ["", "some words, here.", "Some  words\nhere "]
+    assert list(token_files._Encoder(path).encode(texts)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_token_file_reads_one_frame_and_notices_damage():
     class Source(io.BytesIO):
         def size(self):
