@@ -3,7 +3,8 @@
 ``encode_words`` is a column expression: it folds the ranked merges over the bytes
 of a word, looking pairs of tokens up in a literal rank map. Documents are grouped
 into blocks of numbered words; each block's distinct words are encoded once and
-documents are put together from them. Nothing is shuffled.
+documents are put together from them. A block is many rows in the order of their
+partition: its words, ``ROW`` at a time, and then its documents. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ CACHE = 500_000
 """Stretches of text a worker remembers."""
 SLICE = 1 << 18
 """Words whose pieces are gathered at once."""
+ROW = 2048
+"""Words that one row holds; a row of all of a block's words would be copied whole by every expression."""
 LONG = 128
 """Bytes of a word up to which merges are folded by scanning it."""
 
@@ -211,27 +214,53 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], np.diff(offsets).astype(np.int64)
 
 
+def _filled(values: np.ndarray, sizes: np.ndarray, places: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of lists, of which those at ``places`` were empty and become ``parts``."""
+    lengths = np.array([len(p) for p in parts])
+    begins = np.repeat((np.cumsum(sizes) - sizes)[places], lengths)
+    sizes = sizes.copy()
+    sizes[places] = lengths
+    return np.insert(values, begins, np.concatenate(parts)), sizes
+
+
 def _letters(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all words and the words' sizes."""
     sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.frombuffer(b"".join(words.to_pylist()), np.uint8), sizes
 
 
-def _block(ids: list[int | None], texts: list[np.ndarray], spelled: dict[str, int]) -> pa.RecordBatch:
-    """One row: the documents' words as numbers, and the spelling of each word. ``words`` has nothing for words in ``long``."""
-    coded = [w.encode() for w in spelled]
-    short = [w if len(w) <= LONG else b"" for w in coded]
-    longer = [k for k, w in enumerate(coded) if len(w) > LONG]
-    bounds = np.concatenate(([0], np.cumsum([len(w) for w in short]))).astype(np.int32)
-    words = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(short), np.int8)))
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.RecordBatch.from_arrays([
-        one(pa.array(ids, pa.int64())), one(pa.array([len(t) for t in texts], pa.int32())), one(pa.array(np.concatenate(texts))),
-        one(words), one(pa.array(longer, pa.int32())), one(pa.array([coded[k] for k in longer], pa.binary())),
-    ], ["doc_ids", "n_words", "numbers", "words", "long_numbers", "long"])
-
-
-_BLOCK = "doc_ids array<long>, n_words array<int>, numbers array<int>, words array<array<tinyint>>, long_numbers array<int>, long array<binary>"
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+
+
+def _block(ids: list[int | None], texts: list[np.ndarray], spelled: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """The spelling of each word, some words a row, then the documents as numbers of words. ``words`` has nothing for words in ``long``."""
+    coded: list[bytes] = []
+    for word in chain(spelled, (None,)):
+        if word is None or len(coded) == ROW:
+            short = [w if len(w) <= LONG else b"" for w in coded]
+            longer = [k for k, w in enumerate(coded) if len(w) > LONG]
+            words = _lists(pa.array(np.frombuffer(b"".join(short), np.int8)), [len(w) for w in short])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([False]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), _lists(words, [len(words)]),
+                _lists(pa.array(longer, pa.int32()), [len(longer)]), _lists(pa.array([coded[k] for k in longer], pa.binary()), [len(longer)]),
+            ], _NAMES)
+            coded = []
+        if word is not None:
+            coded.append(word.encode())
+    for begin in range(0, len(ids), DOCUMENTS):
+        some = texts[begin:begin + DOCUMENTS]
+        empty = (pa.nulls(len(some), kind) for kind in (pa.list_(pa.list_(pa.int8())), pa.list_(pa.int32()), pa.list_(pa.binary())))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([True] * len(some)), pa.array(ids[begin:begin + DOCUMENTS], pa.int64()),
+            _lists(pa.array(np.concatenate(some)), [len(t) for t in some]), *empty,
+        ], _NAMES)
+
+
+_NAMES = ["is_document", "doc_id", "numbers", "words", "long_numbers", "long"]
+_BLOCK = "is_document boolean, doc_id long, numbers array<int>, words array<array<tinyint>>, long_numbers array<int>, long array<binary>"
+DOCUMENTS = 64
+"""Documents that are put together at once."""
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,40 +280,55 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                 texts.append(number(text))
                 held += len(text)
                 if held >= BLOCK_BYTES:
-                    yield _block(ids, texts, number.words)
+                    yield from _block(ids, texts, number.words)
                     ids, texts, held, number = [], [], 0, _Numbered(pattern)
         if ids:
-            yield _block(ids, texts, number.words)
+            yield from _block(ids, texts, number.words)
+
+    def encoded_words(rows: list[pa.RecordBatch]) -> tuple[_Pieces, _Pieces]:
+        """Ids and bytes of all words of a block."""
+        coded, coded_sizes, letters, letter_sizes = [], [], [], []
+        for batch in rows:
+            for row in range(batch.num_rows):
+                long_numbers, long, ids, decoded = (batch.column(c)[row].values for c in ("long_numbers", "long", "ids", "decoded"))
+                own, own_sizes = _flat(ids)
+                own_letters, own_letter_sizes = _letters(decoded)
+                places, merged = long_numbers.to_numpy(), [merge_long(w, ranks) for w in long.to_pylist()]
+                if merged:  # the fold had nothing for these words
+                    own, own_sizes = _filled(own, own_sizes, places, [np.array(m, np.int32) for m in merged])
+                    spelled = [np.frombuffer(b"".join(bytes_of[i] for i in m), np.uint8) for m in merged]
+                    own_letters, own_letter_sizes = _filled(own_letters, own_letter_sizes, places, spelled)
+                coded.append(own.astype(np.int32))
+                coded_sizes.append(own_sizes)
+                letters.append(own_letters)
+                letter_sizes.append(own_letter_sizes)
+        none = np.zeros(0, np.int64)
+        whole = lambda parts, kind: np.concatenate([none.astype(kind), *parts])
+        return _Pieces(whole(coded, np.int32), whole(coded_sizes, np.int64)), _Pieces(whole(letters, np.uint8), whole(letter_sizes, np.int64))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []  # words of the block whose documents follow
+        pieces = texts = None
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, n_words, numbers, long_numbers, long, ids, decoded = (
-                    batch.column(c)[row].values for c in ("doc_ids", "n_words", "numbers", "long_numbers", "long", "ids", "decoded")
-                )
-                coded, coded_sizes = _flat(ids)
-                letters, letter_sizes = _letters(decoded)
-                merged = [merge_long(w, ranks) for w in long.to_pylist()]
-                spelled = [b"".join(bytes_of[i] for i in m) for m in merged]
-                own, at = len(coded_sizes), long_numbers.to_numpy()
-                known = np.arange(own)
-                known[at] = np.arange(own, own + len(at))  # long words follow the others
-                pieces = _Pieces(
-                    np.concatenate([coded.astype(np.int32), *(np.array(m, np.int32) for m in merged)]),
-                    np.concatenate((coded_sizes, np.array([len(m) for m in merged], np.int64))),
-                )
-                texts = _Pieces(
-                    np.concatenate([letters, *(np.frombuffer(w, np.uint8) for w in spelled)]),
-                    np.concatenate((letter_sizes, np.array([len(w) for w in spelled], np.int64))),
-                )
-                numbers = known[numbers.to_numpy()]
-                bounds = np.concatenate(([0], np.cumsum(n_words.to_numpy())))
-                for begin in range(0, len(doc_ids), 64):
-                    spans = [numbers[x:y] for x, y in zip(bounds[begin:begin + 64], bounds[begin + 1:begin + 65])]
+            is_document = batch.column("is_document").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(is_document[1:] != is_document[:-1]) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                if not is_document[first]:
+                    rows.append(batch.slice(first, last - first))
+                    continue
+                if rows:
+                    pieces, texts = encoded_words(rows)
+                    rows = []
+                for begin in range(first, last, DOCUMENTS):
+                    some = batch.slice(begin, min(DOCUMENTS, last - begin))
+                    numbers, sizes = _flat(some.column("numbers"))
+                    bounds = np.concatenate(([0], np.cumsum(sizes)))
+                    spans = [numbers[x:y] for x, y in zip(bounds, bounds[1:])]
                     out_ids = [pieces.of_long(span) for span in spans]
-                    sizes = np.cumsum([0] + [len(x) for x in out_ids]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        doc_ids.slice(begin, 64), pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(out_ids))),
+                        some.column("doc_id"), _lists(pa.array(np.concatenate(out_ids)), [len(x) for x in out_ids]),
                         pa.array([texts.of_long(span).tobytes() for span in spans], pa.binary()),
                     ], ["doc_id", "ids", "decoded"])
 

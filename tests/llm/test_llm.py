@@ -504,6 +504,18 @@ def test_byte_bpe_equals_tiktoken(odd, empty, spark, sf_dir):
     assert spark.range(1).select(byte_bpe.decode_ids(F.array(F.lit(72), F.lit(10**6)), ranks).alias("x")).first().x is None
 
 
+def test_byte_bpe_passes_words_in_small_rows(spark):
+    spelled = {f"w{k}" + "x" * (200 if k % 1000 == 7 else 0): k for k in range(5000)}
+    batches = list(byte_bpe._block([1, None], [np.arange(5000, dtype=np.int32), np.zeros(0, np.int32)], spelled))
+    words = [len(w) for batch in batches for w in batch.column("words").to_pylist() if w is not None]
+    assert sum(words) == 5000 and max(words) <= byte_bpe.ROW
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = {k: " ".join(f"{'qz' * 90 if j % 997 == 3 else ''}{chr(97 + j % 26)}{j}{chr(98 + j % 25)}é" for j in range(k, k + 3000)) for k in range(4)}
+    got = byte_bpe.encode_documents(spark.createDataFrame(list(text.items()), "doc_id long, text string").coalesce(1), ranks, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in got} == {k: (plain.encode_ordinary(t), t) for k, t in text.items()}
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, sf_dir):
