@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import IntegralType
 
 from sceneforge.llm import letters, word_pairs
 from sceneforge.llm.common import fold, free_name
@@ -92,6 +93,30 @@ def _fit_line(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights / np.append(spread, 1.0)
 
 
+def _marked(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``texts`` joined with ``marks`` (doc_id, label) by doc_id; nearly all texts stay where they are.
+
+    Labels grow with the corpus and are never broadcast. Ids have places in bitmaps of
+    fixed size; where one id is alone with one label, the bitmap of its label tells it.
+    Texts of other places, few while ids are fewer than places, meet their labels in a join.
+    """
+    marks = marks.hint("merge")
+    kinds = [df.schema["doc_id"].dataType for df in (texts, marks)]
+    if kinds[0] != kinds[1] or not isinstance(kinds[0], IntegralType):
+        return texts.join(marks, "doc_id")
+    ids = texts.select("doc_id", F.lit(None).cast("int").alias("label")).union(marks.select("doc_id", "label")).where("doc_id IS NOT NULL")
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << word_pairs.FILTER_BITS) - 1))
+    places = ids.groupBy(place.alias("hash")).agg(
+        F.count("label").alias("labels"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("label").alias("label"))
+    kind = F.when(F.expr("labels = 1 AND low = high"), F.col("label")).otherwise(2)
+    places = write_out(places.where("labels > 0").select("hash", kind.alias("kind")), "label-places")
+    bitmaps = [word_pairs.bitmap(places.where(F.col("kind") == k).select("hash")) for k in range(3)]
+    hashed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    known = texts.withColumn("label", word_pairs.may_have(hashed, bitmaps, texts.sparkSession))
+    others = write_out(known.where("label = 2").drop("label").hint("merge").join(marks, "doc_id"), "marked")
+    return known.where("label < 2").unionByName(others)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Models from all labelled rows outside the held-out fold.
 
@@ -102,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = fold(F.col(id_col), FOLDS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), part.alias("part")).where("part <> 0 AND text IS NOT NULL")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    marked = texts.join(marks.hint("merge"), "doc_id")  # labels grow with the corpus: never broadcast
+    marked = _marked(texts, marks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, letters.SIZE), dtype=np.int64)
@@ -194,4 +219,10 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     """The rows whose text scores below ``limit``, unchanged, whatever columns they have."""
     texts = docs.select(word_pairs.text_key(F.col(text_col)).alias("rejected"), F.col(text_col).alias("text"))
     rejected = write_out(scored(texts, model).where(F.col("score") >= limit).select("rejected").distinct(), "rejected")
-    return docs.hint("merge").join(rejected, word_pairs.text_key(docs[text_col]) == rejected["rejected"], "left_anti")
+    # only texts that share a place with a rejected one move to the join
+    near, hashed = free_name(docs, "near"), free_name(docs, "hashed")
+    flagged = docs.withColumn(hashed, word_pairs.text_key(F.col(text_col)))
+    flagged = flagged.withColumn(near, word_pairs.may_have(F.col(hashed), [word_pairs.bitmap(rejected.select(F.col("rejected").alias("hash")))], docs.sparkSession))
+    met = flagged.where(F.col(near).isNotNull()).hint("merge")
+    met = met.join(rejected, met[hashed] == rejected["rejected"], "left_anti")
+    return flagged.where(F.col(near).isNull()).union(met).drop(near, hashed)

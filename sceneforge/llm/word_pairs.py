@@ -16,7 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from sceneforge.llm import words
 from sceneforge.session import write_out
@@ -24,6 +27,10 @@ from sceneforge.session import write_out
 START, END = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
 FILTER_BITS = 26
 """2 to this many bits tell which n-grams the table may have; the join decides."""
+SPAN_BYTES, SPAN_TEXTS = 8 << 20, 1 << 14
+"""Texts whose n-grams are looked up together, each once."""
+ROWS = 1 << 16
+"""Most rows of a batch that goes back to Spark."""
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = [c if chr(c).isalnum() else 32 for c in range(128)]
 
@@ -67,6 +74,55 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about SPAN_BYTES of text; a longer text is alone."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+    first = 0
+    while first < len(sizes):
+        before = sizes[first - 1] if first else 0
+        last = max(first + 1, min(int(np.searchsorted(sizes, before + SPAN_BYTES, side="right")), first + SPAN_TEXTS))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _postings(texts: pa.RecordBatch, span: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each n-gram of some texts (key, text) that the table may have, once, with the places of the texts that have it.
+
+    A place comes as often as the n-gram does. The mark of the start has a row for
+    each text, which tells the text's key and its number of words.
+    """
+    grams, places, words_of = [], [], np.zeros(texts.num_rows, np.int64)
+    for gram, context, low, text in _pairs(texts.column("text")):
+        last = low == END  # each word is a context once; the end never is
+        every = np.concatenate((gram, context[context != START], low[last]))
+        owner = np.concatenate((text, text[context != START], text[last]))
+        place = words.signed(every) & ((1 << FILTER_BITS) - 1)
+        some = np.flatnonzero((bitmap[place >> 6] >> (place & 63)) & 1)
+        grams.append(every[some])
+        places.append(owner[some].astype(np.int16))
+        words_of += np.bincount(text, minlength=len(words_of))
+    if not grams:
+        return
+    gram, place = np.concatenate(grams), np.concatenate(places)
+    order = np.argsort(gram)
+    gram, place = words.signed(gram[order]), place[order]
+    begins = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    bounds, names = np.append(begins, len(gram)), ["gram", "span", "places", "key", "words"]
+    for k in range(0, len(begins), ROWS):
+        own = bounds[k:k + ROWS + 1]
+        count = len(own) - 1
+        yield pa.RecordBatch.from_arrays([
+            pa.array(gram[own[:-1]]), pa.array(np.full(count, span)), pa.ListArray.from_arrays((own - own[0]).astype(np.int32), pa.array(place[own[0]:own[-1]])),
+            pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()),
+        ], names)
+    count = texts.num_rows
+    yield pa.RecordBatch.from_arrays([
+        pa.array(np.full(count, words.signed(np.array([START]))[0])), pa.array(np.full(count, span)),
+        pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32), pa.array(np.arange(count, dtype=np.int16))),
+        texts.column("key"), pa.array(words_of),
+    ], names)
+
+
 def _discount(ones: int | None, twos: int | None) -> float:
     return ones / (ones + 2 * twos) if ones and twos else 0.5
 
@@ -86,28 +142,22 @@ class Table:
     def means(self, texts: DataFrame) -> DataFrame:
         """(key, mean): difference of the log-probabilities a word, for each distinct text of ``texts`` (key, text)."""
         shared = texts.sparkSession.sparkContext.broadcast(self.bitmap)
-        start, schema = int(np.array(START).view(np.int64)), "key long, gram long, words long"
+        schema = "gram long, span long, places array<smallint>, key long, words long"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task, count = TaskContext.get().partitionId(), 0
             for batch in batches:
                 batch = batch.take(pa.array(np.sort(np.unique(batch.column("key").to_numpy(), return_index=True)[1])))
-                keys = batch.column("key").to_numpy()
-                for gram, context, low, text in _pairs(batch.column("text")):
-                    last = low == END  # each word is a context once; the end never is
-                    every = np.concatenate((gram, context, low[last]))
-                    owner = np.concatenate((text, text, text[last]))
-                    length = np.bincount(text, minlength=len(keys))
-                    place = words.signed(every) & ((1 << FILTER_BITS) - 1)
-                    some = np.flatnonzero((shared.value[place >> 6] >> (place & 63)) & 1)
-                    is_start = every[some] == START
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys[owner[some]]), pa.array(words.signed(every[some])), pa.array(np.where(is_start, length[owner[some]], 0)),
-                    ], ["key", "gram", "words"])
+                for some in _spans(batch):
+                    yield from _postings(some, task << 32 | count, shared.value)
+                    count += 1
 
         found = texts.select("key", "text").mapInArrow(run, schema)
         # both sides grow with the input: neither is ever broadcast
         met = found.hint("merge").join(self.values.hint("merge"), "gram")
-        sums = met.groupBy("key").agg(F.sum("value").alias("value"), F.sum("words").alias("words"))
+        sums = met.select("span", F.explode("places").alias("place"), "value", "key", "words").groupBy("span", "place")
+        sums = sums.agg(F.sum("value").alias("value"), F.max("key").alias("key"), F.sum("words").alias("words"))
+        sums = sums.groupBy("key").agg(F.sum("value").alias("value"), F.sum("words").alias("words"))
         return sums.select("key", (F.col("value") / F.col("words") + self.unknown).alias("mean"))  # copies count alike above and below
 
 
@@ -136,8 +186,9 @@ def learn(marked: DataFrame) -> Table:
         F.when(F.col(f"t{k}") > 0, F.col(f"kinds{k}") * discount[k] / F.col(f"t{k}")).otherwise(1.0).alias(f"spare{k}") for k in (0, 1)
     )), "word-contexts")
 
-    joined = pairs.hint("merge").join(contexts.hint("merge"), "context").join(lows.hint("merge"), "low")
-    full = [F.greatest(F.col(f"c{k}") - discount[k], F.lit(0.0)) / F.greatest(f"t{k}", F.lit(1)) + F.col(f"spare{k}") * F.col(f"p{k}") for k in (0, 1)]
+    own = [(F.greatest(F.col(f"c{k}") - discount[k], F.lit(0.0)) / F.greatest(f"t{k}", F.lit(1))).alias(f"own{k}") for k in (0, 1)]
+    joined = pairs.hint("merge").join(contexts.hint("merge"), "context").select("gram", "low", *own, "spare0", "spare1").join(lows.hint("merge"), "low")
+    full = [F.col(f"own{k}") + F.col(f"spare{k}") * F.col(f"p{k}") for k in (0, 1)]
     back = F.log("spare1") - F.log("spare0")
     single = F.log("p1") - F.log("p0")
     of_pairs = joined.select("gram", (F.log(full[1]) - F.log(full[0]) - back - single).alias("value"))
@@ -145,9 +196,29 @@ def learn(marked: DataFrame) -> Table:
     of_words = contexts.hint("merge").join(lows.hint("merge"), contexts["context"] == lows["low"], "full").select(
         F.coalesce("context", "low").alias("gram"), (F.coalesce(single - unknown, F.lit(0.0)) + F.coalesce(back, F.lit(0.0))).alias("value"))
     values = write_out(of_pairs.union(of_words), "word-values")
-    place = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = values.select(place.alias("place")).selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, CAST(place & 63 AS INT)) AS bit")
+    return Table(values, bitmap(values.select(F.col("gram").alias("hash"))), unknown)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for the last FILTER_BITS bits of each ``hash``; fixed size."""
+    place = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bits = hashes.select(place.alias("place")).selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, CAST(place & 63 AS INT)) AS bit")
     found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return Table(values, bitmap, unknown)
+    whole = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    whole[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return whole
+
+
+def may_have(hashes: Column, bitmaps: list[np.ndarray], spark: SparkSession) -> Column:
+    """The number of the first bitmap that has a hash; null if none does or the hash is null."""
+    shared = spark.sparkContext.broadcast(bitmaps)
+
+    @arrow_udf("int")
+    def which(hashes: pa.Array) -> pa.Array:
+        place = hashes.fill_null(0).to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)
+        found = np.full(len(place), -1, np.int32)
+        for k in range(len(shared.value) - 1, -1, -1):
+            found[((shared.value[k][place >> 6] >> (place & 63)) & 1) > 0] = k
+        return pa.array(found, mask=(found < 0) | hashes.is_null().to_numpy(zero_copy_only=False))
+
+    return which.asNondeterministic()(hashes)  # so that it is computed once
