@@ -516,6 +516,45 @@ def test_byte_bpe_passes_words_in_small_rows(spark):
     assert {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in got} == {k: (plain.encode_ordinary(t), t) for k, t in text.items()}
 
 
+def test_order_of_shingles_is_that_of_two_keys():
+    rng = np.random.default_rng(4)
+    for low in (0, 1 << 60):
+        keys, owner = rng.integers(low, low + 200, 3000).astype(np.uint64), rng.integers(0, 9, 3000)
+        assert (jaccard_join._order(keys, owner) == np.lexsort((keys, owner))).all()
+        order = jaccard_join._order(keys, owner, repeated=True)
+        assert (np.diff(owner[order]) >= 0).all() and (keys[order] == keys[np.lexsort((keys, owner))]).all()
+    assert len(jaccard_join._order(keys[:0], owner[:0])) == 0
+    many = rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    assert (jaccard_join._order(many, owner := rng.integers(0, 300, 100_000)) == np.lexsort((many, owner))).all()
+
+
+def test_word_count_equals_the_expression(odd, empty, spark):
+    texts = [None, "", " ", "a", " a", "a ", "é b", "a\tb\x0bc\x0cd\re\nf", "x" * 3_000_000 + " y", "one", "two", "a\xa0b c\x1fd", "\x85 z"]
+    rows = odd.select("text").union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    assert rows.select(packing.word_count(F.col("text")).alias("x"), plain.alias("y")).where("x IS NULL OR x <> y").count() == 0
+    assert empty.select(packing.word_count(F.col("text"))).count() == 0
+
+
+def test_texts_meet_labels_as_in_a_join(spark):
+    texts = spark.createDataFrame([(k % 70 if k % 9 else None, f"t{k}", k % 5) for k in range(300)], "doc_id long, text string, part long")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(0, 90, 2)] + [(4, 1), (6, 0), (6, 0), (None, 1)], "doc_id long, label int")
+    rows = lambda df: Counter(df.select("doc_id", "text", "part", "label").collect())
+    plain, bits = rows(texts.join(marks, "doc_id")), toxicity.word_pairs.FILTER_BITS
+    for toxicity.word_pairs.FILTER_BITS in (7, bits):  # few places: most ids share theirs
+        found = toxicity._marked(texts, marks)
+        assert rows(found) == plain
+    assert rows(toxicity._marked(texts, marks.withColumn("doc_id", F.col("doc_id").cast("int")))) == plain
+
+
+def test_ngrams_of_a_span_travel_once():
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(400)), "text": ["same words in every text", "and some more"] * 200})
+    spans = list(word_pairs._spans(batch))
+    assert sum(s.num_rows for s in spans) == 400
+    rows = sum(b.num_rows for b in word_pairs._postings(batch, 0, np.full(1 << (word_pairs.FILTER_BITS - 6), -1)))
+    assert rows < 400 + 50  # the mark of the start for each text, anything else once
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, sf_dir):
