@@ -17,8 +17,6 @@ BLOCK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A"):ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_VALUES[_SEPARATOR] = 0
@@ -76,9 +74,10 @@ class Block:
 
 
 def _block(first: int, data: np.ndarray, offsets: np.ndarray, fold: bool) -> Block:
+    # comparisons of bytes take a fraction of a lookup's time
     if fold:
-        data = _FOLD[data]
-    inside = ~_SEPARATOR[data]
+        data = data + ((data - np.uint8(ord("A")) < 26).view(np.uint8) << 5)
+    inside = (data - np.uint8(9) > 4) & (data != 32)
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     before = np.concatenate(([False], inside[:-1])) if len(data) else inside
